@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import sentencepieces
+from . import quality_rules, sentencepieces
 
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
 BYTE_MODEL = public_tokenizers.path("byte_bpe_50k.json")
@@ -21,5 +21,10 @@ def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepieces.encode_text(docs, PIECE_MODEL, ids_col=None, digest=True)
 
 
-QUERIES = {"op7_sentencepiece": op7_sentencepiece}
-ORACLE_SQL: dict[str, str] = {}
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality_rules.apply_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return found.drop("n_lines")
+
+
+QUERIES = {"op1_quality_rules": op1_quality_rules, "op7_sentencepiece": op7_sentencepiece}
+ORACLE_SQL: dict[str, str] = {"op1_quality_rules": quality_rules.ORACLE_SQL}
