@@ -18,6 +18,7 @@ import re
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -33,7 +34,7 @@ from .batches import bounded_batches
 MAGIC = b"DAC1"
 BLOCK = 512
 FILE_TOKENS = 4_000_000
-MEMO_ENTRIES = 200_000
+MEMO_ENTRIES = 250_000
 NULL_ID = -(1 << 63)
 
 
@@ -137,6 +138,13 @@ def write_bytes(uri: str, data: bytes) -> None:
 # --- encoding -------------------------------------------------------------------------------------------------------
 
 
+def byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in a byte-level vocabulary: itself if printable, else the next from 256 on."""
+    shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    hidden = [b for b in range(256) if b not in set(shown)]
+    return {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(hidden)}
+
+
 class ByteLevelEncoder:
     """Ids of whole texts by the tokenizers library, equal parts encoded once.
 
@@ -156,7 +164,8 @@ class ByteLevelEncoder:
         self.parts = spec.get("normalizer") is None and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True)
         self.special = [t["content"] for t in spec.get("added_tokens", [])]
         self.irregular = re.compile(r" \s| $").search
-        self.tail = re.compile(r"( ?[^\W_]+)([.,;:!?*%$#&|]+)").fullmatch
+        self.word = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ɏ]+)([.,;:!?*%$#&|]*)").fullmatch
+        self.letters = byte_letters()
         self.memo: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
@@ -164,6 +173,17 @@ class ByteLevelEncoder:
         call = getattr(self.library, "encode_batch_fast", self.library.encode_batch)
         return [np.array(e.ids, "<u4").tobytes() for e in call(texts, add_special_tokens=False)] if texts else []
 
+    def piece(self, part: str) -> bytes:
+        """Ids of what the library's pattern takes as one piece: letters after at most one blank, or marks."""
+        found = self.memo.get(part)
+        if found is None:
+            found = self.old.get(part)
+            if found is None:
+                tokens = self.library.model.tokenize(part.encode().decode("latin-1").translate(self.letters))
+                found = array("I", [t.id for t in tokens]).tobytes()
+            self.memo[part] = found
+        return found
+
     def encode(self, texts: list[str]) -> list[bytes]:
         memo, old, split, wanted, alone = self.memo, self.old, [], {}, []
         for k, text in enumerate(texts):
@@ -180,21 +200,15 @@ class ByteLevelEncoder:
                     elif u not in wanted:
                         wanted[u] = None
             split.append(units)
-        new = set()
-        for u in wanted:
-            wanted[u] = pair = m.groups() if (m := self.tail(u)) else (u,)
-            for p in pair:
-                if p not in memo:
-                    if (found := old.get(p)) is not None:
-                        memo[p] = found
-                    else:
-                        new.add(p)
-        new.discard("")
-        parts = list(new)
-        memo.update(zip(parts, self.whole(parts), strict=True))
         memo[""] = b""
-        for u, pair in wanted.items():
-            memo[u] = b"".join([memo[p] for p in pair])
+        others = []
+        for u in wanted:
+            if m := self.word(u):
+                word, marks = m.groups()
+                memo[u] = self.piece(word) + self.piece(marks) if marks else self.piece(word)
+            else:
+                others.append(u)
+        memo.update(zip(others, self.whole(others), strict=True))
         out = [b"" if units is None else b"".join(map(memo.__getitem__, units)) for units in split]
         for k, ids in zip(alone, self.whole([texts[k] for k in alone]), strict=True):
             out[k] = ids
