@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality_rules, secret_scan, sentencepieces, spans, token_files
+from . import personal_data, quality_rules, secret_scan, sentencepieces, spans, token_files
 
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
 BYTE_MODEL = public_tokenizers.path("byte_bpe_50k.json")
@@ -32,9 +32,13 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.digest(found, secret_scan.KINDS)
 
 
+def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spans.digest(personal_data.find_personal_data(table(spark, sf_dir, "documents")), personal_data.KINDS)
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_table(table(spark, sf_dir, "documents"), BYTE_MODEL)
 
 
-QUERIES = {"op1_quality_rules": op1_quality_rules, "op6_secret_scan": op6_secret_scan, "op7_sentencepiece": op7_sentencepiece, "op9_token_files": op9_token_files}
+QUERIES = {"op1_quality_rules": op1_quality_rules, "op6_secret_scan": op6_secret_scan, "op7_sentencepiece": op7_sentencepiece, "op8_personal_data": op8_personal_data, "op9_token_files": op9_token_files}
 ORACLE_SQL: dict[str, str] = {"op1_quality_rules": quality_rules.ORACLE_SQL}
