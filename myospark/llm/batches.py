@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import SparkSession
 
-BATCH_ROWS = 1000
+BATCH_ROWS = 500
 CHUNK_BYTES = 1 << 20
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
