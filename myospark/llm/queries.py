@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import near_dedup, personal_data, quality_rules, secret_scan, sentencepieces, sharding, spans, token_files, warc
+from . import decontaminate, near_dedup, personal_data, quality_rules, secret_scan, sentencepieces, sharding, spans, token_files, warc
 
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
 BYTE_MODEL = public_tokenizers.path("byte_bpe_50k.json")
@@ -34,6 +34,10 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated_pairs(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = secret_scan.find_secrets(docs, secret_scan.train(docs))
@@ -52,5 +56,5 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_quality_rules": op1_quality_rules, "op2_sharding": op2_sharding, "op4_warc": op4_warc, "op6_secret_scan": op6_secret_scan, "op7_sentencepiece": op7_sentencepiece, "op8_personal_data": op8_personal_data, "op9_token_files": op9_token_files, "op10_near_dedup": op10_near_dedup}
+QUERIES = {"op1_quality_rules": op1_quality_rules, "op2_sharding": op2_sharding, "op4_warc": op4_warc, "op5_decontaminate": op5_decontaminate, "op6_secret_scan": op6_secret_scan, "op7_sentencepiece": op7_sentencepiece, "op8_personal_data": op8_personal_data, "op9_token_files": op9_token_files, "op10_near_dedup": op10_near_dedup}
 ORACLE_SQL: dict[str, str] = {"op1_quality_rules": quality_rules.ORACLE_SQL, "op2_sharding": sharding.ORACLE_SQL, "op4_warc": warc.ORACLE_SQL}
