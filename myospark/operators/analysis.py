@@ -130,11 +130,11 @@ def circular_mean(frame: DataFrame, key: list[str], angle: str = "angle") -> Dat
 
 
 def histogram(frame: DataFrame, column: str, bins: int = 10, key: str = "movie_id") -> DataFrame:
-    """(key, bin, low, high, count, median) of equal bins between the extremes, the last one closed."""
+    """(key, bin, low, high, count, median) of equal bins between the extremes, the last one closed; equal values are all in the first."""
     v = F.col(column).cast("double")
     stats = frame.groupBy(key).agg(F.min(v).alias("lo"), F.max(v).alias("hi"), F.median(v).alias("median"))
     width = (F.col("hi") - F.col("lo")) / bins
-    at = F.coalesce(F.least(F.floor((v - F.col("lo")) / F.nullif(width, F.lit(0.0))), F.lit(bins - 1)), F.lit(0))
+    at = F.when(width > 0, F.least(F.floor((v - F.col("lo")) / F.nullif(width, F.lit(0.0))), F.lit(bins - 1))).otherwise(0)
     counts = frame.select(key, column).where(v.isNotNull()).join(stats, key).groupBy(key, at.alias("bin")).agg(F.count(F.lit(1)).alias("count"))
     every = stats.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1)))).withColumn("bin", F.col("bin").cast("long"))
     return every.join(counts, [key, "bin"], "left").select(key, "bin", (F.col("lo") + F.col("bin") * width).alias("low"), (F.col("lo") + (F.col("bin") + 1) * width).alias("high"), F.coalesce("count", F.lit(0)).alias("count"), "median")

@@ -1,7 +1,9 @@
-"""Connected components of a graph of any size, by alternating stars."""
+"""Connected components: of one graph of any size by alternating stars, of many small graphs by key."""
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,3 +42,28 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         seen = state
         now = materialize(small_star(large_star(now)), "stars")
 
+
+
+def components_by_key(edges: DataFrame, key: list[str], a: str = "a", b: str = "b") -> DataFrame:
+    """(key, node, root) for many small graphs at once: the edges of each key are one task's, so a graph must fit there;
+    connected_components is for graphs of any size."""
+    kinds = ", ".join(f"{c} {edges.schema[c].dataType.simpleString()}" for c in key)
+
+    def solve(group: pd.DataFrame) -> pd.DataFrame:
+        nodes, at = np.unique(np.concatenate([group[a], group[b]]), return_inverse=True)
+        root = np.arange(len(nodes))
+        u, v = at[: len(group)], at[len(group) :]
+        while True:
+            low = np.minimum(root[u], root[v])
+            new = root.copy()
+            for side in (u, v):
+                np.minimum.at(new, root[side], low)
+                np.minimum.at(new, side, low)
+            new = new[new]
+            if (new == root).all():
+                break
+            root = new
+        return pd.DataFrame({**{c: group[c].iloc[0] for c in key}, "node": nodes, "root": nodes[root]})
+
+    known = edges.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(*key, a, b)
+    return known.groupBy(*key).applyInPandas(solve, f"{kinds}, node long, root long")

@@ -95,9 +95,13 @@ def detect_edges(nodes: DataFrame, key: list[str], k: int = 3, score_threshold:
     return prune_edges(score_edges(knn_edges(nodes, key, k), nodes, key, **weights), nodes, key, score_threshold, angle_threshold)
 
 
-def myofibrils(nodes: DataFrame, edges: DataFrame, key: list[str]) -> DataFrame:
-    """(key, particle, component_id): the component's least particle; nodes without edges are components of their own."""
-    node = lambda p: F.struct(*key, F.col(p).alias("p"))
-    found = components.connected_components(edges.select(node("u").alias("a"), node("v").alias("b")))
-    roots = found.select(*(F.col(f"node.{c}").alias(c) for c in key), F.col("node.p").alias("particle"), F.col("root.p").alias("component_id"))
+def myofibrils(nodes: DataFrame, edges: DataFrame, key: list[str], huge: bool = False) -> DataFrame:
+    """(key, particle, component_id): the component's least particle; nodes without edges are components of their own.
+    A graph is one task's work, but with `huge` the graphs of any size are solved by rounds of joins."""
+    if huge:
+        node = lambda p: F.struct(*key, F.col(p).alias("p"))
+        found = components.connected_components(edges.select(node("u").alias("a"), node("v").alias("b")))
+        roots = found.select(*(F.col(f"node.{c}").alias(c) for c in key), F.col("node.p").alias("particle"), F.col("root.p").alias("component_id"))
+    else:
+        roots = components.components_by_key(edges, key, "u", "v").withColumnsRenamed({"node": "particle", "root": "component_id"})
     return nodes.select(*key, "particle").join(roots, [*key, "particle"], "left").withColumn("component_id", F.coalesce("component_id", "particle"))

@@ -114,7 +114,7 @@ def otsu_threshold(values: DataFrame, bins: int = 256) -> DataFrame:
     v = F.col("value")
     ends = values.groupBy(*FRAME).agg(F.min(v).alias("lo"), F.max(v).alias("hi"))
     width = (F.col("hi") - F.col("lo")) / bins
-    at = F.coalesce(F.least(F.floor((v - F.col("lo")) / F.nullif(width, F.lit(0.0))), F.lit(bins - 1)), F.lit(0))
+    at = F.when(width > 0, F.least(F.floor((v - F.col("lo")) / F.nullif(width, F.lit(0.0))), F.lit(bins - 1))).otherwise(0)
     n = values.select(*FRAME, "value").where(v.isNotNull()).join(ends, FRAME).groupBy(*FRAME, "lo", "hi", at.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
     center = F.col("lo") + (F.col("bin") + 0.5) * width
     upto, frame = Window.partitionBy(*FRAME).orderBy("bin"), Window.partitionBy(*FRAME)

@@ -12,7 +12,7 @@ from pyspark.sql.window import Window
 
 from ..functions.assignment import cheapest_links
 from ..schemas import require_columns
-from .components import connected_components
+from .components import components_by_key
 from .sarcomeres import particle_centers
 
 MEASURES = ["x", "y", "p1_x", "p1_y", "p2_x", "p2_y"]
@@ -90,9 +90,7 @@ def cluster_partial(tracks: DataFrame) -> DataFrame:
     steps = F.array(*(F.lit(i) for i in (-1, 0, 1)))
     b = a.withColumn("i", F.explode(steps)).withColumn("j", F.explode(steps)).select("movie_id", F.col("particle").alias("q"), F.col("x").alias("qx"), F.col("y").alias("qy"), (F.col("cx") + F.col("i")).alias("cx"), (F.col("cy") + F.col("j")).alias("cy"))
     close = a.join(b, ["movie_id", "cx", "cy"]).where("particle < q and sqrt(pow(x - qx, 2) + pow(y - qy, 2)) <= radius")
-    node = lambda p: F.struct("movie_id", F.col(p).alias("p"))
-    found = connected_components(close.select(node("particle").alias("a"), node("q").alias("b")))
-    labels = found.select(F.col("node.movie_id").alias("movie_id"), F.col("node.p").alias("particle"), F.col("root.p").alias("cluster"))
+    labels = components_by_key(close, ["movie_id"], "particle", "q").withColumnsRenamed({"node": "particle", "root": "cluster"})
     return partial.join(labels, ["movie_id", "particle"], "left")
 
 
