@@ -1,13 +1,14 @@
 """Comparison of a query's rows with those of its SQL in DuckDB."""
 
 import duckdb
+import pandas as pd
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
 def rows(frame):
     def plain(v):
-        if v is None or v != v:
+        if v is None or v is pd.NA or v != v:
             return None
         return round(float(v), 6) if isinstance(v, float) else (bool(v) if str(type(v)).find("bool") >= 0 else (int(v) if str(type(v)).find("int") >= 0 else v))
 
