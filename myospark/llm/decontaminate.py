@@ -185,6 +185,6 @@ def contaminated_pairs(docs: DataFrame, benchmark: DataFrame, coverage: float =
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs without those that hold a benchmark item."""
+    """docs without those that hold a benchmark item. Rows with a null id cannot be told apart and stay."""
     bad = materialize(contaminated_pairs(docs, benchmark).select("doc_id").distinct(), "contaminated")
     return docs.join(bad, "doc_id", "left_anti").select(docs.columns)

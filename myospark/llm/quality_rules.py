@@ -10,7 +10,7 @@ equals the mildest.  A stratum with too few labels to certify anything gets no r
 
 DataFrame functions only.  A null text counts as empty and fails the base rule of 50 words; a null stratum is a
 stratum of its own; documents without a label, label rows without a document, and null labels teach nothing; repeated
-rows count as often as they come.  Columns of docs that clash with a measure are replaced.
+rows count as often as they come.  Documents keep their columns, also those named like a measure.
 """
 
 from __future__ import annotations
@@ -74,11 +74,11 @@ def measures(text: Column) -> Column:
     return let(F.array_remove(F.split(t, r"[\x20\x09-\x0D]+"), ""), lambda w: let(lines, lambda li: of(w, li)))
 
 
-def with_measures(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    rest = [c for c in docs.columns if c.lower() not in {*MEASURES, "base_failed"}]
-    found = docs.select(*(F.col(f"`{c}`") for c in rest), F.explode(F.array(measures(F.col(f"`{text_col}`")))).alias("_m"))
+def with_measures(docs: DataFrame, text: str = "text") -> DataFrame:
+    """docs, none of whose columns may be named as a measure, with the measures of a text and base_failed."""
+    found = docs.withColumn("_m", F.explode(F.array(measures(F.col(text)))))
     failed = (F.col("_m.n_words") < 50) | (100 * F.col("_m.n_repeat_words") > 50 * F.col("_m.n_words"))
-    return found.select(*(F.col(f"`{c}`") for c in rest), *(F.col(f"_m.{m}").alias(m) for m in MEASURES), failed.alias("base_failed"))
+    return found.select(*docs.columns, *(F.col(f"_m.{m}").alias(m) for m in MEASURES), failed.alias("base_failed"))
 
 
 def log_gamma(x: Column) -> Column:
@@ -153,7 +153,8 @@ def kept_documents(docs: DataFrame, labels: DataFrame, stratum: str = "lang") ->
     once for the labelled documents, once for the verdict. The few cutoffs are what is joined."""
     measured = with_measures(docs.select("doc_id", "text", stratum)).drop("text")
     cutoffs = materialize(certified_cutoffs(measured, labels, stratum), "cutoffs")
-    return judge(with_measures(docs), cutoffs, stratum).where("kept").select(docs.columns)
+    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_doc"), F.col(stratum).alias("_stratum"))
+    return judge(with_measures(whole, "_doc.text"), cutoffs, "_stratum").where("kept").select("_doc.*")
 
 
 ORACLE_SQL = r"""
