@@ -126,7 +126,7 @@ class Written(WriterCommitMessage):
 class WarcReader(DataSourceReader):
     def __init__(self, schema, options):
         self.schema, self.path, self.want = schema, options["path"].rstrip("/"), {}
-        self.most = int(options.get("partitionbytes", PARTITION_BYTES))
+        self.most = int(options.get("partitionbytes", 0))
 
     def pushFilters(self, filters: list[Filter]):  # noqa: N802
         for f in filters:
@@ -141,9 +141,11 @@ class WarcReader(DataSourceReader):
         where, path = store(self.path)
         with where.open_input_file(f"{path}/_FILES.json") as f:
             files = json.loads(f.read())
+        # as many partitions as a small cluster keeps busy, of at most PARTITION_BYTES
+        most = self.most or min(PARTITION_BYTES, max(1 << 20, sum(n for _, n in files) // 48))
         groups, size = [[]], 0
         for name, n in files:
-            if groups[-1] and size + n > self.most:
+            if groups[-1] and size + n > most:
                 groups.append([])
                 size = 0
             groups[-1].append(f"{path}/{name}")
