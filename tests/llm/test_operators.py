@@ -441,13 +441,32 @@ def plain_order(a, b):
     return len(tails) / (len(a) + len(b) - len(tails))
 
 
-def test_open_pairs_link_what_the_first_round_cannot(spark):
-    """A bucket whose least text is like none of the others: the others still find each other."""
+def test_open_pairs_meet_without_their_hub(spark):
+    """A bucket whose hub is like none of the others: the others still find each other."""
     buckets = spark.createDataFrame([(s, i, 100, 1, 100) for s in (10, 11, 12) for i in (1, 2, 3)] + [(13, 1, 100, 1, 100), (13, 4, 100, 1, 100)], "sig long, id long, n long, hub long, hub_n long")
-    none = spark.createDataFrame([], "node long, root long")
-    assert {(r.a, r.b) for r in near_dedup.open_pairs(buckets, none, 0.8).collect()} == {(1, 2), (1, 3), (2, 3)}
-    roots = spark.createDataFrame([(1, 1), (2, 1)], "node long, root long")
-    assert {(r.a, r.b) for r in near_dedup.open_pairs(buckets, roots, 0.8).collect()} == {(1, 3), (2, 3)}
+    no_family, texts = spark.createDataFrame([], "id long, family long"), spark.createDataFrame([], "id long, text string")
+    none, roots = (spark.createDataFrame(r, "node long, root long") for r in ([], [(1, 1), (2, 1)]))
+    assert {(r.a, r.b) for r in near_dedup.open_pairs(buckets, none, no_family, texts, 0.8).collect()} == {(1, 2), (1, 3), (2, 3)}
+    assert {(r.a, r.b) for r in near_dedup.open_pairs(buckets, roots, no_family, texts, 0.8).collect()} == {(1, 3), (2, 3)}
+
+
+def test_edits_of_a_hub_find_each_other(spark):
+    rnd = random.Random(8)
+    base = [f"w{k}" for k in range(120)]
+
+    def edited(places):
+        words = list(base)
+        for p in places:
+            words[p] = f"e{p}"
+        return " ".join(words)
+
+    # 2 and 3 are too far from the base but share most edits; 4 is as far and shares none
+    texts = {1: " ".join(base), 2: edited([10, 30, 50, 70]), 3: edited([10, 30, 50, 71]), 4: edited([20, 40, 60, 80, 100])}
+    texts |= {10 + k: edited([rnd.randrange(120)]) for k in range(30)}
+    classes = {r.doc_id: r.class_id for r in near_dedup.near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    x = {d: next(near_dedup.text_shingles(pa.array([t]))) for d, t in texts.items()}
+    assert near_dedup.alignment(x[1], x[2]) == 0 and near_dedup.alignment(x[2], x[3]) > 0
+    assert classes[2] == classes[3] == 2 and classes[4] == 4 and all(classes[d] == 1 for d in (1, *range(10, 40)))
 
 
 def test_near_duplicates_on_hard_tables(spark, hard_docs, no_docs):
