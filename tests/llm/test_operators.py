@@ -321,6 +321,29 @@ def test_contexts_discover_unseen_identifiers(spark, no_docs, hard_docs):
     assert personal_data.find_personal_data(hard_docs).count() == hard_docs.count()
 
 
+def test_words_that_stand_elsewhere_prove_nothing(spark):
+    seeds = [(k, f"mail{k} with p{k}@x.org zu{k}") for k in range(4)] + [(10 + k, f"x{k} +1 415 555 01{k:02d} er he{k}") for k in range(4)] + [(20 + k, f"see{k} <q{k}@x.org oh{k}") for k in range(4)]
+    same = [(30 + k, f"contact at r{k}@x.org today") for k in range(4)]
+    unseen = [(50, "some with 86420-97531 units"), (51, "some 97531-86420 er"), (52, "one <13579-24680 two"), (53, "contact at 24680-13579 today")]
+    plain = [(100 + k, f"he came with a friend {k} er <b or at home or today") for k in range(20)]
+    frame = spark.createDataFrame(seeds + same + unseen + plain, "doc_id long, text string")
+    found = {r.doc_id: r.spans for r in personal_data.find_personal_data(frame).collect()}
+    assert [found[k] for k in (50, 51, 52)] == [[], [], []]
+    assert [(s.kind, s.start, s.end) for s in found[53]] == [("context", 11, 22)]
+
+
+def test_uses_by_brute_force(spark):
+    texts = ["a b c", "A x c", "a", "", None, "<ab> a b c"]
+    want = collections.Counter()
+    for words in ((t or "").lower().split() for t in texts):
+        ends = [personal_data.START, *words, personal_data.END] if words else []
+        want.update(ends)
+        want.update(f"{a} {b}" for a, b in zip(ends, ends[2:]))
+        want.update(x for w in words for k in range(1, len(w)) for x in (f"{w[:k]}\t", f"\t{w[-k:]}"))
+    frame = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
+    assert {r.context: r.total for r in personal_data.uses_of(frame, b"\xff" * (1 << personal_data.FILTER_BITS - 3), set(range(9)), set(range(9))).collect()} == want
+
+
 # --- 9: token files ---
 
 
