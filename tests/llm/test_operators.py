@@ -242,6 +242,15 @@ def test_markov_tells_random_from_written(spark, documents):
     assert spans.redacted("abcdef", [{"start": 1, "end": 4}, {"start": 2, "end": 5}, {"start": 5, "end": 6}], "-") == "a--"
 
 
+def test_training_reads_whole_texts(spark, documents):
+    late = " ".join(["plain"] * 80 + ["afterwards"])
+    assert "afterwards" in {r.value for r in secret_scan.labelled_sample(spark.createDataFrame([(1, late)], "doc_id long, text string")).where("secret = 0").collect()}
+    rnd = random.Random(5)
+    odd = " ".join("".join(rnd.choices("XQZJKVxqzjkv", k=24)) for _ in range(12))
+    docs = documents.select("doc_id", "text")
+    assert secret_scan.train(docs.union(spark.createDataFrame([(-1, odd)], docs.schema))).bound <= secret_scan.train(docs).bound + 0.05
+
+
 def test_secrets_on_hard_tables(spark, hard_docs, no_docs):
     found = secret_scan.find_secrets(hard_docs.withColumn("spans", F.lit(1)), secret_scan.train(hard_docs))
     assert found.count() == hard_docs.count() and found.columns == [*hard_docs.columns, "spans"]
