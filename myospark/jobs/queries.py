@@ -427,11 +427,11 @@ def contraction_level(spark, sf_dir):
 def bootstrap_length(spark, sf_dir):
     smooth = views.smooth_sarcomeres(spark, sf_dir)
     mu = smooth.groupBy(*FRAME).agg(F.avg("length").alias("mu"), F.count(F.lit(1)).alias("size"))
-    drawn = compare.bootstrap_mean_diff(smooth.select(*FRAME, F.col("length").alias("value")).join(mu, FRAME), runs=200)
+    drawn = compare.bootstrap_mean_diff(smooth.select(*FRAME, F.col("length").alias("value")).join(mu, FRAME))
     return drawn.groupBy(*FRAME).agg(F.avg("diff").alias("mean"), F.stddev("diff").alias("sd"))
 
 
 @query()
 def tracked_vs_untracked(spark, sf_dir):
     tracks = views.tracked_movie(spark, sf_dir)
-    return compare.tracked_vs_untracked(views.smooth_sarcomeres(spark, sf_dir), sarcomeres.detect_by_frame(tracks), runs=200)
+    return compare.tracked_vs_untracked(views.smooth_sarcomeres(spark, sf_dir), sarcomeres.detect_by_frame(tracks))

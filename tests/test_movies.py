@@ -339,3 +339,15 @@ def test_jobs_end_to_end(spark, sf_dir, tmp_path):
     assert {k: v.count() > 0 for k, v in out.items()} == dict.fromkeys(out, True)
     tables.write_metrics_json(out["metrics"], str(tmp_path / "metrics"))
     assert spark.read.json(str(tmp_path / "metrics")).columns == ["c_iso", "c_oop", "movie_id", "oop", "s_avg", "s_til"]
+
+
+@pytest.mark.parametrize("name", ["bootstrap_length", "tracked_vs_untracked"])
+def test_bootstrap_queries_draw_the_default_runs(name, spark, monkeypatch):
+    from myospark.jobs import queries
+
+    seen = []
+    for kind in ("bootstrap_mean_diff", "bootstrap_angle_diff"):
+        real = getattr(compare, kind)
+        monkeypatch.setattr(compare, kind, lambda *a, real=real, **k: seen.append(k.get("runs", compare.RUNS)) or real(*a, **k))
+    queries.QUERIES[name](spark, "/root/testdata/sf0.001")
+    assert seen and set(seen) == {compare.RUNS}
