@@ -8,7 +8,10 @@ other parameters, if at least half of its windows are.
 
 Names are capitalised words inside a sentence; numbers begin with a digit; units are listed words after a number.
 Items shorter than a window are one window of their length; those under LEAST_TOKENS tokens prove nothing and are left
-out.  A window needs as many ordinary tokens as half its length.  Nulls count as empty texts; repeated rows of the
+out.  Items of 11 to 22 tokens have windows of a third of their length, so that one changed word leaves half of them, and
+these must be found in one alignment; items of 8 to 10 tokens keep windows of eight and bear no change in the middle.
+Windows with fewer ordinary tokens than half their length meet only by their words as they stand; with other values they
+count where the windows found around them in the same alignment cover them.  All windows of an item count.  Nulls count as empty texts; repeated rows of the
 benchmark count once, repeated documents give their pairs once; extra columns are ignored.
 """
 
@@ -46,7 +49,7 @@ STOP[[10, 33, 46, 58, 59, 63]] = True  # line end ! . : ; ?
 
 
 def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(starts, ends, row, kind, code) of the template tokens of a run of UTF-8 texts."""
+    """(starts, ends, row, kind, code, word's own code) of the template tokens of a run of UTF-8 texts."""
     n = len(data)
     low = FOLD[data]
     upper = UPPER[data]
@@ -62,7 +65,7 @@ def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
         inside[1:-1] |= mark
     starts, ends, row = runs(inside, offsets)
     if not len(starts):
-        return starts, ends, row, starts.astype(np.int8), starts.astype(np.uint64)
+        return starts, ends, row, starts.astype(np.int8), starts.astype(np.uint64), starts.astype(np.uint64)
     code = slice_hash(prefix_hash(low), starts, ends)
     kind = np.zeros(len(starts), np.int8)
     kind[digit[starts]] = NUM
@@ -75,7 +78,7 @@ def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     after = np.zeros(len(starts), bool)
     after[1:] = (kind[:-1] == NUM) & (row[1:] == row[:-1])
     kind[after & (kind == WORD) & np.isin(code, UNIT_CODES)] = UNIT
-    return starts, ends, row, kind, np.where(kind == WORD, code, kind.astype(np.uint64))
+    return starts, ends, row, kind, np.where(kind == WORD, code, kind.astype(np.uint64)), code
 
 
 def _unit_codes() -> np.ndarray:
@@ -87,38 +90,43 @@ def _unit_codes() -> np.ndarray:
 UNIT_CODES = _unit_codes()
 
 
-def windows(row: np.ndarray, kind: np.ndarray, code: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """(first token, hash) of the windows that lie in one text and have ordinary tokens enough."""
+def item_size(n: np.ndarray) -> np.ndarray:
+    """The length of the windows of items of n tokens."""
+    return np.where(n < WINDOW, n, np.where(n < 3 * LEAST_TOKENS - 1, WINDOW, np.minimum((n + 1) // 3, WINDOW)))
+
+
+def windows(row: np.ndarray, kind: np.ndarray, code: np.ndarray, own: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first token, hash, whether by its words as they stand) of the windows that lie in one text."""
     n = len(code) - size + 1
     if n <= 0:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, bool)
     plain = np.concatenate([[0], np.cumsum(kind == WORD)])
-    good = np.flatnonzero((row[:n] == row[size - 1 :]) & (2 * (plain[size:] - plain[:-size]) >= size))
-    h = np.full(n, size, np.uint64)
+    good = np.flatnonzero(row[:n] == row[size - 1 :])
+    literal = 2 * (plain[size:] - plain[:-size]) < size
+    h, stands = np.full(n, size, np.uint64), np.full(n, size + WINDOW, np.uint64)
     for i in range(size):
         h = h * PRIME + code[i : i + n]
-    return good, mix(h[good])
+        stands = stands * PRIME + own[i : i + n]
+    return good, mix(np.where(literal, stands, h)[good]), literal[good]
 
 
 WINDOW_SCHEMA = "template string, hash long, pos int, size int, slots array<string>"
 
 
-def emitted(data: np.ndarray, starts, ends, kind, at: int, size: int) -> tuple[str, list[str]]:
+def emitted(data: np.ndarray, starts, ends, kind, at: int, size: int, literal: bool) -> tuple[str, list[str]]:
     """The template of a window as text, and the values in its slots."""
     parts, slots = [], []
     for i in range(at, at + size):
         word = data[starts[i] : ends[i]].tobytes().decode("utf-8", "replace").lower()
-        if kind[i] == WORD:
-            parts.append(word)
-        else:
-            parts.append(PLACEHOLDERS[int(kind[i])])
+        parts.append(word if literal or kind[i] == WORD else PLACEHOLDERS[int(kind[i])])
+        if kind[i] != WORD:
             slots.append(PLACEHOLDERS[int(kind[i])] + word)
-    return " ".join(parts), slots
+    return ("= " if literal else "") + " ".join(parts), slots
 
 
 def template_windows(texts: DataFrame, id_col: str, sizes: list[int], wanted: np.ndarray | None, own_size: bool = False) -> DataFrame:
     """id, template, hash, pos, size, slots of windows; only those whose hash `wanted` marks, if given. With own_size a
-    text shorter than WINDOW gives the one window of its length."""
+    text gives the windows of its item_size."""
     bounded_batches(texts.sparkSession)
     kind_ = texts.schema[id_col].dataType.simpleString()
     shift = np.uint64(64 - FILTER_BITS)
@@ -130,20 +138,20 @@ def template_windows(texts: DataFrame, id_col: str, sizes: list[int], wanted: np
             ids = batch.column(0).to_pylist()
             out: dict[str, list] = {k: [] for k in ("id", "template", "hash", "pos", "size", "slots")}
             for a, b, data, offsets in text_chunks(batch.column(1)):
-                starts, ends, row, kind, code = tokens(data, offsets)
+                starts, ends, row, kind, code, own = tokens(data, offsets)
                 first = np.searchsorted(row, np.arange(b - a + 1), "left")
                 length = np.diff(first)
                 for size in sizes:
-                    at, h = windows(row, kind, code, size)
+                    at, h, literal = windows(row, kind, code, own, size)
                     if own_size:
-                        fits = (length[row[at]] == size) if size < WINDOW else np.ones(len(at), bool)
-                        at, h = at[fits], h[fits]
+                        fits = item_size(length[row[at]]) == size
+                        at, h, literal = at[fits], h[fits], literal[fits]
                     if bits is not None:
                         place = h >> shift
                         hit = (bits[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8)) & 1
-                        at, h = at[hit.view(bool)], h[hit.view(bool)]
-                    for i, x in zip(at.tolist(), h.view(np.int64).tolist(), strict=True):
-                        template, slots = emitted(data, starts, ends, kind, i, size)
+                        at, h, literal = (x[hit.view(bool)] for x in (at, h, literal))
+                    for i, x, stands in zip(at.tolist(), h.view(np.int64).tolist(), literal.tolist(), strict=True):
+                        template, slots = emitted(data, starts, ends, kind, i, size, stands)
                         out["id"].append(ids[a + row[i]])
                         out["template"].append(template)
                         out["hash"].append(x)
@@ -168,19 +176,23 @@ def contaminated_pairs(docs: DataFrame, benchmark: DataFrame, coverage: float =
     if not used:
         used = [WINDOW]
     found = template_windows(docs.select("doc_id", "text"), "doc_id", used, np.packbits(marks, bitorder="little"))
-    totals = items.groupBy("item_id").agg(F.countDistinct("pos").alias("total"))
+    totals = items.groupBy("item_id").agg(F.countDistinct("pos").alias("total"), F.max("size").alias("size"))
     mine = items.select("item_id", "template", F.col("pos").alias("item_pos"), F.col("slots").alias("item_slots"))
     both = found.select(F.col("id").alias("doc_id"), "template", "pos", "slots").distinct().join(mine, "template")
     met = both.groupBy("doc_id", "item_id", (F.col("pos") - F.col("item_pos")).alias("shift")).agg(
-        F.collect_set("item_pos").alias("places"),
+        F.array_sort(F.collect_set("item_pos")).alias("places"),
         F.array_distinct(F.flatten(F.collect_set(F.arrays_zip(F.col("item_slots").alias("i"), F.col("slots").alias("d"))))).alias("values"),
     )
     item_values, doc_values = F.transform("values", lambda v: v["i"]), F.transform("values", lambda v: v["d"])
     one_to_one = (F.size(F.array_distinct(item_values)) == F.size("values")) & (F.size(F.array_distinct(doc_values)) == F.size("values"))
     same = F.forall("values", lambda v: v["i"] == v["d"])
-    consistent = met.where(one_to_one).withColumn("same", same)
-    pairs = consistent.groupBy("doc_id", "item_id").agg(F.array_distinct(F.flatten(F.collect_list("places"))).alias("places"), F.max(F.struct(F.size("places"), "same"))["same"].alias("same"))
-    out = pairs.join(totals, "item_id").withColumn("windows", F.size("places")).withColumn("coverage", F.col("windows") / F.col("total")).where(F.col("coverage") >= coverage)
+    # windows between two found ones that touch or overlap consist of tokens found
+    filled = F.expr("flatten(transform(places, (p, i) -> sequence(p, if(i + 1 < size(places) and places[i + 1] - p <= size, places[i + 1] - 1, p))))")
+    consistent = met.where(one_to_one).withColumn("same", same).join(totals, "item_id").withColumn("places", filled)
+    best = F.max(F.struct(F.size("places").alias("n"), "same"))
+    pairs = consistent.groupBy("doc_id", "item_id", "total", "size").agg(F.array_distinct(F.flatten(F.collect_list("places"))).alias("places"), best.alias("best"))
+    windows_found = F.when(F.col("size") < WINDOW, F.col("best.n")).otherwise(F.size("places"))
+    out = pairs.withColumn("windows", windows_found).withColumn("same", F.col("best.same")).withColumn("coverage", F.col("windows") / F.col("total")).where(F.col("coverage") >= coverage)
     return out.select("doc_id", "item_id", "windows", "coverage", F.when(F.col("same"), "exact").otherwise("reparameterised").alias("kind"))
 
 

@@ -201,6 +201,16 @@ def test_benchmark_passages_by_brute_force(spark):
     assert {(r.doc_id, r.item_id) for r in queries.op5_decontaminate(spark, sf).collect()} == wanted
 
 
+def test_items_of_placeholders_and_changed_words_are_found(spark):
+    sums, title = "What is 12 + 30 - 7 * 4 / 2", "The Quick Brown Fox Jumps Over Lazy Dogs"
+    long = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi"
+    few = "please add up all of these numbers now " + " ".join(str(k) for k in range(100, 140))
+    bench = [(1, sums), (2, title), (3, long), (4, few)]
+    docs = [(1, f"Try this. {sums}"), (2, f"Read:\n{title}"), (3, long.replace("eta theta", "eta changed")), (4, "please add up all of these numbers now or never"), (5, f"so {few}")]
+    found = decontaminate.contaminated_pairs(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id) for r in found} == {(1, 1), (2, 2), (3, 3), (5, 4)}
+
+
 def test_decontamination_on_hard_tables(spark, hard_docs, no_docs):
     bench = spark.createDataFrame([(1, "word0 word1 word2 word3 word4 word5 word6 word7 word8"), (None, None)], "item_id long, text string")
     assert {r.doc_id for r in decontaminate.contaminated_pairs(hard_docs, bench).collect()} == {4}
