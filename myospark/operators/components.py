@@ -10,17 +10,27 @@ from pyspark.sql import functions as F
 from ..storage import materialize
 
 
+#: Places over which the edges of a node are dealt, so a node with a third of all edges is not one task's.
+SALTS = 8
+
+
+def with_least(edges: DataFrame, least: DataFrame) -> DataFrame:
+    """edges with m of their u; least has one row a node, which goes to each of the node's places."""
+    copies = least.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return edges.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int")).join(copies, ["u", "salt"]).drop("salt")
+
+
 def large_star(edges: DataFrame) -> DataFrame:
     """Every neighbour above a node is hung onto the least node around it."""
     both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.when(F.col("m") < F.col("u"), F.col("m")).otherwise(F.col("u")))
-    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+    return with_least(both.where("v > u"), least).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
 
 
 def small_star(edges: DataFrame) -> DataFrame:
     """A node and its lesser neighbours are hung onto the least of them."""
     least = edges.groupBy("u").agg(F.min("v").alias("m"))
-    moved = edges.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+    moved = with_least(edges, least).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
 
