@@ -8,14 +8,29 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+def absolute(spark: SparkSession, path: str) -> str:
+    """path with the scheme that Spark takes where none is named: that of its default file system."""
+    found = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return found.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).makeQualified(found).toString().rstrip("/")
+
+
+def store(uri: str):
+    """(file system, path) of pyarrow for an absolute uri, such as file:/a/b or scheme://host/a/b."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(uri if ":" in uri else f"file://{uri}")
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder, spark.checkpoint.dir; a temporary one only where none is set."""
+    """The cluster's shared folder, spark.checkpoint.dir; a temporary one only on a single machine where none is set."""
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not named:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no folder that all hosts share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
         named = sc.getCheckpointDir()
-    return named.rstrip("/")
+    return absolute(spark, named)
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
@@ -24,8 +39,28 @@ def shared_path(spark: SparkSession, name: str) -> str:
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df once to the shared folder and read it back: the new plan starts at the files, so a lost
-    executor costs a task and not the whole lineage."""
+    executor costs a task and not the whole lineage. The tables stay until release()."""
     spark = df.sparkSession
     path = shared_path(spark, name)
     df.write.parquet(path)
+    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+#: Tables that each application has written and not yet released.
+_written: dict[str, list[str]] = {}
+
+
+def release(spark: SparkSession) -> int:
+    """Delete the tables that this application has written; frames that still read them are of no use then."""
+    paths = _written.pop(spark.sparkContext.applicationId, [])
+    for p in paths:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+    return len(paths)
+
+
+def spread(df: DataFrame, *columns: str) -> DataFrame:
+    """df dealt by the columns into as many tasks as a shuffle has, small tables too: for work that weighs far more than its
+    rows do, which adaptive execution would gather in one task."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *columns)
