@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 
-LENGTHS = np.geomspace(0.1, 10.0, 25)
+LENGTHS = np.geomspace(0.1, 10.0, 13)
 RATIOS = np.geomspace(1e-8, 1e4, 61)
 
 
@@ -31,17 +31,27 @@ class _Kernel:
 
 
 def _fit(kernel: _Kernel, y: np.ndarray) -> tuple[float, float]:
-    def best(length: float) -> tuple[float, float, float]:
-        d, q = kernel.at(length)
-        fit, ratio, _ = _profile(d, (q.T @ y) ** 2, RATIOS)
-        return max((fit, ratio, length), _profile(d, (q.T @ y) ** 2, ratio * np.geomspace(0.6, 1.6, 21))[:2] + (length,))
+    """(length, noise ratio) of the likeliest kernel: by the grid of lengths, then between the neighbours of the best, twice."""
+    q2, found = {}, {}
 
-    found = [best(length) for length in LENGTHS]
-    k = int(np.argmax([f[0] for f in found]))
-    low, high = LENGTHS[max(0, k - 1)], LENGTHS[min(len(LENGTHS) - 1, k + 1)]
-    refined = [best(float(length)) for length in np.linspace(low, high, 9)]
-    _, ratio, length = max([found[k], *refined])
-    return length, ratio
+    def at(length: float, ratios: np.ndarray = RATIOS) -> None:
+        d, q = kernel.at(length)
+        if length not in q2:
+            q2[length] = (q.T @ y) ** 2
+        found[length] = max(found.get(length, (-np.inf, 0.0)), _profile(d, q2[length], ratios)[:2])
+
+    for length in LENGTHS:
+        at(float(length))
+    for _ in range(2):
+        known = sorted(found)
+        k = known.index(max(known, key=lambda x: found[x][0]))
+        low, high = known[max(0, k - 1)], known[min(len(known) - 1, k + 1)]
+        near = found[known[k]][1] * np.geomspace(0.5, 2.0, 13)
+        for length in np.geomspace(low, high, 6)[1:-1]:
+            at(float(length), near)
+    best = max(found, key=lambda x: found[x][0])
+    at(best, found[best][1] * np.geomspace(0.8, 1.25, 21))
+    return best, found[best][1]
 
 
 def gp_smooth(x: np.ndarray, columns: list[np.ndarray]) -> list[np.ndarray]:
@@ -120,25 +130,43 @@ def dtw_many(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
 
 
 def ward(distances: np.ndarray) -> list[tuple[int, int, float, int, list[int]]]:
-    """(a, b, height, size, leaves) of each merge, by Lance and Williams' update; of equals the first pair."""
+    """(a, b, height, size, leaves) of each merge, by Lance and Williams' update. Chains of nearest neighbours find the
+    merges, each in time linear in the clusters left; they are numbered by height afterwards."""
     n = len(distances)
     d = distances.astype(float) ** 2
     np.fill_diagonal(d, np.inf)
-    name, size, leaves, out = list(range(n)), np.ones(n), [[k] for k in range(n)], []
-    alive = np.ones(n, bool)
-    for step in range(n - 1):
-        i, j = divmod(int(np.argmin(d)), n)
-        i, j = min(i, j), max(i, j)
+    size, alive, chain, found = np.ones(n), np.ones(n, bool), [], []
+    while len(found) < n - 1:
+        if not chain:
+            chain = [int(np.argmax(alive))]
+        here = chain[-1]
+        near = int(np.argmin(d[here]))
+        if len(chain) < 2 or d[here, near] < d[here, chain[-2]]:
+            chain.append(near)
+            continue
+        i, j = sorted((chain.pop(), chain.pop()))
         height, total = d[i, j], size[i] + size[j]
-        first, second = sorted((i, j), key=lambda k: name[k])
-        leaves[i] = leaves[first] + leaves[second]
-        out.append((name[first], name[second], float(np.sqrt(height)), int(total), leaves[i]))
+        found.append((height, i, j))
+        alive[j] = False
         rest = alive.copy()
-        rest[[i, j]] = False
+        rest[i] = False
         new = ((size[i] + size) * d[i] + (size[j] + size) * d[j] - size * height) / (total + size)
         d[i, rest] = d[rest, i] = new[rest]
         d[j] = d[:, j] = np.inf
-        size[i], alive[j], name[i] = total, False, n + step
+        size[i] = total
+    of, name, leaves, out = list(range(n)), list(range(n)), [[k] for k in range(n)], []
+
+    def cluster(k: int) -> int:
+        while of[k] != k:
+            of[k] = k = of[of[k]]
+        return k
+
+    for step, k in enumerate(np.argsort([f[0] for f in found], kind="stable").tolist()):
+        height, i, j = found[k]
+        first, second = sorted((cluster(i), cluster(j)), key=lambda c: name[c])
+        leaves[first] = leaves[first] + leaves[second]
+        out.append((name[first], name[second], float(np.sqrt(max(height, 0.0))), len(leaves[first]), leaves[first]))
+        of[second], name[first], leaves[second] = first, n + step, []
     return out
 
 

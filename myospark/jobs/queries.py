@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators import analysis, compare, graph, sarcomeres, segment, series, track
-from . import views
+from . import movies, views
 from .views import with_views
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -134,6 +134,16 @@ def segment_zdiscs(spark, sf_dir):
     return segment.segment_zdiscs(views.drawn_movie(spark, sf_dir))
 
 
+@query(
+    "select movie_id, frame, count(*) as sarcomeres, avg(length) as mean_length, avg((length - rest) / rest) as mean_norm from (select *, avg(length) over (partition by vec_id, k) as rest from fibre_lengths) group by all",
+    "mean_length mean_norm",
+)
+def frames_to_curves(spark, sf_dir):
+    """From raw frames to every movie's curve, against the beat that was drawn."""
+    found, _ = movies.movies_to_sarcomeres(views.fibre_movie(spark, sf_dir))
+    return series.normalize_length(found).groupBy(*FRAME).agg(F.count("length").alias("sarcomeres"), F.avg("length").alias("mean_length"), F.avg("length_norm").alias("mean_norm"))
+
+
 # --- tracking -------------------------------------------------------------------------------------------------------
 
 
@@ -308,7 +318,13 @@ def euclidean_pairs(spark, sf_dir):
     return series.pair_distances(_smooth(spark, sf_dir), "euclidean")
 
 
-@query()
+DTW = """select movie_id, sarc_a, sarc_b, sqrt(list_last(list_reduce(list_prepend(list_prepend(0.0::double, list_transform(t, lambda v: 'inf'::double)), list_transform(s, lambda v: [v])),
+  lambda last_row, x: list_reduce(list_prepend(['inf'::double], list_transform(range(1, len(t) + 1), lambda k: [k::double])),
+    lambda acc, j: list_append(acc, (x[1] - t[j[1]::int]) ** 2 + least(last_row[j[1]::int], last_row[j[1]::int + 1], acc[j[1]::int])))))) as dist
+  from (select a.movie_id as movie_id, a.sarc_id as sarc_a, b.sarc_id as sarc_b, a.s as s, b.s as t from arrays a join arrays b on a.movie_id = b.movie_id and a.sarc_id < b.sarc_id)"""
+
+
+@query(DTW, "dist", **NORM, arrays="select movie_id, sarc_id, list(length_norm order by frame) as s from norm group by all")
 def dtw_pairs(spark, sf_dir):
     return series.pair_distances(_smooth(spark, sf_dir), "dtw")
 
@@ -318,6 +334,24 @@ def ward_linkage(spark, sf_dir):
     return series.ward_linkage(series.pair_distances(_smooth(spark, sf_dir), "euclidean"))
 
 
+@query()
+def leaf_order(spark, sf_dir):
+    return series.leaf_order(series.ward_linkage(series.pair_distances(_smooth(spark, sf_dir), "euclidean")))
+
+
+@query()
+def smooth_columns(spark, sf_dir):
+    """All five columns of the tracked sarcomeres, whose gaps are filled."""
+    return series.smooth_gpr(sarcomeres.detect_sarcomeres(views.tracked_movie(spark, sf_dir)))
+
+
+@query()
+def j_valleys(spark, sf_dir):
+    """Frames in which the movie as a whole is shortest, with valleys of any width: the drawn beat has two of 20 frames."""
+    deformed = analysis.deformation(views.smooth_sarcomeres(spark, sf_dir))
+    return series.find_valleys(series.filtered(deformed, "j", ("movie_id",)), "j", width=1.0, key=("movie_id",))
+
+
 @query()
 def smooth_gpr(spark, sf_dir):
     return series.smooth_gpr(views.series(spark, sf_dir), ("length",))

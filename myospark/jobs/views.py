@@ -7,15 +7,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-TRACKED = """
-select movie_id, frame, particle, x, y, x + e2 as p1_x, y + 4 + e3 as p1_y, x + e4 as p2_x, y - 4 + e5 as p2_y, e6, e7, e8 from (
+from ..storage import spread
+
+WHOLE = """
+select vec_id, movie_id, frame, particle, x, y, x + e2 as p1_x, y + 4 + e3 as p1_y, x + e4 as p2_x, y - 4 + e5 as p2_y, e6, e7, e8 from (
   select *, (12 * ({div}) + 2 * e0) * (1 - b) as x, (12 * (particle % 10) + 2 * e1) * (1 - b / 2) as y from (
-    select movie_id, particle, cast(frame as int) as frame, abs(frame % 20 - 10) / {hundred} as b, {e} from (
-      select vec_id, {movie} as movie_id, vec_id % 100 as particle, embedding as v, {frames} as frame from embeddings)
-    where not (particle % 3 = 0 and (vec_id * 7 + frame * 13) % 11 = 0)))
+    select vec_id, movie_id, particle, cast(frame as int) as frame, abs(frame % 20 - 10) / {hundred} as b, {e} from (
+      select vec_id, {movie} as movie_id, vec_id % 100 as particle, embedding as v, {frames} as frame from embeddings)))
 """
-_SPARK = TRACKED.format(div="particle div 10", hundred="100D", movie="vec_id div 100", frames="explode(sequence(0, 39))", e=", ".join(f"cast(v[{k}] as double) as e{k}" for k in range(9)))
-_DUCK = TRACKED.format(div="particle // 10", hundred="100.0::double", movie="vec_id // 100", frames="unnest(range(40))", e=", ".join(f"v[{k + 1}]::double as e{k}" for k in range(9)))
+GAPS = "not (particle % 3 = 0 and (vec_id * 7 + frame * 13) % 11 = 0)"
+_SPARK = WHOLE.format(div="particle div 10", hundred="100D", movie="vec_id div 100", frames="explode(sequence(0, 39))", e=", ".join(f"cast(v[{k}] as double) as e{k}" for k in range(9)))
+_DUCK = WHOLE.format(div="particle // 10", hundred="100.0::double", movie="vec_id // 100", frames="unnest(range(40))", e=", ".join(f"v[{k + 1}]::double as e{k}" for k in range(9)))
 PLACE = ["movie_id", "frame", "particle", "x", "y", "p1_x", "p1_y", "p2_x", "p2_y"]
 
 
@@ -23,13 +25,13 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _tracked(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(_SPARK.replace("embeddings", "{embeddings}"), embeddings=_table(spark, sf_dir, "embeddings"))
 
 
 def tracked_movie(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tracked z-discs: a jittered, beating 10 x 10 lattice a movie, a third of the particles with gaps."""
-    return _tracked(spark, sf_dir).select(PLACE)
+    return _whole(spark, sf_dir).where(GAPS).select(PLACE)
 
 
 def broken_movie(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,9 +44,9 @@ def untracked_movie(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def smooth_sarcomeres(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sarcomeres without gaps: the particles that are present in every frame."""
+    """Sarcomeres without gaps: one a particle, present in every frame."""
     b = "abs(frame % 20 - 10) / 100D"
-    return _tracked(spark, sf_dir).where("particle % 3 <> 0").selectExpr("movie_id", "frame", "particle as sarc_id", "x", "y", f"12 * (1 - {b}) + e6 as length", "8 + e8 as width", "pi() * (e7 + 0.5D) + 0.001D * frame as angle")
+    return _whole(spark, sf_dir).selectExpr("movie_id", "frame", "particle as sarc_id", "x", "y", f"12 * (1 - {b}) + e6 as length", "8 + e8 as width", "pi() * (e7 + 0.5D) + 0.001D * frame as angle")
 
 
 def series(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,32 +71,52 @@ def grey_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "lineitem").selectExpr("cast(0 as bigint) as movie_id", "cast(l_linenumber as int) as frame", "cast(l_extendedprice as double) as value")
 
 
-def drawn_movie(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The tracked movie as frames of 128 x 128: a bright bar of 2 x 7 pixels at every z-disc."""
-    bars = tracked_movie(spark, sf_dir).selectExpr("movie_id", "frame", "cast(round(x) as int) + 6 as r", "cast(round(y) as int) + 8 as c")
-    drawn = bars.selectExpr("movie_id", "frame", "explode(flatten(transform(sequence(0, 1), i -> transform(sequence(-3, 3), j -> (r + i) * 128 + c + j)))) as at")
-    lit = drawn.groupBy("movie_id", "frame").agg(F.collect_set("at").alias("lit"))
+def _drawn(lit: DataFrame, height: int, width: int) -> DataFrame:
+    """Frames of height x width from (movie_id, frame, lit), the places of their bright pixels."""
 
     def draw(batches):
         for batch in batches:
             for movie, frame, at in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                pixels = np.zeros(128 * 128)
+                pixels = np.zeros(height * width)
                 pixels[at] = 1
-                yield pa.RecordBatch.from_pydict({"movie_id": [movie], "frame": pa.array([frame], pa.int32()), "height": pa.array([128], pa.int32()), "width": pa.array([128], pa.int32()), "channels": pa.array([1], pa.int32()), "pixels": [pixels]})
+                yield pa.RecordBatch.from_pydict({"movie_id": [movie], "frame": pa.array([frame], pa.int32()), "height": pa.array([height], pa.int32()), "width": pa.array([width], pa.int32()), "channels": pa.array([1], pa.int32()), "pixels": [pixels]})
+
+    return spread(lit, "movie_id", "frame").mapInArrow(draw, "movie_id long, frame int, height int, width int, channels int, pixels array<double>")
+
+
+def drawn_movie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tracked movie as frames of 128 x 128: a bright bar of 2 x 7 pixels at every z-disc."""
+    bars = tracked_movie(spark, sf_dir).selectExpr("movie_id", "frame", "cast(round(x) as int) + 6 as r", "cast(round(y) as int) + 8 as c")
+    drawn = bars.selectExpr("movie_id", "frame", "explode(flatten(transform(sequence(0, 1), i -> transform(sequence(-3, 3), j -> (r + i) * 128 + c + j)))) as at")
+    return _drawn(drawn.groupBy("movie_id", "frame").agg(F.collect_set("at").alias("lit")), 128, 128)
+
+
+#: Gaps between the four z-discs of a fibre at rest; the beat takes a pixel off each in half of the frames.
+GAPS_AT_REST, BEAT = (14, 16, 15), "cast(frame % 6 >= 3 as int)"
+
 
-    return lit.mapInArrow(draw, "movie_id long, frame int, height int, width int, channels int, pixels array<double>")
+def fibre_movie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames of 72 x 176: every embedding is a fibre of four z-discs, every five a movie of twelve frames. The bars lie too far
+    apart for their filtered images to touch, so every length found must be the one drawn."""
+    g = "array" + str(GAPS_AT_REST)
+    gap = lambda k: f"{g}[(coalesce(label, 0) + {k}) % 3]"
+    fibres = _table(spark, sf_dir, "embeddings").selectExpr("vec_id div 5 as movie_id", "cast(12 + 36 * (vec_id % 5) as int) as c", f"array(10, 10 + {gap(0)}, 10 + {gap(0)} + {gap(1)}, 10 + {gap(0)} + {gap(1)} + {gap(2)}) as rest", "explode(sequence(0, 11)) as frame")
+    bars = fibres.selectExpr("movie_id", "frame", "c", "posexplode(rest) as (k, r0)").selectExpr("movie_id", "frame", "c", f"r0 - (k - 1) * {BEAT} as r")
+    drawn = bars.selectExpr("movie_id", "frame", "explode(flatten(transform(sequence(0, 1), i -> transform(sequence(-3, 3), j -> (r + i) * 176 + c + j)))) as at")
+    return _drawn(drawn.groupBy("movie_id", "frame").agg(F.collect_set("at").alias("lit")), 72, 176)
 
 
 #: DuckDB's SQL of the views, as the common table expressions that the oracles begin with.
 SQL = {
-    "tracked": _DUCK,
-    "tracked_movie": f"select {', '.join(PLACE)} from tracked",
+    "whole_movie": _DUCK,
+    "tracked_movie": f"select {', '.join(PLACE)} from whole_movie where {GAPS}",
     "broken_movie": f"select movie_id, frame, case when particle % 3 = 0 and frame >= 20 then particle + 1000 else particle end as particle, {', '.join(PLACE[3:])} from tracked_movie",
-    "smooth": "select movie_id, frame, particle as sarc_id, x, y, 12 * (1 - b) + e6 as length, 8 + e8 as width, pi() * (e7 + 0.5::double) + 0.001::double * frame as angle from (select *, abs(frame % 20 - 10) / 100.0::double as b from tracked where particle % 3 <> 0)",
+    "smooth": "select movie_id, frame, particle as sarc_id, x, y, 12 * (1 - b) + e6 as length, 8 + e8 as width, pi() * (e7 + 0.5::double) + 0.001::double * frame as angle from (select *, abs(frame % 20 - 10) / 100.0::double as b from whole_movie)",
     "series": """select user_id % 5 as movie_id, user_id as sarc_id, frame::int as frame, 10 + v / 100 as length from (select distinct user_id from events), unnest(range(60)) r(frame)
       left join (select user_id as u, 2 * datediff('day', date '2024-01-01', ts::date) + (case when hour(ts) >= 12 then 1 else 0 end) as f, avg(value) as v from events group by all) on u = user_id and f = frame""",
     "pixels": "select 0::bigint as movie_id, vec_id as frame, i // 8 as row, i % 8 as col, embedding[i + 1]::double as value from embeddings, unnest(range(64)) r(i)",
     "contour_points": "select 0::bigint as movie_id, 0 as frame, vec_id as contour_id, k as seq, embedding[2 * k + 1]::double as x, embedding[2 * k + 2]::double as y from embeddings, unnest(range(32)) r(k)",
+    "fibre_lengths": f"select vec_id // 5 as movie_id, vec_id, k, f.frame::int as frame, ({list(GAPS_AT_REST)}[(coalesce(label, 0) + k) % 3 + 1] - {BEAT})::double as length from embeddings, unnest(range(3)) g(k), unnest(range(12)) f(frame)",
     "grey_values": "select 0::bigint as movie_id, l_linenumber::int as frame, l_extendedprice::double as value from lineitem",
 }
 

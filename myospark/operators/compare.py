@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.signals import bootstrap_angles, bootstrap_means
+from ..storage import spread
 
 FRAME = ["movie_id", "frame"]
 RUNS = 1000
@@ -27,7 +28,7 @@ def bootstrap_mean_diff(values: DataFrame, column: str = "value", runs: int = RU
         diff = bootstrap_means(np.sort(group[column].to_numpy(float)), group["mu"].iloc[0], int(group["size"].iloc[0]), runs, _seed(seed, movie, frame))
         return pd.DataFrame({"movie_id": movie, "frame": frame, "run": np.arange(runs), "diff": diff})
 
-    return values.where(F.col(column).isNotNull()).groupBy(*FRAME).applyInPandas(draw, "movie_id long, frame int, run int, diff double")
+    return spread(values.where(F.col(column).isNotNull()), *FRAME).groupBy(*FRAME).applyInPandas(draw, "movie_id long, frame int, run int, diff double")
 
 
 def bootstrap_angle_diff(values: DataFrame, column: str = "value", runs: int = RUNS, seed: int = 5) -> DataFrame:
@@ -38,7 +39,7 @@ def bootstrap_angle_diff(values: DataFrame, column: str = "value", runs: int = R
         angle, radius = bootstrap_angles(np.sort(group[column].to_numpy(float)), group["mu"].iloc[0], group["radius"].iloc[0], int(group["size"].iloc[0]), runs, _seed(seed, movie, frame))
         return pd.DataFrame({"movie_id": movie, "frame": frame, "run": np.arange(runs), "diff_angle": angle, "diff_radius": radius})
 
-    return values.where(F.col(column).isNotNull()).groupBy(*FRAME).applyInPandas(draw, "movie_id long, frame int, run int, diff_angle double, diff_radius double")
+    return spread(values.where(F.col(column).isNotNull()), *FRAME).groupBy(*FRAME).applyInPandas(draw, "movie_id long, frame int, run int, diff_angle double, diff_radius double")
 
 
 def tracked_vs_untracked(tracked: DataFrame, untracked: DataFrame, start: int = 0, stop: int | None = None, runs: int = RUNS, seed: int = 5) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import signals
+from ..storage import spread
 
 SERIES = ["movie_id", "sarc_id"]
 
@@ -25,7 +26,7 @@ def smooth_gpr(sarcomeres: DataFrame, columns: tuple[str, ...] = ("x", "y", "len
         return group.assign(**dict(zip(columns, signals.gp_smooth(frames, [group[c].to_numpy(float) for c in columns]), strict=True)))
 
     kinds = [f"{f.name} {'double' if f.name in columns else f.dataType.simpleString()}" for f in sarcomeres.schema]
-    return sarcomeres.groupBy(*SERIES).applyInPandas(smooth, ", ".join(kinds))
+    return spread(sarcomeres, *SERIES).groupBy(*SERIES).applyInPandas(smooth, ", ".join(kinds))
 
 
 def fill_linear(series: DataFrame, column: str = "length") -> DataFrame:
@@ -94,7 +95,7 @@ def find_valleys(filtered_series: DataFrame, value: str = "med", distance: int =
         at = signals.peaks(-group[value].to_numpy(float), distance, width)
         return group.iloc[at][[*key, "frame", value]]
 
-    return filtered_series.select(*key, "frame", value).groupBy(*key).applyInPandas(valleys, f"{kinds}, frame int, {value} double")
+    return spread(filtered_series.select(*key, "frame", value), *key).groupBy(*key).applyInPandas(valleys, f"{kinds}, frame int, {value} double")
 
 
 def length_stats(sarcomeres: DataFrame) -> DataFrame:
@@ -134,16 +135,23 @@ def dtw_distance() -> Callable[[Column, Column], Column]:
     return dtw
 
 
-def pair_distances(series: DataFrame, metric: str = "euclidean", value: str = "length_norm") -> DataFrame:
-    """(movie_id, sarc_a, sarc_b, dist) of all pairs of series of a movie, dealt by the pair so that a large movie is no
-    single task. Every pair is the result asked for; its number is the square of a movie's series, not of the table."""
+#: Parts into which the series of a movie are dealt; a task's work is the pairs of two parts.
+BLOCKS = 8
+
+
+def pair_distances(series: DataFrame, metric: str = "euclidean", value: str = "length_norm", blocks: int = BLOCKS) -> DataFrame:
+    """(movie_id, sarc_a, sarc_b, dist) of all pairs of series of a movie. The pairs of two of its parts arise together, so a
+    large movie is blocks * blocks tasks and a series travels `blocks` times, not once a pair. Every pair is the result
+    asked for; its number is the square of a movie's series, not of the table."""
+    own = F.pmod(F.xxhash64("sarc_id"), F.lit(blocks)).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
     arrays = as_arrays(series, value)
-    a = arrays.select("movie_id", F.col("sarc_id").alias("sarc_a"), F.col("series").alias("s"))
-    b = arrays.select("movie_id", F.col("sarc_id").alias("sarc_b"), F.col("series").alias("t"))
-    pairs = a.join(b, "movie_id").where("sarc_a < sarc_b")
+    a = arrays.select("movie_id", own.alias("part_a"), every.alias("part_b"), F.col("sarc_id").alias("sarc_a"), F.col("series").alias("s"))
+    b = arrays.select("movie_id", every.alias("part_a"), own.alias("part_b"), F.col("sarc_id").alias("sarc_b"), F.col("series").alias("t"))
+    key = ["movie_id", "part_a", "part_b"]
+    pairs = spread(a, *key).join(spread(b, *key), key).where("sarc_a < sarc_b")
     if metric == "dtw":
         dist = dtw_distance()(F.col("s"), F.col("t"))
-        pairs = pairs.repartition("movie_id", "sarc_a", "sarc_b")
     elif metric == "euclidean":
         dist = F.sqrt(F.aggregate(F.zip_with("s", "t", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda acc, x: acc + x))
     else:
@@ -151,22 +159,20 @@ def pair_distances(series: DataFrame, metric: str = "euclidean", value: str = "l
     return pairs.select("movie_id", "sarc_a", "sarc_b", dist.alias("dist"))
 
 
-def ward_linkage(distances: DataFrame, most: int = 5000) -> DataFrame:
+def ward_linkage(distances: DataFrame) -> DataFrame:
     """(movie_id, step, a, b, height, size, leaves): Ward's merges of each movie's series; clusters are numbered on from the
-    number of series, and leaves lists the merged series in the order of the tree. A movie is one task of its
-    distances squared, so one of more than `most` series is refused."""
+    number of series, and leaves lists the merged series in the order of the tree. A movie is one task that holds the
+    square of its series: 0.8 GB for 10,000 of them, in time that grows with that square."""
 
     def link(group: pd.DataFrame) -> pd.DataFrame:
         ids = np.unique(np.concatenate([group["sarc_a"], group["sarc_b"]]))
-        if len(ids) > most:
-            raise ValueError(f"{len(ids)} series in one movie; at most {most} are linked")
         d = np.zeros((len(ids), len(ids)))
         a, b = np.searchsorted(ids, group["sarc_a"]), np.searchsorted(ids, group["sarc_b"])
         d[a, b] = d[b, a] = group["dist"]
         rows = [(group["movie_id"].iloc[0], k, i, j, h, n, [int(ids[x]) for x in leaves]) for k, (i, j, h, n, leaves) in enumerate(signals.ward(d))]
         return pd.DataFrame(rows, columns=["movie_id", "step", "a", "b", "height", "size", "leaves"])
 
-    return distances.groupBy("movie_id").applyInPandas(link, "movie_id long, step int, a int, b int, height double, size int, leaves array<long>")
+    return spread(distances, "movie_id").groupBy("movie_id").applyInPandas(link, "movie_id long, step int, a int, b int, height double, size int, leaves array<long>")
 
 
 def leaf_order(linkage: DataFrame) -> DataFrame:
