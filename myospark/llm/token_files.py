@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..storage import materialize, shared_path
+from ..storage import absolute, materialize, shared_path, store
 from .batches import bounded_batches
 
 MAGIC = b"DAC1"
@@ -59,20 +59,19 @@ def pack(ids: np.ndarray) -> bytes:
 
 
 class Levels:
-    """Packed ids: whole by ids(), single ones by index."""
+    """Packed ids: whole by ids(), single ones by index. `read(at, n)` gives n bytes of them from the at-th on."""
 
-    def __init__(self, data: bytes | memoryview):
+    def __init__(self, data: bytes | memoryview | None = None, read=None):
+        self.read = read or (lambda at, n: data[at : at + n])
         self.levels, at = [], 8
-        (n,) = struct.unpack_from("<Q", data, 0)
+        (n,) = struct.unpack("<Q", self.read(0, 8))
         self.n = n
         while True:
             blocks = -(-n // BLOCK)
-            chunks = np.frombuffer(data, np.uint8, n, at)
-            bits = np.frombuffer(data, np.uint8, blocks * BLOCK // 8, at + n)
-            directory = np.frombuffer(data, np.uint32, blocks, at + n + len(bits))
-            self.levels.append((chunks, bits, directory))
-            at += n + len(bits) + directory.nbytes
-            (n,) = struct.unpack_from("<Q", data, at)
+            # where the chunks, the bitmap and the directory of a level of n ids begin
+            self.levels.append((n, at, at + n, at + n + blocks * BLOCK // 8))
+            at += n + blocks * BLOCK // 8 + 4 * blocks
+            (n,) = struct.unpack("<Q", self.read(at, 8))
             at += 8
             if not n:
                 return
@@ -81,25 +80,27 @@ class Levels:
         return self.n
 
     def __getitem__(self, i: int) -> int:
+        """One id: of every level that it has, a chunk, a block of the bitmap up to its mark and a count of the directory."""
         if not 0 <= i < self.n:
             raise IndexError(i)
         found = 0
-        for k, (chunks, bits, directory) in enumerate(self.levels):
-            found |= int(chunks[i]) << (8 * k)
-            if not bits[i >> 3] >> (i & 7) & 1:
+        for k, (_, chunks, bits, directory) in enumerate(self.levels):
+            found |= self.read(chunks + i, 1)[0] << (8 * k)
+            block, first = i // BLOCK, i // BLOCK * (BLOCK // 8)
+            marks = bytes(self.read(bits + first, (i >> 3) - first + 1))
+            if not marks[-1] >> (i & 7) & 1:
                 return found
-            block = i // BLOCK
-            first = block * BLOCK // 8
-            before = int.from_bytes(bits[first : i >> 3].tobytes(), "little").bit_count() + (int(bits[i >> 3]) & ((1 << (i & 7)) - 1)).bit_count()
-            i = int(directory[block]) + before
+            (before,) = struct.unpack("<I", self.read(directory + 4 * block, 4))
+            i = before + int.from_bytes(marks[:-1], "little").bit_count() + (marks[-1] & ((1 << (i & 7)) - 1)).bit_count()
         return found
 
     def ids(self) -> np.ndarray:
         found = None
-        for chunks, bits, _ in reversed(self.levels):
-            here = chunks.astype(np.uint32)
+        for n, chunks, bits, _ in reversed(self.levels):
+            here = np.frombuffer(self.read(chunks, n), np.uint8).astype(np.uint32)
             if found is not None:
-                here[np.unpackbits(bits, count=len(chunks), bitorder="little").view(bool)] |= found << 8
+                marks = np.frombuffer(self.read(bits, -(-n // 8)), np.uint8)
+                here[np.unpackbits(marks, count=n, bitorder="little").view(bool)] |= found << 8
             found = here
         return found
 
@@ -117,10 +118,18 @@ def parse_file(data: bytes) -> tuple[list[int | None], np.ndarray, Levels]:
     return [None if k == NULL_ID else int(k) for k in keys], np.frombuffer(data, np.int64, n, 12 + 8 * n), Levels(memoryview(data)[12 + 16 * n :])
 
 
-def store(uri: str):
-    from pyarrow import fs
+def levels_at(f) -> Levels:
+    """The levels of an open token file, of which only the bytes asked for are read."""
 
-    return fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{os.path.abspath(uri)}")
+    def read(at: int, n: int) -> bytes:
+        f.seek(at)
+        return f.read(n)
+
+    head = read(0, 12)
+    if head[:4] != MAGIC:
+        raise ValueError("not a token file")
+    first = 12 + 16 * struct.unpack("<Q", head[4:])[0]
+    return Levels(read=lambda at, n: read(first + at, n))
 
 
 def read_bytes(uri: str) -> bytes:
@@ -145,12 +154,32 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(hidden)}
 
 
+class Words(dict):
+    """Ids, as bytes, of a word after a blank, or of one that begins a line with the line end before it. Two generations:
+    what has not been asked for since the last change of generations goes, so the size stays under twice `most`."""
+
+    def __init__(self, encode, most: int = MEMO_ENTRIES):
+        self.encode, self.most, self.old = encode, most, {}
+
+    def __missing__(self, word: str) -> bytes:
+        found = self.old.get(word)
+        if found is None:
+            found = self.encode(word)
+        self[word] = found
+        return found
+
+    def turn(self) -> None:
+        if len(self) > self.most:
+            self.old = dict(self)
+            self.clear()
+
+
 class ByteLevelEncoder:
     """Ids of whole texts by the tokenizers library, equal parts encoded once.
 
-    In a byte-level vocabulary without normaliser no token spans a blank that follows a character and precedes a
-    non-blank, nor a letter or digit and the punctuation after it; so a text is encoded part by part, and each worker
-    keeps a bounded memo.  A text with blanks side by side or at its end, and any other vocabulary, goes whole.
+    In a byte-level vocabulary without normaliser no token spans a single blank or line end that follows a character and
+    precedes a word, nor a letter and the punctuation after it; so a text is encoded word by word, and each worker keeps a
+    bounded memo.  A text with such blanks side by side or at its end, and any other vocabulary, goes whole.
     """
 
     def __init__(self, model: str):
@@ -163,11 +192,11 @@ class ByteLevelEncoder:
         pre = spec.get("pre_tokenizer") or {}
         self.parts = spec.get("normalizer") is None and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True)
         self.special = [t["content"] for t in spec.get("added_tokens", [])]
-        self.irregular = re.compile(r" \s| $").search
+        self.irregular = re.compile(r"[ \n]\s|[ \n]\Z").search
         self.word = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ɏ]+)([.,;:!?*%$#&|]*)").fullmatch
         self.letters = byte_letters()
-        self.memo: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.words, self.marks = Words(self.part), Words(self.piece)
+        self.line_end = self.whole(["\n"])[0]
 
     def whole(self, texts: list[str]) -> list[bytes]:
         call = getattr(self.library, "encode_batch_fast", self.library.encode_batch)
@@ -175,45 +204,34 @@ class ByteLevelEncoder:
 
     def piece(self, part: str) -> bytes:
         """Ids of what the library's pattern takes as one piece: letters after at most one blank, or marks."""
-        found = self.memo.get(part)
-        if found is None:
-            found = self.old.get(part)
-            if found is None:
-                tokens = self.library.model.tokenize(part.encode().decode("latin-1").translate(self.letters))
-                found = array("I", [t.id for t in tokens]).tobytes()
-            self.memo[part] = found
-        return found
+        tokens = self.library.model.tokenize(part.encode().decode("latin-1").translate(self.letters))
+        return array("I", [t.id for t in tokens]).tobytes()
+
+    def part(self, word: str) -> bytes:
+        if word[:1] == "\n":
+            return self.line_end + self.first(word[1:])
+        if m := self.word(" " + word):
+            stem, marks = m.groups()
+            return self.words[stem[1:]] + self.marks[marks] if marks else self.piece(stem)
+        return self.whole([" " + word])[0]
+
+    def first(self, word: str) -> bytes:
+        """Ids of a word with nothing before it."""
+        if m := self.word(word):
+            stem, marks = m.groups()
+            return self.piece(stem) + self.marks[marks] if marks else self.piece(stem)
+        return self.whole([word])[0] if word else b""
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        memo, old, split, wanted, alone = self.memo, self.old, [], {}, []
-        for k, text in enumerate(texts):
+        ids, out = self.words.__getitem__, []
+        for text in texts:
             if not self.parts or self.irregular(text) or any(s in text for s in self.special):
-                alone.append(k)
-                split.append(None)
-                continue
-            words = text.split(" ")
-            units = [words[0], *[" " + w for w in words[1:]]]
-            for u in units:
-                if u not in memo:
-                    if (found := old.get(u)) is not None:
-                        memo[u] = found
-                    elif u not in wanted:
-                        wanted[u] = None
-            split.append(units)
-        memo[""] = b""
-        others = []
-        for u in wanted:
-            if m := self.word(u):
-                word, marks = m.groups()
-                memo[u] = self.piece(word) + self.piece(marks) if marks else self.piece(word)
+                out += self.whole([text])
             else:
-                others.append(u)
-        memo.update(zip(others, self.whole(others), strict=True))
-        out = [b"" if units is None else b"".join(map(memo.__getitem__, units)) for units in split]
-        for k, ids in zip(alone, self.whole([texts[k] for k in alone]), strict=True):
-            out[k] = ids
-        if len(memo) > MEMO_ENTRIES:
-            self.old, self.memo = memo, {}
+                words = text.replace("\n", " \n").split(" ")
+                out.append(self.first(words[0]) + b"".join(map(ids, words[1:])))
+        self.words.turn()
+        self.marks.turn()
         return out
 
 
@@ -235,6 +253,7 @@ def write_token_files(docs: DataFrame, model: str, out_dir: str, end_id: int = 0
     bounded_batches(spark)
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     end = np.array([end_id], "<u4").tobytes()
+    out_dir = absolute(spark, out_dir)
     where, path = store(out_dir)
     where.create_dir(path, recursive=True)
 
@@ -298,18 +317,20 @@ def read_token_files(manifest: DataFrame, ids_col: bool = False) -> DataFrame:
 
 def tokens_at(manifest: DataFrame, positions: DataFrame, span: int = FILE_TOKENS) -> DataFrame:
     """position and id for every row of positions(position long): each file that is asked is opened once a task and
-    its ids are picked by rank, without decoding the rest. Positions outside the table have no row."""
+    the few bytes of an id are read by rank: the rest is neither read nor decoded. Positions outside the table have no row."""
     files = manifest.where("n_tokens > 0").select("path", "start", "n_tokens", F.explode(F.expr(f"sequence(start div {span}, (start + n_tokens - 1) div {span})")).alias("cell"))
     asked = positions.select(F.col("position").cast("long"), F.expr(f"position div {span}").alias("cell"))
     found = asked.join(files, "cell").where("position >= start and position < start + n_tokens").select("path", F.expr("position - start").alias("at"), "position")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        path, levels = None, None
+        path, levels, f = None, None, None
         for batch in batches:
             ids = []
             for uri, at in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if uri != path:
-                    path, levels = uri, parse_file(read_bytes(uri))[2]
+                    where, name = store(uri)
+                    f = where.open_input_file(name)
+                    path, levels = uri, levels_at(f)
                 ids.append(levels[at])
             yield pa.RecordBatch.from_arrays([batch.column(2), pa.array(ids, pa.int64())], names=["position", "id"])
 
