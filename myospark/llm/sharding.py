@@ -7,8 +7,10 @@ it.  Every range is then ordered on its own, a running sum of the ranges' exact
 order, and the order is cut into shards at equal shares of the bytes: a shard differs from its share by less than one
 record.  The sample only decides how even the tasks are, never the result.
 
-Law `bytes`.  A null text has no bytes and counts one; null ids come first; repeated rows take neighbouring slots; an
-empty table gives an empty result.  Extra columns are left out of the assignment.
+Law `bytes`.  A null text has no bytes and counts one; null ids come first; equal texts are neighbours but not one unit, so
+a group that lies across an edge is split; repeated rows take neighbouring slots; a very long text is one record and may
+make its shard larger than the share; an empty table gives an empty result.  Extra columns, whatever their names, are left
+out of the assignment.
 """
 
 from __future__ import annotations
@@ -109,14 +111,20 @@ def assign_shards(docs: DataFrame, shards: int = 16, ranges: int | None = None)
 
 
 def write_shards(docs: DataFrame, path: str, shards: int = 16, pieces: int = 8) -> None:
-    """Write whole records to path/shard=N, each shard by `pieces` tasks in the order of its slots."""
-    placed = assign_shards(docs, shards).select(F.col("doc_id").alias("_id"), "shard", "slot", F.col("text_crc32").alias("_crc"))
-    clash = docs.drop("shard", "slot")
-    full = clash.join(placed, clash["doc_id"].eqNullSafe(placed["_id"]) & (F.crc32(F.coalesce(clash["text"], F.lit(""))) == placed["_crc"])).drop("_id", "_crc")
+    """Write whole records to path/shard=N, each shard by `pieces` tasks in the order of its slots. Columns of docs named
+    shard or slot give way. Equal rows are told apart by the number of the copy, so each is written once."""
+    kept = [c for c in docs.columns if c.lower() not in ("shard", "slot")]
+    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in kept)).alias("_row"), F.col("doc_id").alias("_id"), F.coalesce("text", F.lit("")).alias("_text"))
+    placed = assign_shards(docs, shards).select(F.col("doc_id").alias("_id"), F.col("size").alias("_size"), F.col("text_crc32").alias("_crc"), "shard", "slot")
+    same = ["_id", "_size", "_crc"]
+    keyed = whole.withColumn("_size", (F.octet_length("_text") + F.lit(1)).cast("long")).withColumn("_crc", F.crc32("_text")).drop("_text")
+    keyed = keyed.withColumn("_copy", F.row_number().over(Window.partitionBy(*same).orderBy(F.hash("_row"))))
+    placed = placed.withColumn("_copy", F.row_number().over(Window.partitionBy(*same).orderBy("shard", "slot")))
+    met = [F.col(f"k.{c}").eqNullSafe(F.col(f"p.{c}")) for c in (*same, "_copy")]
+    full = keyed.alias("k").join(placed.alias("p"), met).select("k._row.*", "p.shard", "p.slot")
     full.repartitionByRange(shards * pieces, "shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
 
 
-
 ORACLE_SQL = """
 with t(n) as (select range::uinteger from range(256)),
 table_ as (select list(list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0]::uinteger[], lambda c, x: case when c & 1 = 1 then xor(c >> 1, 3988292384::uinteger) else c >> 1 end) order by n) tab from t),
