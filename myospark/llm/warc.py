@@ -1,13 +1,15 @@
 """WARC archives as a PySpark data source named `warc`.
 
 Writing: each task rolls files of gzip members, one record a member; the member's `sl` extra field holds its packed
-and unpacked length.  Committing lists the files of the attempts that succeeded in _FILES.json, which readers follow.
+and unpacked length.  Every commit lists the files of the attempts that succeeded in a _FILES-*.json of its own; readers follow
+all lists, so appending adds to an archive, and overwriting deletes the lists and files that were there before.
 Reading: the driver packs files into partitions of about equal bytes; filters on record_type, page_id, target_uri,
 payload_digest and refers_to are pushed down; a task unpacks the head of a record only, tests it, and goes on to
 the payload if the record is wanted and the schema asks for it; else it seeks to the next member.
 
 A null payload is written as an empty one, a null url without its header; line ends in urls are percent-encoded;
-repeated rows are written each; an empty table gives an archive without records.
+repeated rows are written each; an empty table gives an archive without records; a very long payload is one record and
+must fit a task's memory.  Columns other than page_id, url and html are left out.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, Filter, In, InputPartition, WriterCommitMessage
 
-from ..storage import shared_path
+from ..storage import absolute, shared_path, store
 
 SCHEMA = "record_type string, page_id long, target_uri string, payload_digest string, payload_bytes long, refers_to long, payload binary"
 HEAD = 4096
@@ -33,13 +35,25 @@ PARTITION_BYTES = 128 << 20
 PUSHED = ("record_type", "page_id", "target_uri", "payload_digest", "refers_to")
 #: Payloads from so many bytes on are stored once.
 LEAST_REVISIT = 1000
+#: Places over which the rows of a payload are dealt.
+SALTS = 32
 RECORDS = uuid.uuid5(uuid.NAMESPACE_URL, "warc-page-records")
 
 
-def store(uri: str):
+def lists(where, path: str) -> list[str]:
+    """The lists of files of an archive."""
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(uri if ":" in uri else f"file://{uri}")
+    found = where.get_file_info(fs.FileSelector(path, allow_not_found=True))
+    return sorted(f.path for f in found if f.base_name.startswith("_FILES-") and f.base_name.endswith(".json"))
+
+
+def listed(where, path: str) -> list[tuple[str, int]]:
+    files = []
+    for name in lists(where, path):
+        with where.open_input_file(name) as f:
+            files += [(n, size) for n, size in json.loads(f.read())]
+    return sorted(files)
 
 
 def record(row: dict) -> bytes:
@@ -139,8 +153,7 @@ class WarcReader(DataSourceReader):
 
     def partitions(self) -> list[Files]:
         where, path = store(self.path)
-        with where.open_input_file(f"{path}/_FILES.json") as f:
-            files = json.loads(f.read())
+        files = listed(where, path)
         # as many partitions as a small cluster keeps busy, of at most PARTITION_BYTES
         most = self.most or min(PARTITION_BYTES, max(1 << 20, sum(n for _, n in files) // 48))
         groups, size = [[]], 0
@@ -171,8 +184,8 @@ class WarcReader(DataSourceReader):
 
 
 class WarcWriter(DataSourceArrowWriter):
-    def __init__(self, options):
-        self.path = options["path"].rstrip("/")
+    def __init__(self, options, overwrite: bool = False):
+        self.path, self.overwrite = options["path"].rstrip("/"), overwrite
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         where, path = store(self.path)
@@ -198,8 +211,11 @@ class WarcWriter(DataSourceArrowWriter):
     def commit(self, messages: list[Written | None]) -> None:
         where, path = store(self.path)
         where.create_dir(path, recursive=True)
-        with where.open_output_stream(f"{path}/_FILES.json", compression=None) as f:
+        old, gone = (lists(where, path), listed(where, path)) if self.overwrite else ([], [])
+        with where.open_output_stream(f"{path}/_FILES-{uuid.uuid4().hex}.json", compression=None) as f:
             f.write(json.dumps(sorted(x for m in messages if m for x in m.files)).encode())
+        for name in [*old, *(f"{path}/{n}" for n, _ in gone)]:
+            where.delete_file(name)
 
     def abort(self, messages: list[Written | None]) -> None:
         where, path = store(self.path)
@@ -219,23 +235,26 @@ class WarcSource(DataSource):
         return WarcReader(schema, self.options)
 
     def writer(self, schema, overwrite: bool) -> WarcWriter:
-        return WarcWriter(self.options)
+        return WarcWriter(self.options, overwrite)
 
 
 def register(spark: SparkSession) -> None:
+    """Make the source known, and allow Python sources to take filters, without which Spark refuses one that does."""
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(WarcSource)
 
 
 def with_revisits(pages: DataFrame, least: int = LEAST_REVISIT) -> DataFrame:
     """The records of pages(page_id, url, html). Of equal payloads from `least` bytes on, the largest page_id's rows are
-    responses and the others revisit them. The digests of repeated payloads are aggregated narrow; what is unique or
-    short joins under a key of its own, so neither a hot payload nor the short ones meet in one place."""
+    responses and the others revisit them. Only digests are aggregated, and only for payloads that come twice; the rows of
+    a payload lie in SALTS places, to each of which its keeper goes, so a hot payload does not meet in one place."""
     payload = F.coalesce("html", F.lit("")).cast("binary")
     keyed = pages.select("page_id", F.col("url").alias("target_uri"), payload.alias("payload"), F.sha1(payload).alias("payload_digest"), F.octet_length(payload).cast("long").alias("payload_bytes"))
-    groups = keyed.where(F.col("payload_bytes") >= least).groupBy("payload_digest").agg(F.max("page_id").alias("keeper"), F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("payload_digest").alias("key"), "keeper")
+    groups = keyed.where(F.col("payload_bytes") >= least).groupBy("payload_digest").agg(F.max("page_id").alias("keeper"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    groups = groups.select(F.col("payload_digest").alias("key"), "keeper", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    # what is short has no keeper and lies under a key of its own
     key = F.when(F.col("payload_bytes") >= least, F.col("payload_digest")).otherwise(F.concat(F.lit("#"), F.coalesce(F.col("page_id").cast("string"), F.lit(""))))
-    joined = keyed.withColumn("key", key).join(groups, "key", "left")
+    joined = keyed.withColumn("key", key).withColumn("salt", F.pmod(F.xxhash64("page_id", "target_uri"), F.lit(SALTS)).cast("int")).join(groups, ["key", "salt"], "left")
     revisit = F.coalesce(~F.col("page_id").eqNullSafe(F.col("keeper")) & F.col("keeper").isNotNull(), F.lit(False))
     return joined.select(
         F.when(revisit, "revisit").otherwise("response").alias("record_type"), "page_id", "target_uri", "payload_digest", "payload_bytes",
@@ -243,15 +262,15 @@ def with_revisits(pages: DataFrame, least: int = LEAST_REVISIT) -> DataFrame:
     )
 
 
-def write_archive(pages: DataFrame, path: str) -> None:
+def write_archive(pages: DataFrame, path: str, mode: str = "append") -> None:
     register(pages.sparkSession)
-    with_revisits(pages).write.format("warc").mode("append").save(path)
+    with_revisits(pages).write.format("warc").mode(mode).save(absolute(pages.sparkSession, path))
 
 
 def read_archive(spark: SparkSession, path: str, schema: str = SCHEMA) -> DataFrame:
     """Records of an archive; leave `payload` out of the schema to leave the payloads packed."""
     register(spark)
-    return spark.read.format("warc").schema(schema).load(path)
+    return spark.read.format("warc").schema(schema).load(absolute(spark, path))
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
