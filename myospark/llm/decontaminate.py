@@ -1,18 +1,21 @@
 """Benchmark items in documents, re-parameterised ones too.
 
-Texts become templates: tokens are runs of letters and digits in folded case, and numbers, names and units are
+Texts become templates: tokens are runs of letters and digits, ASCII and Latin-1 letters in lower case, and numbers, names and units are
 replaced by the placeholders <num>, <name> and <unit>.  Windows of eight template tokens of the benchmark meet those of
 the documents in a hash join on the window's template.  In every alignment of a document with an item (windows at a
 constant distance) the values in the slots must map one to one; then the item counts as found, as it stands or with
 other parameters, if at least half of its windows are.
 
 Names are capitalised words inside a sentence; numbers begin with a digit; units are listed words after a number.
-Items shorter than a window are one window of their length; those under LEAST_TOKENS tokens prove nothing and are left
-out.  Items of 11 to 22 tokens have windows of a third of their length, so that one changed word leaves half of them, and
+Items shorter than a window are one window of their length; those under LEAST_TOKENS tokens meet by their words as they
+stand alone, and one of a single token is a word, not a passage, and is left out.  Items of 11 to 22 tokens have windows of a third of their length, so that one changed word leaves half of them, and
 these must be found in one alignment; items of 8 to 10 tokens keep windows of eight and bear no change in the middle.
 Windows with fewer ordinary tokens than half their length meet only by their words as they stand; with other values they
-count where the windows found around them in the same alignment cover them.  All windows of an item count.  Nulls count as empty texts; repeated rows of the
-benchmark count once, repeated documents give their pairs once; extra columns are ignored.
+count where the windows found around them in the same alignment cover them.  All windows of an item count.
+
+Nulls count as empty texts; repeated rows of the benchmark count once, repeated documents give their pairs once; of equal
+alignments of a document with an item the one with the most windows counts, the exact one of equals; very long texts are
+read whole, in runs of about a megabyte; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,8 +31,11 @@ from ..storage import materialize
 from .batches import bounded_batches, mix, prefix_hash, runs, slice_hash, text_chunks
 
 WINDOW, LEAST_TOKENS, COVERAGE = 8, 4, 0.5
-#: Bits of the filter of window hashes that every task gets: 2^22 positions, a megabyte at most, however long the benchmark is.
-FILTER_BITS = 22
+#: Shortest items; items of so many tokens and more have windows of a third of their length.
+SHORTEST, LONG = 2, 11
+#: The filter of window hashes that every task gets has 32 places a window of the benchmark, and between these numbers of
+#: bits: two megabytes at most. A fuller one lets more through to the join, never less.
+FILTER_BITS = (16, 24)
 #: Units that follow a number.
 UNITS = ["mm", "cm", "m", "km", "g", "kg", "mg", "t", "l", "ml", "s", "min", "h", "hours", "hour", "minutes", "minute", "seconds", "days", "day", "weeks", "years", "miles", "mile", "feet", "inches", "meters", "metres", "kilometers", "grams", "kilograms", "pounds", "litres", "liters", "dollars", "euros", "cents", "percent", "degrees", "usd", "eur", "kmh", "mph"]
 NUM, NAME, UNIT, WORD = 1, 2, 3, 0
@@ -92,7 +98,7 @@ UNIT_CODES = _unit_codes()
 
 def item_size(n: np.ndarray) -> np.ndarray:
     """The length of the windows of items of n tokens."""
-    return np.where(n < WINDOW, n, np.where(n < 3 * LEAST_TOKENS - 1, WINDOW, np.minimum((n + 1) // 3, WINDOW)))
+    return np.where(n < WINDOW, n, np.where(n < LONG, WINDOW, np.minimum((n + 1) // 3, WINDOW)))
 
 
 def windows(row: np.ndarray, kind: np.ndarray, code: np.ndarray, own: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -102,7 +108,7 @@ def windows(row: np.ndarray, kind: np.ndarray, code: np.ndarray, own: np.ndarray
         return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, bool)
     plain = np.concatenate([[0], np.cumsum(kind == WORD)])
     good = np.flatnonzero(row[:n] == row[size - 1 :])
-    literal = 2 * (plain[size:] - plain[:-size]) < size
+    literal = (2 * (plain[size:] - plain[:-size]) < size) | (size < LEAST_TOKENS)
     h, stands = np.full(n, size, np.uint64), np.full(n, size + WINDOW, np.uint64)
     for i in range(size):
         h = h * PRIME + code[i : i + n]
@@ -129,7 +135,7 @@ def template_windows(texts: DataFrame, id_col: str, sizes: list[int], wanted: np
     text gives the windows of its item_size."""
     bounded_batches(texts.sparkSession)
     kind_ = texts.schema[id_col].dataType.simpleString()
-    shift = np.uint64(64 - FILTER_BITS)
+    shift = np.uint64(64 if wanted is None else 64 - (8 * len(wanted)).bit_length() + 1)
     broadcast = texts.sparkSession.sparkContext.broadcast(wanted) if wanted is not None else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,18 +170,26 @@ def template_windows(texts: DataFrame, id_col: str, sizes: list[int], wanted: np
     return texts.select(id_col, "text").mapInArrow(run, f"id {kind_}, {WINDOW_SCHEMA}")
 
 
+def marks_of(items: DataFrame) -> np.ndarray:
+    """The filter of the windows' hashes, 32 places gathered in Spark before they come to the driver."""
+    windows = items.select("hash").distinct().count()
+    bits = min(max((32 * windows).bit_length(), FILTER_BITS[0]), FILTER_BITS[1])
+    place = F.shiftrightunsigned("hash", 64 - bits)
+    cells = items.select(place.alias("p")).groupBy(F.shiftright("p", 5).alias("cell")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 31 as int))")).alias("marks"))
+    out = np.zeros(1 << (bits - 5), np.uint32)
+    for r in cells.collect():
+        out[r["cell"]] = r["marks"]
+    return out.view(np.uint8)
+
+
 def contaminated_pairs(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:
     """doc_id, item_id, windows found, coverage and kind ('exact' or 'reparameterised') of every item found in a document."""
-    sizes = list(range(LEAST_TOKENS, WINDOW + 1))
+    sizes = list(range(SHORTEST, WINDOW + 1))
     items = materialize(template_windows(benchmark.select("item_id", "text").dropDuplicates(), "item_id", sizes, None, own_size=True).withColumnRenamed("id", "item_id"), "benchmark-windows")
-    # which of the 2^22 places of the filter are taken: no more numbers than that, whatever the benchmark's length
-    marks = np.zeros(1 << FILTER_BITS, bool)
-    place = F.shiftrightunsigned("hash", 64 - FILTER_BITS)
-    marks[[r[0] for r in items.select(place.alias("p")).distinct().toLocalIterator()]] = True
     used = sorted(r[0] for r in items.select("size").distinct().collect())
     if not used:
         used = [WINDOW]
-    found = template_windows(docs.select("doc_id", "text"), "doc_id", used, np.packbits(marks, bitorder="little"))
+    found = template_windows(docs.select("doc_id", "text"), "doc_id", used, marks_of(items))
     totals = items.groupBy("item_id").agg(F.countDistinct("pos").alias("total"), F.max("size").alias("size"))
     mine = items.select("item_id", "template", F.col("pos").alias("item_pos"), F.col("slots").alias("item_slots"))
     both = found.select(F.col("id").alias("doc_id"), "template", "pos", "slots").distinct().join(mine, "template")
