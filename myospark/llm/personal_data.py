@@ -1,15 +1,15 @@
 """Personal data in texts: fixed patterns, and identifiers that occur where known ones do.
 
-The patterns' finds are the seeds.  Every place of an identifier, found or merely shaped like one, yields lexical
-patterns: the word before, the word after, and both.  Spark scores the graph of patterns and instances in turns: a
+The patterns' finds are the seeds.  Every place of an identifier, found or merely shaped like one (a run of tokens that hold
+a digit each, four in all, or an @), yields lexical patterns: the word before, the word after, and both.  Spark scores the graph of patterns and instances in turns: a
 pattern is as good as the share of good ones among its distinct instances and the other uses of its words in all
 documents, given enough good ones, so words that stand everywhere prove nothing; an instance that is no seed is as
 good as its good patterns together make it.  Instances that pass the bound are personal data wherever
 they stand.  The start and the end of a text count as words; so does what is glued to an identifier, up to GLUED
 characters, with the words that begin or end with it as its uses.
 
-A null text counts as empty and has no spans; repeated rows are searched each; an empty table gives an empty result.
-Spans are in code points, end exclusive.  Extra columns are ignored.
+A null text counts as empty and has no spans; repeated rows are searched each; an empty table gives an empty result; very
+long texts are searched whole.  Spans are in code points, end exclusive.  Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -39,7 +39,9 @@ DIGITS = re.compile(r"[0-9]")
 IP = re.compile(r"(?<![0-9])[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-TOKEN = re.compile(r"(?<!\S)[^\s0-9@]*[0-9@]\S*")
+#: A run of neighbouring tokens with a digit or an @ each, such as '415 555 7788', and how many digits make it an identifier.
+TOKEN = re.compile(r"(?<!\S)[^\s0-9@]*[0-9@]\S*(?:\x20[^\s0-9@]*[0-9]\S*)*")
+LEAST_DIGITS = 4
 LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 #: Turns of scoring; distinct good instances that a pattern needs; score from which a pattern counts and an instance is one.
 TURNS, SUPPORT, GOOD_PATTERN, GOOD_INSTANCE = 3, 3, 0.6, 0.8
@@ -92,7 +94,7 @@ def base_spans(text: str) -> list[tuple[int, int, int, str]]:
 
 
 def occurrences(text: str, base: list[tuple[int, int, int, str]]) -> list[dict]:
-    """Places of identifiers with the words around them: seeds, and other tokens with an @ or at least five digits."""
+    """Places of identifiers with the words around them: seeds, and other runs of tokens with an @ or at least four digits."""
     places, taken = [], sorted((s, e) for s, _, e, _ in base)
     places += [(s, e, 1) for s, e in dict.fromkeys(taken)]
     for m in TOKEN.finditer(text):
@@ -100,7 +102,7 @@ def occurrences(text: str, base: list[tuple[int, int, int, str]]) -> list[dict]:
         while e > s and text[e - 1] in ".,;:!?)\"'*#$%&":
             e -= 1
         value = text[s:e]
-        if ("@" in value[1:] or sum(c in "0123456789" for c in value) >= 5) and not any(a < e and s < b for a, b in taken):
+        if ("@" in value[1:] or sum(c in "0123456789" for c in value) >= LEAST_DIGITS) and not any(a < e and s < b for a, b in taken):
             places.append((s, e, 0))
     if not places:
         return []
