@@ -253,6 +253,15 @@ def untracked_detection(spark, sf_dir):
     return sarcomeres.detect_by_frame(views.tracked_movie(spark, sf_dir))
 
 
+IMAGED = {"imaged": "select movie_id, frame, x, y, p1_x, p1_y, p2_x, p2_y, row_number() over (partition by movie_id, frame order by x, y) - 1 as particle from tracked_movie", **graph_sql("imaged", "movie_id, frame")}
+
+
+@query(f"select e.movie_id, e.frame, sarc_id::int as sarc_id, p1, p2, {MEASURES} from (select movie_id, frame, u as p1, v as p2, row_number() over (partition by movie_id, frame order by u, v) - 1 as sarc_id from pruned) e join imaged a on a.movie_id = e.movie_id and a.frame = e.frame and a.particle = p1 join imaged b on b.movie_id = e.movie_id and b.frame = e.frame and b.particle = p2", "x y length width angle", **IMAGED)
+def image_detection(spark, sf_dir):
+    """Every frame as an image of its own, its z-discs numbered by their places."""
+    return sarcomeres.detect_by_frame(track.track_zdiscs(views.untracked_movie(spark, sf_dir), image=True))
+
+
 @query("select movie_id, zdiscs, coalesce(n, 0) as sarcomeres from (select movie_id, count(*) as zdiscs from tracked_movie where frame = 11 group by all) left join (select movie_id, count(*) as n from sarcs where frame = 11 and length is not null group by all) using (movie_id)", **SARCS)
 def frame_slice_counts(spark, sf_dir):
     tracks = views.tracked_movie(spark, sf_dir)

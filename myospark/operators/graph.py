@@ -20,17 +20,28 @@ def _nearest(pairs: DataFrame, key: list[str], k: int) -> DataFrame:
     return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def knn_edges(nodes: DataFrame, key: list[str], k: int = 3, cell: float = 24.0) -> DataFrame:
+def with_cell(nodes: DataFrame, key: list[str], k: int) -> DataFrame:
+    """nodes with `cell`, the width of a grid cell in which a graph as even as it is dense has about 2 k nodes."""
+    wide, high = F.max("x") - F.min("x"), F.max("y") - F.min("y")
+    n = 2 * k / F.count(F.lit(1))
+    cells = nodes.groupBy(*key).agg(F.greatest(F.sqrt(wide * high * n), wide * n, high * n, F.lit(1e-9)).alias("cell"))
+    return nodes.join(cells, key)
+
+
+def knn_edges(nodes: DataFrame, key: list[str], k: int = 3, cell: float | None = None) -> DataFrame:
     """(key, u, v) of nodes of which one is among the k nearest of the other; equal distances go by id.
 
     Exact in two steps: nodes meet those of the nine grid cells around them; where fewer than k of these lie within
-    one cell's width, the node meets its whole graph. The first step's work follows the nodes, not their squares.
+    one cell's width, the node meets its whole graph. Without `cell` cells follow each graph's density, so that few nodes
+    do, and the work follows the nodes, not their squares.
     """
-    at = nodes.select(*key, F.col("particle").alias("n"), "x", "y", F.floor(F.col("x") / cell).alias("cx"), F.floor(F.col("y") / cell).alias("cy"))
+    sized = nodes.select(*key, "particle", "x", "y")
+    sized = with_cell(sized, key, k) if cell is None else sized.withColumn("cell", F.lit(float(cell)))
+    at = sized.select(*key, F.col("particle").alias("n"), "x", "y", "cell", F.floor(F.col("x") / F.col("cell")).alias("cx"), F.floor(F.col("y") / F.col("cell")).alias("cy"))
     steps = F.array(*(F.lit(i) for i in (-1, 0, 1)))
     near = at.withColumn("i", F.explode(steps)).withColumn("j", F.explode(steps)).select(*key, F.col("n").alias("m"), F.col("x").alias("mx"), F.col("y").alias("my"), (F.col("cx") + F.col("i")).alias("cx"), (F.col("cy") + F.col("j")).alias("cy"))
     d2 = (F.col("x") - F.col("mx")) ** 2 + (F.col("y") - F.col("my")) ** 2
-    close = at.join(near, [*key, "cx", "cy"]).where("n <> m").withColumn("d2", d2).where(F.col("d2") <= cell * cell).select(*key, "n", "m", "d2")
+    close = at.join(near, [*key, "cx", "cy"]).where("n <> m").withColumn("d2", d2).where(F.col("d2") <= F.col("cell") ** 2).select(*key, "n", "m", "d2")
     found = _nearest(close, key, k)
     enough = found.groupBy(*key, "n").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= k)
     lone = at.join(enough, [*key, "n"], "left_anti").select(*key, "n", "x", "y")

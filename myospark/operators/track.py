@@ -13,6 +13,7 @@ from pyspark.sql.window import Window
 from ..functions.assignment import cheapest_links
 from ..schemas import require_columns
 from .components import components_by_key
+from .graph import with_cell
 from .sarcomeres import particle_centers
 
 MEASURES = ["x", "y", "p1_x", "p1_y", "p2_x", "p2_y"]
@@ -61,19 +62,20 @@ def with_freq(tracks: DataFrame) -> DataFrame:
     return counted.join(last, "movie_id")
 
 
-def merge_radius(tracks: DataFrame, cell: float = 24.0) -> DataFrame:
+def merge_radius(tracks: DataFrame) -> DataFrame:
     """(movie_id, radius): the mean distance of a particle's centre to the next one's."""
-    return nearest_distance(particle_centers(tracks), cell).groupBy("movie_id").agg(F.avg("d").alias("radius"))
+    return nearest_distance(particle_centers(tracks)).groupBy("movie_id").agg(F.avg("d").alias("radius"))
 
 
-def nearest_distance(centers: DataFrame, cell: float) -> DataFrame:
-    """(movie_id, particle, d) to the nearest other centre, first among the grid cells around, then, for those that have
-    none within a cell's width, among all of the movie."""
-    a = centers.select("movie_id", "particle", "x", "y", F.floor(F.col("x") / cell).alias("cx"), F.floor(F.col("y") / cell).alias("cy"))
+def nearest_distance(centers: DataFrame) -> DataFrame:
+    """(movie_id, particle, d) to the nearest other centre, first among the grid cells around, which follow the movie's
+    density, then, for those that have none within a cell's width, among all of the movie."""
+    cell = F.col("cell")
+    a = with_cell(centers, ["movie_id"], 2).select("movie_id", "particle", "x", "y", "cell", F.floor(F.col("x") / cell).alias("cx"), F.floor(F.col("y") / cell).alias("cy"))
     steps = F.array(*(F.lit(i) for i in (-1, 0, 1)))
     b = a.withColumn("i", F.explode(steps)).withColumn("j", F.explode(steps)).select("movie_id", F.col("particle").alias("q"), F.col("x").alias("qx"), F.col("y").alias("qy"), (F.col("cx") + F.col("i")).alias("cx"), (F.col("cy") + F.col("j")).alias("cy"))
     d = F.sqrt((F.col("x") - F.col("qx")) ** 2 + (F.col("y") - F.col("qy")) ** 2)
-    near = a.join(b, ["movie_id", "cx", "cy"]).where("particle <> q").groupBy("movie_id", "particle").agg(F.min(d).alias("d")).where(F.col("d") <= cell)
+    near = a.join(b, ["movie_id", "cx", "cy"]).where("particle <> q").groupBy("movie_id", "particle", "cell").agg(F.min(d).alias("d")).where(F.col("d") <= cell).drop("cell")
     lone = a.join(near, ["movie_id", "particle"], "left_anti")
     every = a.select("movie_id", F.col("particle").alias("q"), F.col("x").alias("qx"), F.col("y").alias("qy"))
     far = lone.join(every, "movie_id").where("particle <> q").groupBy("movie_id", "particle").agg(F.min(d).alias("d"))

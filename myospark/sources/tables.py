@@ -16,7 +16,7 @@ from .. import schemas
 
 #: The stage to run for each table.
 STAGES = {
-    "frames": "read_frames_npy", "contours": "detect_contours", "zdiscs": "segment_zdiscs", "tracked_zdiscs": "track_zdiscs", "sarcomeres": "detect_sarcomeres",
+    "frames": "read_frames_npy", "filtered": "filter_frames", "contours": "detect_contours", "zdiscs": "segment_zdiscs", "tracked_zdiscs": "track_zdiscs", "sarcomeres": "detect_sarcomeres", "myofibrils": "myofibrils",
     "sarcomeres_gpr": "smooth_gpr", "deformation": "deformation", "order_param": "order_parameter", "metrics": "movie_metrics", "ts_params": "ts_params", "spatial_edges": "spatial_graph", "spatial_nodes": "spatial_graph",
 }
 

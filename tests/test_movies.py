@@ -341,6 +341,40 @@ def test_jobs_end_to_end(spark, sf_dir, tmp_path):
     assert spark.read.json(str(tmp_path / "metrics")).columns == ["c_iso", "c_oop", "movie_id", "oop", "s_avg", "s_til"]
 
 
+def test_saved_stages_give_what_one_pass_does(spark, sf_dir, tmp_path):
+    frames = views.fibre_movie(spark, sf_dir).where("movie_id < 2")
+    saved, whole = movies.movies_to_sarcomeres(frames, save=str(tmp_path)), movies.movies_to_sarcomeres(frames)
+    for a, b in zip(saved, whole, strict=True):
+        assert a.schema == b.schema or [f.name for f in a.schema] == [f.name for f in b.schema]
+        assert sorted(map(str, a.collect())) == sorted(map(str, b.collect())) and a.count() > 0
+    assert {p.name for p in tmp_path.iterdir()} == {"filtered", "contours", "zdiscs", "tracked_zdiscs", "sarcomeres", "myofibrils"}
+
+
+def test_clusters_of_three_and_lone_tracks(spark):
+    places = {0: (0.0, 0.0, range(40)), 1: (50.0, 0.0, range(13)), 2: (50.5, 0.0, range(13, 26)), 3: (51.0, 0.0, range(26, 40)), 4: (1000.0, 0.0, range(35)), 5: (0.0, 1000.0, range(20))}
+    rows = [(0, f, p, x, y, x, y, x, y) for p, (x, y, frames) in places.items() for f in frames]
+    tracks = spark.createDataFrame(rows, "movie_id long, frame int, particle long, x double, y double, p1_x double, p1_y double, p2_x double, p2_y double")
+    assert {r.particle: r.cluster for r in track.cluster_partial(tracks).collect()} == {1: 1, 2: 1, 3: 1, 4: None, 5: None}
+    merged = track.merge_partial_tracks(tracks)
+    assert {(r.particle, r.freq, r["count"]) for r in merged.groupBy("particle", "freq").count().collect()} == {(0, 40, 40), (-2, 40, 40), (4, 35, 35)}
+
+
+@pytest.mark.parametrize("spread", [1.0, 1000.0])
+def test_neighbours_of_any_density(spark, spread):
+    rnd = np.random.default_rng(9)
+    places = rnd.random((60, 2)) * spread
+    found = pairs(graph.knn_edges(nodes(spark, places), ["movie_id"]))
+    d = ((places[:, None] - places[None]) ** 2).sum(2) + np.where(np.eye(60), np.inf, 0)
+    assert found == sorted({(min(i, j), max(i, j)) for i in range(60) for j in np.argsort(d[i], kind="stable")[:3].tolist()})
+
+
+def test_ward_of_six_thousand():
+    x = np.sort(np.random.default_rng(2).random(6000))
+    merges = signals.ward(np.abs(x[:, None] - x[None]))
+    assert len(merges) == 5999 and merges[-1][3] == 6000 and sorted(merges[-1][4]) == list(range(6000))
+    assert all(a[2] <= b[2] + 1e-12 for a, b in zip(merges, merges[1:]))
+
+
 @pytest.mark.parametrize("name", ["bootstrap_length", "tracked_vs_untracked"])
 def test_bootstrap_queries_draw_the_default_runs(name, spark, monkeypatch):
     from myospark.jobs import queries

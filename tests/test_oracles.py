@@ -11,7 +11,7 @@ def test_same_as_sql(name, spark, sf_dir):
     same(queries.QUERIES[name], queries.ORACLE_SQL[name], spark, sf_dir)
 
 
-@pytest.mark.parametrize("name", ["segment_zdiscs", "smooth_gpr", "find_valleys", "ts_params", "ward_linkage", "bootstrap_length"])
+@pytest.mark.parametrize("name", ["segment_zdiscs", "smooth_gpr", "find_valleys", "ts_params", "ward_linkage", "leaf_order", "j_valleys", "bootstrap_length"])
 def test_has_rows(name, spark, sf_dir):
     assert queries.QUERIES[name](spark, sf_dir).limit(1).count() == 1
 
