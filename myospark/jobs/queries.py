@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators import analysis, compare, graph, sarcomeres, segment, series, track
+from ..sources import tables
+from ..storage import shared_path
 from . import movies, views
 from .views import with_views
 
@@ -129,6 +131,26 @@ def contour_summary(spark, sf_dir):
     return segment.summarize_contours(views.contour_points(spark, sf_dir))
 
 
+@query("select movie_id, frame, i, 0.2125::double * v[3 * i + 1] + 0.7154::double * v[3 * i + 2] + 0.0721::double * v[3 * i + 3] as value from (select 0::bigint as movie_id, vec_id::int as frame, embedding::double[] as v from embeddings), unnest(range(21)) r(i)", "value")
+def gray_frames(spark, sf_dir):
+    """Every embedding as a line of 21 coloured pixels."""
+    return segment.to_gray(views.embedding_frames(spark, sf_dir, 1, 21, 3)).selectExpr("movie_id", "frame", "posexplode(pixels) as (i, value)").withColumn("i", F.col("i").cast("long"))
+
+
+BLURRED = {
+    "edged": "select frame, row, col, 4 * value - coalesce(lag(value) over r, value) - coalesce(lead(value) over r, value) - coalesce(lag(value) over c, value) - coalesce(lead(value) over c, value) as value from pixels window r as (partition by frame, col order by row), c as (partition by frame, row order by col)",
+    "weights": "select i, exp(-0.5::double * i * i) / sum(exp(-0.5::double * i * i)) over () as weight from unnest(range(-4, 5)) k(i)",
+    "across": "select e.frame as frame, t.row as row, e.col as col, sum(weight * value) as value from weights cross join unnest(range(8)) t(row) join edged e on e.row = greatest(0, least(7, t.row + i)) group by all",
+    "blurred": "select e.frame as frame, e.row as row, t.col as col, sum(weight * value) as value from weights cross join unnest(range(8)) t(col) join across e on e.col = greatest(0, least(7, t.col + i)) group by all",
+}
+
+
+@query("select 0::bigint as movie_id, frame::int as frame, row * 8 + col as i, value from blurred", "value", **BLURRED)
+def filter_frames(spark, sf_dir):
+    """Every embedding as a frame of 8 x 8, through the Laplacian and the Gaussian."""
+    return segment.filter_frames(views.embedding_frames(spark, sf_dir, 8, 8, 1)).selectExpr("movie_id", "frame", "posexplode(pixels) as (i, value)").withColumn("i", F.col("i").cast("long"))
+
+
 @query()
 def segment_zdiscs(spark, sf_dir):
     return segment.segment_zdiscs(views.drawn_movie(spark, sf_dir))
@@ -268,6 +290,14 @@ def frame_slice_counts(spark, sf_dir):
     return sarcomeres.frame_slice(tracks, sarcomeres.detect_sarcomeres(tracks), 11)
 
 
+@query("select * from tracked_movie", "x y p1_x p1_y p2_x p2_y")
+def stage_round_trip(spark, sf_dir):
+    """The tracked movie as a stage that is written and read again."""
+    tracks, path = views.tracked_movie(spark, sf_dir), shared_path(spark, "stages")
+    tables.write_stage(tracks, path, "tracked_zdiscs")
+    return tables.read_stage(spark, path, "tracked_zdiscs")
+
+
 # --- series ---------------------------------------------------------------------------------------------------------
 
 
@@ -366,13 +396,42 @@ def smooth_gpr(spark, sf_dir):
     return series.smooth_gpr(views.series(spark, sf_dir), ("length",))
 
 
-@query()
+def valleys_sql(medians: str) -> dict[str, str]:
+    """peaks of -med in `medians`: plateaus by runs, the higher of near ones by recursion, the width at half prominence."""
+    own = "r.movie_id = x.movie_id and r.sarc_id = x.sarc_id"
+    return {
+        "turned": f"select movie_id, sarc_id, frame, -med as v from {medians}",
+        "numbered": "select *, sum(up) over (partition by movie_id, sarc_id order by frame) as run from (select *, case when v = lag(v) over (partition by movie_id, sarc_id order by frame) then 0 else 1 end as up from turned)",
+        "tops": "select * from (select *, lag(v) over w as b, lead(v) over w as a from (select movie_id, sarc_id, run, any_value(v) as v, (min(frame) + max(frame)) // 2 as f from numbered group by all) window w as (partition by movie_id, sarc_id order by run)) where b < v and a < v",
+        "chosen": "select movie_id, sarc_id, list(struct_pack(f := f, v := v) order by v desc, f desc) as rest, []::integer[] as kept from tops group by all union all select movie_id, sarc_id, list_filter(rest[2:], lambda c: abs(c.f - rest[1].f) >= 10), list_append(kept, rest[1].f::integer) from chosen where len(rest) > 0",
+        "picked": "select r.*, x.v as top from (select movie_id, sarc_id, unnest(kept) as p from chosen where len(rest) = 0) r join turned x on r.movie_id = x.movie_id and r.sarc_id = x.sarc_id and x.frame = p",
+        "based": f"select r.*, coalesce(max(x.frame) filter (x.frame < p and x.v > top) + 1, 0) as low, coalesce(min(x.frame) filter (x.frame > p and x.v > top) - 1, max(x.frame)) as high from picked r join turned x on {own} group by all",
+        "levels": f"select r.*, any_value(top) - (any_value(top) - greatest(min(x.v) filter (x.frame between low and p), min(x.v) filter (x.frame between p and high))) / 2 as level from based r join turned x on {own} group by all",
+        "ends": f"select r.*, coalesce(max(x.frame) filter (x.frame between low and p and x.v <= level), any_value(low)) as i, coalesce(min(x.frame) filter (x.frame between p and high and x.v <= level), any_value(high)) as j from levels r join turned x on {own} group by all",
+        "crossed": f"select r.*, max(x.v) filter (x.frame = i) as vi, max(x.v) filter (x.frame = i + 1) as vi1, max(x.v) filter (x.frame = j) as vj, max(x.v) filter (x.frame = j - 1) as vj1 from ends r join turned x on {own} group by all",
+        "valleys": "select movie_id, sarc_id, p::int as frame, -top as med from crossed where (j - case when vj < level then (level - vj) / (vj1 - vj) else 0 end) - (i + case when vi < level then (level - vi) / (vi1 - vi) else 0 end) >= 5",
+    }
+
+
+FILLED_NORM = {"filled": FILLED, "filled_norm": "select *, (length - avg(length) over w) / avg(length) over w as length_norm from filled window w as (partition by movie_id, sarc_id)", "filled_medians": MED.replace("from norm window", "from filled_norm window")}
+VALLEYS = {**FILLED_NORM, **valleys_sql("filled_medians")}
+
+
+@query("select * from valleys", "med", **VALLEYS)
 def find_valleys(spark, sf_dir):
     filled = series.normalize_length(series.fill_linear(views.series(spark, sf_dir)))
     return series.find_valleys(series.filtered(filled))
 
 
-@query()
+@query(
+    """select s.movie_id as movie_id, s.sarc_id as sarc_ids, pix_length_median, pix_length_mean, pix_length_min, pix_length_max, pix_percent_shortening, c / n as mean_contraction_time, r / n as mean_relax_time, f / n as mean_flat_time, num_frames / n as mean_period_len, coalesce(first, 0)::double as frames_to_first_peak, n as peaks_count
+      from (select s.*, first, case when coalesce(deep, 0) > 0 then deep::double else 'inf'::double end as n from stats s left join (select v.movie_id as movie_id, v.sarc_id as sarc_id, min(frame) as first, count(*) filter (med < mean_med - th) as deep from valleys v join stats t on t.movie_id = v.movie_id and t.sarc_id = v.sarc_id group by all) b on b.movie_id = s.movie_id and b.sarc_id = s.sarc_id) s
+      join (select movie_id as m, max(frame) + 1 as num_frames from filled group by all) on m = s.movie_id""",
+    "pix_length_median pix_length_mean pix_length_min pix_length_max pix_percent_shortening mean_contraction_time mean_relax_time mean_flat_time mean_period_len",
+    **VALLEYS,
+    stats="""select movie_id, sarc_id, median(length) as pix_length_median, avg(length) as pix_length_mean, min(length) as pix_length_min, max(length) as pix_length_max, 100 * (max(length) - min(length)) / max(length) as pix_percent_shortening, avg(med) as mean_med, any_value(th) as th,
+      count(*) filter (slope > th) as r, count(*) filter (slope < -th) as c, count(*) filter (slope between -th and th) as f from (select *, 0.025::double * (max(med) over w - min(med) over w) as th from filled_medians window w as (partition by movie_id, sarc_id)) group by all""",
+)
 def ts_params(spark, sf_dir):
     return series.ts_params(series.normalize_length(series.fill_linear(views.series(spark, sf_dir))))
 
@@ -395,20 +454,30 @@ def order_parameter(spark, sf_dir):
     return analysis.order_parameter(views.smooth_sarcomeres(spark, sf_dir))
 
 
-@query(
+METRICS = (
     """select movie_id, oop, 1 - sqrt(j) as c_iso, (v0 - v) / v0 as c_oop, s_til, s_avg from (select *, sqrt(oop_vx ** 2 + oop_vy ** 2) as v, sqrt(((f22 * oop_vx - f12 * oop_vy) / j) ** 2 + ((f11 * oop_vy - f21 * oop_vx) / j) ** 2) as v0
       from deformed join ordered using (movie_id, frame) qualify row_number() over (partition by movie_id order by j, frame) = 1)
       join (select movie_id, median(s) as s_til from (select movie_id, sarc_id, (max(length_norm) - min(length_norm)) / (max(length_norm) + 1) as s from norm group by all) group by all) using (movie_id)
       join (select movie_id, (max(m) - min(m)) / (max(m) + 1) as s_avg from (select movie_id, frame, avg(length_norm) as m from norm group by all) group by all) using (movie_id)""",
     "oop c_iso c_oop s_til s_avg",
-    **DEFORMED,
-    **NORM,
 )
+
+
+@query(*METRICS, **DEFORMED, **NORM)
 def movie_metrics(spark, sf_dir):
     smooth = _smooth(spark, sf_dir)
     return analysis.movie_metrics(smooth, analysis.deformation(smooth), analysis.order_parameter(smooth))
 
 
+@query(*METRICS, **DEFORMED, **NORM)
+def metrics_json(spark, sf_dir):
+    """The metrics as JSON that is written and read again."""
+    path = shared_path(spark, "metrics")
+    smooth = _smooth(spark, sf_dir)
+    tables.write_metrics_json(analysis.movie_metrics(smooth, analysis.deformation(smooth), analysis.order_parameter(smooth)), path)
+    return spark.read.schema("movie_id long, oop double, c_iso double, c_oop double, s_til double, s_avg double").json(path)
+
+
 @query(
     """select movie_id, frame, sqrt(greatest((q - gap) / 2, 0)) as lambda1, sqrt((q + gap) / 2) as lambda2, -sin(phi) as v1_x, cos(phi) as v1_y, cos(phi) as v2_x, sin(phi) as v2_y from (
       select *, case when gap > 1e-6 then atan2(2 * (f11 * f21 + f12 * f22), f11 ** 2 + f12 ** 2 - f21 ** 2 - f22 ** 2) / 2 end as phi from (

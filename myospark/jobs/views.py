@@ -62,6 +62,13 @@ def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "embeddings").selectExpr("cast(0 as bigint) as movie_id", "vec_id as frame", "posexplode(embedding) as (i, v)").selectExpr("movie_id", "frame", "i div 8 as row", "cast(i % 8 as bigint) as col", "cast(v as double) as value")
 
 
+def embedding_frames(spark: SparkSession, sf_dir: str, height: int, width: int, channels: int) -> DataFrame:
+    """Every embedding as a frame of its first values."""
+    pixels = f"transform(slice(embedding, 1, {height * width * channels}), v -> cast(v as double)) as pixels"
+    frames = _table(spark, sf_dir, "embeddings").selectExpr("cast(0 as bigint) as movie_id", "cast(vec_id as int) as frame", f"{height} as height", f"{width} as width", f"{channels} as channels", pixels)
+    return spread(frames, "frame")
+
+
 def contour_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     points = "transform(sequence(0, 31), k -> named_struct('x', cast(embedding[2 * k] as double), 'y', cast(embedding[2 * k + 1] as double)))"
     return _table(spark, sf_dir, "embeddings").selectExpr("cast(0 as bigint) as movie_id", "0 as frame", "vec_id as contour_id", f"{points} as points")

@@ -73,7 +73,8 @@ def write_stage(df: DataFrame, path: str, stage: str, csv: bool = False) -> None
 def read_stage(spark: SparkSession, path: str, stage: str) -> DataFrame:
     """What write_stage wrote, or a FileNotFoundError that names the step to run first."""
     try:
-        return spark.read.parquet(f"{path}/{stage}")
+        found = spark.read.parquet(f"{path}/{stage}")
+        return found.withColumn("movie_id", F.col("movie_id").cast("long")) if "movie_id" in found.columns else found
     except AnalysisException as e:
         raise FileNotFoundError(f"{stage} is missing in {path}: run {STAGES.get(stage, stage)} first") from e
 
