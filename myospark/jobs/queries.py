@@ -384,19 +384,12 @@ def smooth_columns(spark, sf_dir):
     return series.smooth_gpr(sarcomeres.detect_sarcomeres(views.tracked_movie(spark, sf_dir)))
 
 
-@query()
-def j_valleys(spark, sf_dir):
-    """Frames in which the movie as a whole is shortest, with valleys of any width: the drawn beat has two of 20 frames."""
-    deformed = analysis.deformation(views.smooth_sarcomeres(spark, sf_dir))
-    return series.find_valleys(series.filtered(deformed, "j", ("movie_id",)), "j", width=1.0, key=("movie_id",))
-
-
 @query()
 def smooth_gpr(spark, sf_dir):
     return series.smooth_gpr(views.series(spark, sf_dir), ("length",))
 
 
-def valleys_sql(medians: str) -> dict[str, str]:
+def valleys_sql(medians: str, width: float = 5.0) -> dict[str, str]:
     """peaks of -med in `medians`: plateaus by runs, the higher of near ones by recursion, the width at half prominence."""
     own = "r.movie_id = x.movie_id and r.sarc_id = x.sarc_id"
     return {
@@ -409,7 +402,7 @@ def valleys_sql(medians: str) -> dict[str, str]:
         "levels": f"select r.*, any_value(top) - (any_value(top) - greatest(min(x.v) filter (x.frame between low and p), min(x.v) filter (x.frame between p and high))) / 2 as level from based r join turned x on {own} group by all",
         "ends": f"select r.*, coalesce(max(x.frame) filter (x.frame between low and p and x.v <= level), any_value(low)) as i, coalesce(min(x.frame) filter (x.frame between p and high and x.v <= level), any_value(high)) as j from levels r join turned x on {own} group by all",
         "crossed": f"select r.*, max(x.v) filter (x.frame = i) as vi, max(x.v) filter (x.frame = i + 1) as vi1, max(x.v) filter (x.frame = j) as vj, max(x.v) filter (x.frame = j - 1) as vj1 from ends r join turned x on {own} group by all",
-        "valleys": "select movie_id, sarc_id, p::int as frame, -top as med from crossed where (j - case when vj < level then (level - vj) / (vj1 - vj) else 0 end) - (i + case when vi < level then (level - vi) / (vi1 - vi) else 0 end) >= 5",
+        "valleys": "select movie_id, sarc_id, p::int as frame, -top as med from crossed where (j - case when vj < level then (level - vj) / (vj1 - vj) else 0 end) - (i + case when vi < level then (level - vi) / (vi1 - vi) else 0 end) >= " + str(width),
     }
 
 
@@ -423,6 +416,13 @@ def find_valleys(spark, sf_dir):
     return series.find_valleys(series.filtered(filled))
 
 
+@query("select movie_id, frame, med as j from valleys", "j", **DEFORMED, whole_j="select movie_id, 0 as sarc_id, frame, j as med from deformed", **valleys_sql("whole_j", 1.0))
+def j_valleys(spark, sf_dir):
+    """Frames in which the movie as a whole is smallest, with valleys of any width."""
+    deformed = analysis.deformation(views.smooth_sarcomeres(spark, sf_dir))
+    return series.find_valleys(series.filtered(deformed, "j", ("movie_id",)), "j", width=1.0, key=("movie_id",))
+
+
 @query(
     """select s.movie_id as movie_id, s.sarc_id as sarc_ids, pix_length_median, pix_length_mean, pix_length_min, pix_length_max, pix_percent_shortening, c / n as mean_contraction_time, r / n as mean_relax_time, f / n as mean_flat_time, num_frames / n as mean_period_len, coalesce(first, 0)::double as frames_to_first_peak, n as peaks_count
       from (select s.*, first, case when coalesce(deep, 0) > 0 then deep::double else 'inf'::double end as n from stats s left join (select v.movie_id as movie_id, v.sarc_id as sarc_id, min(frame) as first, count(*) filter (med < mean_med - th) as deep from valleys v join stats t on t.movie_id = v.movie_id and t.sarc_id = v.sarc_id group by all) b on b.movie_id = s.movie_id and b.sarc_id = s.sarc_id) s
