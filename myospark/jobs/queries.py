@@ -9,6 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from ..operators import analysis, compare, graph, sarcomeres, segment, series, track
 from ..sources import tables
@@ -547,3 +548,47 @@ def bootstrap_length(spark, sf_dir):
 def tracked_vs_untracked(spark, sf_dir):
     tracks = views.tracked_movie(spark, sf_dir)
     return compare.tracked_vs_untracked(views.smooth_sarcomeres(spark, sf_dir), sarcomeres.detect_by_frame(tracks))
+
+
+@query("select movie_id, frame, true as centred, true as as_wide from smooth group by all")
+def bootstrap_bounds(spark, sf_dir):
+    """Whether the bootstrap of every frame is centred within five standard errors and as wide, within 15 %, as theory says."""
+    smooth = views.smooth_sarcomeres(spark, sf_dir)
+    known = smooth.groupBy(*FRAME).agg(F.avg("length").alias("mu"), F.count(F.lit(1)).alias("size"), (F.stddev_pop("length") / F.sqrt(F.count(F.lit(1)))).alias("error"))
+    drawn = compare.bootstrap_mean_diff(smooth.select(*FRAME, F.col("length").alias("value")).join(known, FRAME))
+    seen = drawn.groupBy(*FRAME).agg(F.avg("diff").alias("mean"), F.stddev("diff").alias("sd"), F.count(F.lit(1)).alias("runs")).join(known, FRAME)
+    return seen.select(*FRAME, (F.abs("mean") <= 5 * F.col("error") / F.sqrt("runs")).alias("centred"), F.col("sd").between(0.85 * F.col("error"), 1.15 * F.col("error")).alias("as_wide"))
+
+
+@query("select movie_id, frame, true as centred, true as in_range from smooth group by all")
+def angle_bounds(spark, sf_dir):
+    """Whether the bootstrap of the angles of every frame is centred on the circular mean and the radius stays in range."""
+    smooth = views.smooth_sarcomeres(spark, sf_dir)
+    known = analysis.circular_mean(smooth, FRAME).withColumnRenamed("mean_angle", "mu").join(smooth.groupBy(*FRAME).agg(F.count(F.lit(1)).alias("size")), FRAME)
+    drawn = compare.bootstrap_angle_diff(smooth.select(*FRAME, F.col("angle").alias("value")).join(known, FRAME)).join(known.select(*FRAME, "radius"), FRAME)
+    found = drawn.groupBy(*FRAME, "radius").agg(F.avg("diff_angle").alias("mean"), F.stddev("diff_angle").alias("sd"), F.min("diff_radius").alias("low"), F.max("diff_radius").alias("high"), F.count(F.lit(1)).alias("runs"))
+    return found.select(*FRAME, (F.abs("mean") <= 6 * F.col("sd") / F.sqrt("runs")).alias("centred"), ((F.col("low") >= F.col("radius") - 1 - 1e-9) & (F.col("high") <= F.col("radius") + 1e-9)).alias("in_range"))
+
+
+@query(
+    "select movie_id, frame, count(*) as untracked, any_value(n) as tracked, true as ordered from pruned join (select movie_id as m, max(sarc_id) + 1 as n from smooth group by all) on m = movie_id group by movie_id, frame",
+    **FRAME_GRAPH,
+)
+def comparison_counts(spark, sf_dir):
+    """How many sarcomeres of each kind are compared in every frame, and whether the quartiles of all differences are in order."""
+    found = tracked_vs_untracked(spark, sf_dir)
+    names = [f.name for f in found.schema.fields if isinstance(f.dataType, T.ArrayType)]
+    in_order = F.forall(F.array(*(F.array_sort(c) == F.col(c) for c in names)), lambda same: same)
+    return found.select(*FRAME, "untracked", "tracked", in_order.alias("ordered"))
+
+
+@query(
+    "select movie_id, n - 1 as merges, n as leaves, true as rising, d as first_height from (select movie_id, count(distinct sarc_id) as n from norm group by all) join (select m, min(dist) as d from (select a.movie_id as m, sqrt(sum((a.length_norm - b.length_norm) ** 2)) as dist from norm a join norm b on a.movie_id = b.movie_id and a.frame = b.frame and a.sarc_id < b.sarc_id group by a.movie_id, a.sarc_id, b.sarc_id) group by all) on m = movie_id",
+    "first_height",
+    **NORM,
+)
+def ward_shape(spark, sf_dir):
+    """What every linkage must be: one merge fewer than series, all leaves in the last, heights that rise from the least distance."""
+    linked = series.ward_linkage(series.pair_distances(_smooth(spark, sf_dir), "euclidean"))
+    rise = F.col("height") >= F.coalesce(F.lag("height").over(Window.partitionBy("movie_id").orderBy("step")), F.lit(0.0)) - 1e-9
+    return linked.withColumn("rise", rise).groupBy("movie_id").agg(F.count(F.lit(1)).alias("merges"), F.max(F.size(F.array_distinct("leaves"))).cast("long").alias("leaves"), F.bool_and("rise").alias("rising"), F.min("height").alias("first_height"))

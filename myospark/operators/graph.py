@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..storage import materialize
 from . import components
 
 
@@ -103,7 +104,9 @@ def prune_edges(scored: DataFrame, nodes: DataFrame, key: list[str], score_thres
 
 
 def detect_edges(nodes: DataFrame, key: list[str], k: int = 3, score_threshold: float = 0.01, angle_threshold: float = 1.2, **weights: float) -> DataFrame:
-    return prune_edges(score_edges(knn_edges(nodes, key, k), nodes, key, **weights), nodes, key, score_threshold, angle_threshold)
+    """The pruned edges of nodes. The neighbours, which the scores read from both ends, are written once."""
+    near = materialize(knn_edges(nodes, key, k), "neighbours")
+    return prune_edges(score_edges(near, nodes, key, **weights), nodes, key, score_threshold, angle_threshold)
 
 
 def myofibrils(nodes: DataFrame, edges: DataFrame, key: list[str], huge: bool = False) -> DataFrame:

@@ -68,13 +68,14 @@ def measure_by_frame(zdiscs: DataFrame, edges: DataFrame) -> DataFrame:
 def detect_sarcomeres(tracks: DataFrame, **params: float) -> DataFrame:
     """Sarcomeres of tracked movies: the graph of the particles' mean places, measured in every frame."""
     require_columns(tracks, ["movie_id", "frame", "particle", *ENDS])
-    return measure_sarcomeres(tracks, graph.detect_edges(particle_centers(tracks), ["movie_id"], **params))
+    centers = materialize(particle_centers(tracks), "centers")  # the graph reads them several times
+    return measure_sarcomeres(tracks, graph.detect_edges(centers, ["movie_id"], **params))
 
 
 def detect(tracks: DataFrame, **params: float) -> tuple[DataFrame, DataFrame]:
     """(sarcomeres, myofibrils) from one graph, which is written once."""
     require_columns(tracks, ["movie_id", "frame", "particle", *ENDS])
-    centers = particle_centers(tracks)
+    centers = materialize(particle_centers(tracks), "centers")
     edges = materialize(graph.detect_edges(centers, ["movie_id"], **params), "sarcomere-edges")
     return measure_sarcomeres(tracks, edges), graph.myofibrils(centers, edges, ["movie_id"])
 
