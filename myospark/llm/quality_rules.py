@@ -2,15 +2,17 @@
 
 Every rule rejects a document whose measure reaches the rule's cutoff.  For each stratum and rule the candidate
 cutoffs, fixed in advance, are tested from the mildest to the strictest on the labelled good documents: a cutoff is
-certified while the exact binomial probability of seeing so few false rejections, were the true rate `rate`, stays
-under delta / (strata * rules).  The first failure ends the sequence, so within a sequence no further correction is
-due, and Bonferroni's covers the sequences.  With probability 1 - delta every certified cutoff of every stratum then
-rejects under `rate` of its good documents, whichever of them is used.  The one used separates the labels best; of
-equals the mildest.  A stratum with too few labels to certify anything gets no rule and keeps its documents.
+certified while the exact binomial probability of seeing so few false rejections, were the true rate `rate / rules`,
+stays under delta / (strata * rules).  The first failure ends the sequence, so within a sequence no further correction
+is due, and Bonferroni's covers the sequences.  With probability 1 - delta the certified cutoffs of every stratum then
+reject, all rules together, under `rate` of its good documents, whichever of them are used.  The bound is on documents
+that pass the base rule, which is fixed and not certified.  The one used separates the labels best; of equals the
+mildest.  A stratum with too few labels to certify anything gets no rule and keeps its documents.
 
 DataFrame functions only.  A null text counts as empty and fails the base rule of 50 words; a null stratum is a
-stratum of its own; documents without a label, label rows without a document, and null labels teach nothing; repeated
-rows count as often as they come.  Documents keep their columns, also those named like a measure.
+stratum of its own; documents without a label, label rows without a document, and null labels teach nothing; a repeated
+label or document is one draw, of the least label and the row of the least measures; very long texts are measured whole.
+Documents keep their columns, also those named like a measure.
 """
 
 from __future__ import annotations
@@ -30,7 +32,8 @@ RULES: dict[str, tuple[str, list[int]]] = {
     "duplicate_lines": ("case when n_lines > 0 then (100 * n_dup_lines) div n_lines else 0 end", [90, 80, 70, 60, 50, 40, 30, 20]),
     "long_words": ("case when n_words > 0 then (100 * word_chars) div n_words else 0 end", [4000, 3000, 2500, 2000, 1600, 1400, 1200, 1000]),
 }
-RATE, DELTA = 0.02, 0.1
+#: The share of good documents that all rules of a stratum together may reject, and the chance that one does so nonetheless.
+RATE, DELTA = 0.06, 0.1
 MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines"]
 
 
@@ -112,9 +115,11 @@ def certified_cutoffs(measured: DataFrame, labels: DataFrame, stratum: str = "la
     measured: with_measures of all documents, with doc_id; labels: doc_id, quality.  At most one row per stratum,
     rule and candidate leaves the aggregation.
     """
-    seen = measured.where(~F.col("base_failed")).join(labels.select("doc_id", "quality"), "doc_id")
+    once = labels.where("quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    known = measured.where(~F.col("base_failed")).join(once, "doc_id").select("doc_id", "quality", F.col(stratum).alias("_stratum"), F.struct(*MEASURES).alias("_m"))
+    seen = known.groupBy("doc_id").agg(F.min(F.struct("_stratum", "quality", "_m")).alias("_s")).select("_s._stratum", "_s.quality", "_s._m.*")
     good, bad = F.col("quality") == 1, F.col("quality") == 0
-    key = F.coalesce(F.col(stratum).cast("string"), F.lit("")).alias("stratum")
+    key = F.coalesce(F.col("_stratum").cast("string"), F.lit("")).alias("stratum")
     at = [(r, k, c, F.expr(m) >= c) for r, (m, cutoffs) in rules.items() for k, c in enumerate(cutoffs)]
     counts = seen.groupBy(key).agg(
         F.count_if(good).alias("n"), F.count_if(bad).alias("n_bad"),
@@ -123,7 +128,7 @@ def certified_cutoffs(measured: DataFrame, labels: DataFrame, stratum: str = "la
     strata = F.count(F.lit(1)).over(Window.partitionBy(F.lit(1)))
     tests = counts.withColumn("strata", strata).select("stratum", "n", "n_bad", "strata", F.inline("tests"))
     level = delta / len(rules) / F.col("strata")
-    tests = tests.withColumn("passes", binomial_tail(F.col("k"), F.col("n"), rate) <= level)
+    tests = tests.withColumn("passes", binomial_tail(F.col("k"), F.col("n"), rate / len(rules)) <= level)
     upto = Window.partitionBy("stratum", "rule").orderBy("step")
     gain = F.col("k_bad") / F.col("n_bad") - F.col("k") / F.col("n")
     passing = tests.withColumn("certified", F.min("passes").over(upto)).where("certified and n > 0 and n_bad > 0").withColumn("gain", gain).where("gain > 0")
@@ -149,12 +154,12 @@ def apply_rules(docs: DataFrame, labels: DataFrame, stratum: str = "lang") -> Da
 
 
 def kept_documents(docs: DataFrame, labels: DataFrame, stratum: str = "lang") -> DataFrame:
-    """The documents, columns as they are, that the rules keep. Texts are measured where they lie, not shuffled:
-    once for the labelled documents, once for the verdict. The few cutoffs are what is joined."""
-    measured = with_measures(docs.select("doc_id", "text", stratum)).drop("text")
-    cutoffs = materialize(certified_cutoffs(measured, labels, stratum), "cutoffs")
-    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_doc"), F.col(stratum).alias("_stratum"))
-    return judge(with_measures(whole, "_doc.text"), cutoffs, "_stratum").where("kept").select("_doc.*")
+    """The documents, columns as they are, that the rules keep. They are measured once, where they lie, and written with
+    their measures; the cutoffs are learned from the measures alone, and are what is joined."""
+    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_doc"), F.col("doc_id"), F.col(stratum).alias("_stratum"))
+    measured = materialize(with_measures(whole, "_doc.text"), "measured")
+    cutoffs = materialize(certified_cutoffs(measured, labels, "_stratum"), "cutoffs")
+    return judge(measured, cutoffs, "_stratum").where("kept").select("_doc.*")
 
 
 ORACLE_SQL = r"""
@@ -173,7 +178,7 @@ b as (select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words base_failed,
 r as (select unnest([__RULES__]) r),
 s as (select lang, r.rule as rule, r.step as step, r.cutoff as cutoff, count(*) filter (quality = 1) n, count(*) filter (quality = 0) n_bad,
   count(*) filter (quality = 1 and v >= r.cutoff) k, count(*) filter (quality = 0 and v >= r.cutoff) k_bad
-  from (select b.lang, r, quality, case r.rule when 'symbols' then v1 when 'duplicate_lines' then v2 else v3 end v from b join labels l on b.doc_id = l.doc_id, r where not base_failed)
+  from (select b.lang, r, quality, case r.rule when 'symbols' then v1 when 'duplicate_lines' then v2 else v3 end v from b join (select doc_id, min(quality) quality from labels group by 1) l on b.doc_id = l.doc_id, r where not base_failed)
   group by all),
 p as (select *, case when k > n * __RATE__ then 1.0 else list_sum(list_transform(range(0, k + 1),
   lambda j: exp(lgamma(n + 1.0) - lgamma(j + 1.0) - lgamma(n - j + 1.0) + j * ln(__RATE__) + (n - j) * ln(1 - __RATE__)))) end
@@ -186,4 +191,4 @@ from b left join u u1 on u1.lang = b.lang and u1.rule = 'symbols' left join u u2
 left join u u3 on u3.lang = b.lang and u3.rule = 'long_words'
 """
 ORACLE_SQL = ORACLE_SQL.replace("__RULES__", ", ".join(f"{{'rule': '{r}', 'step': {k}, 'cutoff': {c}}}" for r, (_, cs) in RULES.items() for k, c in enumerate(cs)))
-ORACLE_SQL = ORACLE_SQL.replace("__RATE__", str(RATE)).replace("__DELTA__", str(DELTA)).replace("__N__", str(len(RULES)))
+ORACLE_SQL = ORACLE_SQL.replace("__RATE__", str(RATE / len(RULES))).replace("__DELTA__", str(DELTA)).replace("__N__", str(len(RULES)))
