@@ -8,7 +8,9 @@ as there are; the output is then shifted to the labels' true shares.
 
 As the output is linear in the average, a bucket's contribution to the log-odds is one number, so scoring a text adds
 one table entry per feature and needs no vectors.  A null or wordless text scores as the labels' share alone.  Null
-labels and labels without a document teach nothing.  Repeated rows are scored each; extra columns are ignored.
+labels and labels without a document teach nothing; of repeated labels the least counts, of repeated documents one text, so
+the sample is bounded whatever repeats.  Repeated rows are scored each, equal texts equally; very long texts are scored
+whole; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -88,11 +90,11 @@ def train_on(docs: list[tuple[np.ndarray, np.ndarray, int]], prior: float, seed:
 
 def model_of(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE_PER_LABEL) -> tuple[np.ndarray, float, float]:
     """(table, offset, share of label 1), learned from labels that are not held out. The table is one row of fixed size."""
-    teach = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", "quality")
+    teach = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     prior = teach.agg(F.avg("quality")).first()[0]
     prior = 0.5 if prior is None else prior
     picked = [teach.where(F.col("quality") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_label) for y in (0, 1)]
-    sample = docs.select("doc_id", "text").join(F.broadcast(picked[0].unionByName(picked[1])), "doc_id").select("text", "quality")
+    sample = docs.select("doc_id", "text").join(F.broadcast(picked[0].unionByName(picked[1])), "doc_id").groupBy("doc_id", "quality").agg(F.max("text").alias("text")).select("text", "quality")
     bounded_batches(docs.sparkSession)
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
