@@ -33,3 +33,47 @@ def test_every_stage_decides(spark):
     for r in rows:
         ids = library.encode(kept[3][r.doc_id])
         assert r.n_tokens == len(ids) and r.ids_sha256 == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
+
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def small_sf(spark, folder, docs):
+    for name in ("labels", "benchmark"):
+        spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet").write.parquet(f"{folder}/{name}.parquet")
+    docs.write.parquet(f"{folder}/documents.parquet")
+    return str(folder)
+
+
+def words(n, at=0):
+    return " ".join(f"word{k}" for k in range(at, at + n))
+
+
+def test_pipeline_of_planted_documents(spark, tmp_path):
+    """What goes and what stays is known beforehand; rows of nulls, empty texts, repeated rows and clashing columns too."""
+    item = next(r.text for r in spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet").collect() if len((r.text or "").split()) >= 12)
+    clean, near = words(80), words(79) + " changed"
+    rows = [
+        (1, None, "en", "a", 0), (2, "", None, None, None), (3, "few words only", "en", "a", 14), (4, clean, "en", "a", len(clean)), (5, clean, "en", "b", len(clean)), (6, near, "en", "a", len(near)),
+        (7, words(80, 500), "en", "a", 1), (7, words(80, 500), "en", "a", 1), (8, words(60, 900) + "\n" + item, "en", "a", 1), (9, words(60, 1300) + " password = abcdefghijklmnop1", "en", "a", 1), (None, words(70, 1700), "en", "a", 1), (10, "again and again " * 40, "en", "a", 1),
+    ]
+    clash = spark.createDataFrame([(*r, 5, "x", 1.5) for r in rows], DOCS + ", n_words long, spans string, kept double")
+    sf = small_sf(spark, tmp_path, clash)
+    docs, left = clash, []
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, sf)
+        docs = spark.createDataFrame(docs.collect(), clash.schema)
+        assert docs.columns == clash.columns
+        left.append({r.doc_id for r in docs.collect()})
+    assert left == [{4, 5, 6, 7, 8, 9, None}, {4, 7, 8, 9, None}, {4, 7, 9, None}, {4, 7, 9, None}]
+    out = {r.doc_id: r for r in corpus_pipeline.run(spark, sf).collect()}
+    library = sentencepiece.SentencePieceProcessor(model_file=corpus_pipeline.PIECE_MODEL)
+    texts = {4: clean, 7: words(80, 500), 9: words(60, 1300) + " <secret>", None: words(70, 1700)}
+    assert set(out) == set(texts)
+    for k, t in texts.items():
+        ids = library.encode(t)
+        assert out[k].n_tokens == len(ids) and out[k].decoded_sha256 == hashlib.sha256(library.decode(ids).encode()).hexdigest()
+
+
+def test_pipeline_of_nothing(spark, tmp_path):
+    assert corpus_pipeline.run(spark, small_sf(spark, tmp_path, spark.createDataFrame([], DOCS))).count() == 0
