@@ -33,9 +33,9 @@ from .batches import bounded_batches, mix, prefix_hash, runs, slice_hash, text_c
 WINDOW, LEAST_TOKENS, COVERAGE = 8, 4, 0.5
 #: Shortest items; items of so many tokens and more have windows of a third of their length.
 SHORTEST, LONG = 2, 11
-#: The filter of window hashes that every task gets has 32 places a window of the benchmark, and between these numbers of
-#: bits: two megabytes at most. A fuller one lets more through to the join, never less.
-FILTER_BITS = (16, 24)
+#: The filter of window hashes that every task gets has PLACES a window of the benchmark, so it lets one in so many others
+#: through, and between these numbers of bits: four megabytes at most. A fuller one lets more through to the join, never less.
+PLACES, FILTER_BITS = 1024, (22, 25)
 #: Units that follow a number.
 UNITS = ["mm", "cm", "m", "km", "g", "kg", "mg", "t", "l", "ml", "s", "min", "h", "hours", "hour", "minutes", "minute", "seconds", "days", "day", "weeks", "years", "miles", "mile", "feet", "inches", "meters", "metres", "kilometers", "grams", "kilograms", "pounds", "litres", "liters", "dollars", "euros", "cents", "percent", "degrees", "usd", "eur", "kmh", "mph"]
 NUM, NAME, UNIT, WORD = 1, 2, 3, 0
@@ -173,7 +173,7 @@ def template_windows(texts: DataFrame, id_col: str, sizes: list[int], wanted: np
 def marks_of(items: DataFrame) -> np.ndarray:
     """The filter of the windows' hashes, 32 places gathered in Spark before they come to the driver."""
     windows = items.select("hash").distinct().count()
-    bits = min(max((32 * windows).bit_length(), FILTER_BITS[0]), FILTER_BITS[1])
+    bits = min(max((PLACES * windows).bit_length(), FILTER_BITS[0]), FILTER_BITS[1])
     place = F.shiftrightunsigned("hash", 64 - bits)
     cells = items.select(place.alias("p")).groupBy(F.shiftright("p", 5).alias("cell")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 31 as int))")).alias("marks"))
     out = np.zeros(1 << (bits - 5), np.uint32)
