@@ -1,7 +1,7 @@
 """Personal data in texts: fixed patterns, and identifiers that occur where known ones do.
 
 The patterns' finds are the seeds.  Every place of an identifier, found or merely shaped like one (a run of tokens that hold
-a digit each, four in all, or an @), yields lexical patterns: the word before, the word after, and both.  Spark scores the graph of patterns and instances in turns: a
+a digit each, five in all, or an @), yields lexical patterns: the word before, the word after, and both.  Spark scores the graph of patterns and instances in turns: a
 pattern is as good as the share of good ones among its distinct instances and the other uses of its words in all
 documents, given enough good ones, so words that stand everywhere prove nothing; an instance that is no seed is as
 good as its good patterns together make it.  Instances that pass the bound are personal data wherever
@@ -41,7 +41,7 @@ CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 #: A run of neighbouring tokens with a digit or an @ each, such as '415 555 7788', and how many digits make it an identifier.
 TOKEN = re.compile(r"(?<!\S)[^\s0-9@]*[0-9@]\S*(?:\x20[^\s0-9@]*[0-9]\S*)*")
-LEAST_DIGITS = 4
+LEAST_DIGITS = 5
 LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 #: Turns of scoring; distinct good instances that a pattern needs; score from which a pattern counts and an instance is one.
 TURNS, SUPPORT, GOOD_PATTERN, GOOD_INSTANCE = 3, 3, 0.6, 0.8
@@ -94,7 +94,7 @@ def base_spans(text: str) -> list[tuple[int, int, int, str]]:
 
 
 def occurrences(text: str, base: list[tuple[int, int, int, str]]) -> list[dict]:
-    """Places of identifiers with the words around them: seeds, and other runs of tokens with an @ or at least four digits."""
+    """Places of identifiers with the words around them: seeds, and other runs of tokens with an @ or at least five digits."""
     places, taken = [], sorted((s, e) for s, _, e, _ in base)
     places += [(s, e, 1) for s, e in dict.fromkeys(taken)]
     for m in TOKEN.finditer(text):
@@ -178,13 +178,15 @@ def uses_of(docs: DataFrame, wanted: bytes, begins: set[int], ends: set[int]) ->
 
         def glued(words: Counter) -> None:
             for w, n in words.items():
-                found[w] += n * known(w)
-                if w not in (START, END):
-                    for k in range(1, min(len(w) - 1, GLUED) + 1):
-                        if k in begins and known(begin := f"{w[:k]}\t"):
-                            found[begin] += n
-                        if k in ends and known(end := f"\t{w[-k:]}"):
-                            found[end] += n
+                if known(w):
+                    found[w] += n
+                size = min(len(w) - 1, GLUED) if w not in (START, END) else 0
+                for k in begins:
+                    if 1 <= k <= size and first[w[:k]]:
+                        found[f"{w[:k]}\t"] += n
+                for k in ends:
+                    if 1 <= k <= size and last[w[-k:]]:
+                        found[f"\t{w[-k:]}"] += n
 
         def sent() -> pa.RecordBatch:
             held = {w: n for w, n in found.items() if n}
@@ -192,16 +194,16 @@ def uses_of(docs: DataFrame, wanted: bytes, begins: set[int], ends: set[int]) ->
             return pa.RecordBatch.from_arrays([pa.array(held.keys(), pa.string()), pa.array(held.values(), pa.int64())], names=["context", "n"])
 
         class Marked(dict):
-            """Whether a word is at one side of a wanted pair, looked up once."""
+            """Whether a word is at one side of a wanted pair, or what begins or ends words is wanted, looked up once."""
 
-            def __init__(self, side: str):
-                self.side = side
+            def __init__(self, before: str, after: str = ""):
+                self.before, self.after = before, after
 
             def __missing__(self, w: str) -> int:
-                self[w] = out = known(f"{self.side}{w}")
+                self[w] = out = known(f"{self.before}{w}{self.after}")
                 return out
 
-        words, found, left, right = Counter(), Counter(), Marked(LEFT), Marked(RIGHT)
+        words, found, left, right, first, last = Counter(), Counter(), Marked(LEFT), Marked(RIGHT), Marked("", "\t"), Marked("\t")
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 here = text.lower().split() if text else []
@@ -212,7 +214,7 @@ def uses_of(docs: DataFrame, wanted: bytes, begins: set[int], ends: set[int]) ->
                     found.update(p for p in pairs if known(p))
                 if len(words) >= COUNTED or len(left) >= COUNTED:
                     glued(words)
-                    for held in (words, left, right):
+                    for held in (words, left, right, first, last):
                         held.clear()
                 if len(found) >= COUNTED:
                     yield sent()

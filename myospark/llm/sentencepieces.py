@@ -4,10 +4,10 @@ A text becomes symbols; an agenda (a heap ordered by score, then by place) holds
 concatenation is a piece, and the best pair is merged until none is left.  Symbols that no piece covers are
 spelled in byte pieces.
 
-Two facts keep it fast without changing a single id.  A merge can never span two neighbouring characters that no
-piece holds side by side, so a text falls apart at such places and at every word mark that follows another
-character; and equal parts have equal ids, so each task keeps a bounded memo of parts.  Every part that enters the
-memo is compared with the sentencepiece library, one call per Arrow batch; a difference stops the job.
+Two facts keep it fast without changing a single id.  A merge can never span two neighbouring characters that no piece holds
+side by side, so a text falls apart at such places and into units, word marks and all up to the next; and equal units and
+parts have equal ids, so each task keeps a bounded memo.  Every unit that enters the memo is compared whole with the
+sentencepiece library, one call per Arrow batch; a difference stops the job.
 
 Nulls count as empty; an empty text has no ids; extra columns stay; repeated rows are encoded each.
 """
@@ -15,6 +15,7 @@ Nulls count as empty; an empty text has no ids; extra columns stay; repeated row
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
@@ -27,11 +28,9 @@ from pyspark.sql import functions as F
 from .batches import bounded_batches
 
 MARK = "▁"
-MEMO_ENTRIES = 250_000
+MEMO_ENTRIES = 300_000
 PLACES = 32
 PLACE = (1 << PLACES) - 1
-NO_PIECE = 1 << 62
-SHORT = 40
 
 
 class MergeVocabulary:
@@ -45,49 +44,46 @@ class MergeVocabulary:
         self.ids = {sp.id_to_piece(i): i for i in ids if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i))}
         by_score = {x: k for k, x in enumerate(sorted({-sp.get_score(i) for i in self.ids.values()}))}
         self.rank = {p: by_score[-sp.get_score(i)] << PLACES for p, i in self.ids.items()}
-        self.bytes = [sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
         self.neighbours = {p[k : k + 2] for p in self.ids for k in range(len(p) - 1)}
+        self.plain = re.compile(f"{MARK}[{self.companions()}]+").fullmatch
+        self.bytes = [sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
         if any(MARK in p.lstrip(MARK) for p in self.ids) or any(map(sp.is_unused, ids)):
             raise ValueError("pieces that are unused or hold a word mark after other characters are not supported")
 
+    def companions(self) -> str:
+        """Letters every two of which some piece holds side by side, in either order, and each after a word mark."""
+        letters = set("abcdefghijklmnopqrstuvwxyz")
+        lacking = lambda a: sum((a + b not in self.neighbours) + (b + a not in self.neighbours) for b in letters) + 99 * (MARK + a not in self.neighbours)
+        while letters and lacking(worst := max(sorted(letters), key=lacking)):
+            letters.remove(worst)
+        return "".join(sorted(letters)) or MARK
+
     def merge(self, symbols: list[str]) -> list[str]:
-        """The agenda: the best-scored adjacent pair first, the leftmost of equals. A short text keeps its agenda as a
-        list in text order, a longer one as a heap."""
-        return self.merge_short(symbols) if len(symbols) <= SHORT else self.merge_long(symbols)
-
-    def merge_short(self, symbols: list[str]) -> list[str]:
-        rank = self.rank.get
-        agenda = [rank(p, NO_PIECE) for p in map(add, symbols, symbols[1:])]
-        while agenda and (best := min(agenda)) != NO_PIECE:
-            i = agenda.index(best)
-            symbols[i] += symbols.pop(i + 1)
-            agenda.pop(i)
-            if i < len(agenda):
-                agenda[i] = rank(symbols[i] + symbols[i + 1], NO_PIECE)
-            if i:
-                agenda[i - 1] = rank(symbols[i - 1] + symbols[i], NO_PIECE)
-        return symbols
-
-    def merge_long(self, symbols: list[str]) -> list[str]:
-        """An entry is the rank of the pair's score and its place in one number; it is stale when the pair that now
-        starts there has another rank."""
+        """The agenda: the best-scored adjacent pair first, the leftmost of equals. An entry is the rank of the pair's score
+        and its place in one number; it is stale unless `now` has that rank for that place."""
         n, rank = len(symbols), self.rank.get
-        agenda = [r + i for i, p in enumerate(map(add, symbols, symbols[1:])) if (r := rank(p, NO_PIECE)) != NO_PIECE]
+        now = list(map(rank, map(add, symbols, symbols[1:])))
+        agenda = [r + i for i, r in enumerate(now) if r is not None]
         heapify(agenda)
-        right, left = [*range(1, n), -1], [*range(-1, n - 1)]
+        now.append(None)
+        right, left = [*range(1, n + 1)], [*range(-1, n)]
         while agenda:
             e = heappop(agenda)
             i = e & PLACE
-            if (j := right[i]) < 0 or not (s := symbols[i]) or rank(piece := s + symbols[j], NO_PIECE) + i != e:
+            if now[i] != e - i:
                 continue
-            symbols[i], symbols[j] = piece, ""
+            j = right[i]
+            piece = symbols[i] = symbols[i] + symbols[j]
+            symbols[j], now[j], now[i] = "", None, None
             right[i] = k = right[j]
-            if k >= 0:
-                left[k] = i
-                if (r := rank(piece + symbols[k], NO_PIECE)) != NO_PIECE:
-                    heappush(agenda, r + i)
-            if (h := left[i]) >= 0 and (r := rank(symbols[h] + piece, NO_PIECE)) != NO_PIECE:
-                heappush(agenda, r + h)
+            left[k] = i
+            if k < n and (r := rank(piece + symbols[k])) is not None:
+                now[i] = r
+                heappush(agenda, r + i)
+            if (h := left[i]) >= 0:
+                now[h] = r = rank(symbols[h] + piece)
+                if r is not None:
+                    heappush(agenda, r + h)
         return [s for s in symbols if s]
 
     def spell(self, piece: str) -> list[int]:
@@ -95,42 +91,48 @@ class MergeVocabulary:
         return [i] if i is not None else [self.bytes[b] for b in piece.encode()]
 
     def part_ids(self, part: str) -> list[int]:
-        found = [self.ids.get(s) for s in self.merge(list(part))]
-        return found if None not in found else [i for s in self.merge(list(part)) for i in self.spell(s)]
+        merged = self.merge(list(part))
+        found = list(map(self.ids.get, merged))
+        return [i for s in merged for i in self.spell(s)] if None in found else found
 
     def cut(self, unit: str) -> list[str]:
-        """The parts of a unit between neighbours that no piece holds side by side."""
-        hold, at, out = self.neighbours, 0, []
-        for k in range(1, len(unit)):
-            if unit[k - 1 : k + 1] not in hold:
-                out.append(unit[at:k])
-                at = k
-        return [*out, unit[at:]]
-
-    def checked(self, found: dict[str, str]) -> None:
-        """Compare words, a word mark and what follows, with the library in one call."""
-        words = [w for w in found if w[0] == MARK and w[1:2] not in ("", MARK)]
-        for w, ids in zip(words, self.library.encode([w[1:] for w in words], num_threads=1) if words else [], strict=True):
-            if ",".join(map(str, ids)) != found[w]:
-                raise ValueError(f"ids differ from the sentencepiece library for {w!r}")
+        """The parts of a unit between neighbours that no piece holds side by side, which no merge can span."""
+        if self.plain(unit):
+            return [unit]
+        hold = self.neighbours
+        ends = [k for k, pair in enumerate(map(add, unit, unit[1:]), 1) if pair not in hold]
+        if not ends:
+            return [unit]
+        out, at = [], 0
+        for k in ends:
+            out.append(unit[at:k])
+            at = k
+        out.append(unit[at:])
+        return out
+
+    def checked(self, found: dict[str, list[int]]) -> None:
+        """Compare whole units, by what follows their first word mark, with the library in one call. A word mark alone is the
+        one unit that the library cannot be asked for."""
+        found.pop("", None)
+        keys = list(found)
+        right = self.library.encode([k.replace(MARK, " ") for k in keys], num_threads=1) if keys else []
+        if right != list(found.values()):
+            wrong = next(k for k, ids in zip(keys, right, strict=True) if ids != found[k])
+            raise ValueError(f"ids differ from the sentencepiece library for {MARK + wrong!r}")
 
 
 class Memo(dict):
-    """Ids of a unit as text, such as "12,7"; what is missing is encoded when asked for. Two generations: what has not
-    been asked for since the last change of generations goes, so the size stays under twice `most`."""
+    """What `make` gives for a key, made when first asked for. Two generations: what has not been asked for since the last
+    change of generations goes, so the size stays under twice `most`."""
 
-    def __init__(self, vocab: MergeVocabulary, most: int = MEMO_ENTRIES):
-        self.vocab, self.most, self.old, self.fresh = vocab, most, {}, {}
+    def __init__(self, make, most: int = MEMO_ENTRIES):
+        self.make, self.most, self.old = make, most, {}
 
-    def __missing__(self, unit: str) -> str:
-        found = self.old.get(unit)
+    def __missing__(self, key: str):
+        found = self.old.get(key)
         if found is None:
-            parts = self.vocab.cut(unit)
-            if len(parts) > 1:
-                found = ",".join([self[p] for p in parts])
-            else:
-                found = self.fresh[unit] = ",".join(map(str, self.vocab.part_ids(unit)))
-        self[unit] = found
+            found = self.make(key)
+        self[key] = found
         return found
 
     def turn(self) -> None:
@@ -139,20 +141,57 @@ class Memo(dict):
             self.clear()
 
 
+class Encoder:
+    """Ids of units as text, such as "12,7", by what follows a unit's first word mark."""
+
+    def __init__(self, vocab: MergeVocabulary):
+        self.vocab, self.fresh = vocab, {}
+        self.units, self.parts = Memo(self.unit), Memo(self.part)
+        self.number = {str(i): i for i in range(vocab.library.vocab_size())}
+
+    def part(self, part: str) -> str:
+        return ",".join(map(str, self.vocab.part_ids(part)))
+
+    def unit(self, key: str) -> str:
+        first, *others = self.vocab.cut(MARK + key)
+        if others:  # the first part is a unit too, as which it is kept for others that begin with it
+            found = ",".join([self.units[first[1:]], *(self.parts[p] for p in others)])
+            self.fresh[key] = self.numbers(found)
+            return found
+        ids = self.fresh[key] = self.vocab.part_ids(first)
+        return ",".join(map(str, ids))
+
+    def encode(self, text: str) -> str:
+        return ",".join(map(self.units.__getitem__, units(text))) if text else ""
+
+    def numbers(self, ids: str) -> list[int]:
+        return list(map(self.number.__getitem__, ids.split(","))) if ids else []
+
+    def settle(self, check: bool) -> None:
+        """At the end of a batch: compare what is new, let go what is old."""
+        if check:
+            self.vocab.checked(self.fresh)
+        self.fresh.clear()
+        self.units.turn()
+        self.parts.turn()
+
+
 def units(text: str) -> list[str]:
-    """Word mark, dummy prefix first, then everything up to the next word mark that follows another character."""
+    """What follows the first word mark of each unit: a unit is a word mark, dummy prefix first, and everything up to the
+    next word mark that follows another character."""
     marked = text.replace(MARK, " ")
-    if "  " not in marked and not marked.startswith(" ") and not marked.endswith(" "):
-        return [MARK + w for w in marked.split(" ")]
+    words = marked.split(" ")
+    if "" not in words:
+        return words
     out: list[str] = []
-    gap = 1
-    for w in marked.split(" "):
+    gap = 0
+    for w in words:
         if w:
             out.append(MARK * gap + w)
-            gap = 1
+            gap = 0
         else:
             gap += 1
-    return [*out, MARK * (gap - 1)] if gap > 1 else out
+    return [*out, MARK * (gap - 1)] if gap else out
 
 
 @lru_cache(maxsize=2)
@@ -161,14 +200,14 @@ def vocabulary(model: str) -> MergeVocabulary:
 
 
 @lru_cache(maxsize=2)
-def memo_of(model: str) -> Memo:
-    """One memo a Python worker, shared by the tasks that it runs."""
-    return Memo(vocabulary(model))
+def encoder(model: str) -> Encoder:
+    """One a Python worker, shared by the tasks that it runs."""
+    return Encoder(vocabulary(model))
 
 
 def encode_ids(vocab: MergeVocabulary, text: str) -> list[int]:
     """Ids of one text, without memo."""
-    return [i for u in units(text) for p in vocab.cut(u) for i in vocab.part_ids(p)] if text else []
+    return [i for u in units(text) for p in vocab.cut(MARK + u) for i in vocab.part_ids(p)] if text else []
 
 
 def encode_text(docs: DataFrame, model: str, text_col: str = "text", ids_col: str | None = "ids", digest: bool = False, check: bool = True) -> DataFrame:
@@ -183,24 +222,20 @@ def encode_text(docs: DataFrame, model: str, text_col: str = "text", ids_col: st
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(rest).schema] + [f"`{n}` {t}" for n, t in made])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab = vocabulary(model)
-        memo, decode = memo_of(model), vocab.library.decode
+        encode, decode = encoder(model), vocabulary(model).library.decode
         for batch in batches:
             ids, n, sums, decoded = [], [], [], []
             for value in batch.column(text_col):
                 text = value.as_py() or ""
-                joined = ",".join(map(memo.__getitem__, units(text))) if text else ""
-                one = list(map(int, joined.split(","))) if joined else []
+                joined = encode.encode(text)
+                one = encode.numbers(joined)
                 if ids_col is not None:
                     ids.append(one)
                 if digest:
                     n.append(len(one))
                     sums.append(hashlib.sha256(joined.encode()).hexdigest())
                     decoded.append(hashlib.sha256(decode(one).encode() if one else b"").hexdigest())
-            if check:
-                vocab.checked(memo.fresh)
-            memo.fresh.clear()
-            memo.turn()
+            encode.settle(check)
             columns = [batch.column(c) for c in rest] + ([] if ids_col is None else [pa.array(ids, pa.list_(pa.int32()))])
             if digest:
                 columns += [pa.array(n, pa.int64()), pa.array(sums, pa.string()), pa.array(decoded, pa.string())]
