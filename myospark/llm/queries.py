@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, near_dedup, personal_data, quality_classifier, quality_rules, secret_scan, sentencepieces, sharding, spans, token_files, warc
+from . import decontaminate, near_dedup, personal_data, quality_classifier, quality_rules, secret_scan, sentencepieces, sharding, spans, token_alignment, token_files, vector_codes, warc
 
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
 BYTE_MODEL = public_tokenizers.path("byte_bpe_50k.json")
@@ -61,5 +61,31 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_quality_rules": op1_quality_rules, "op2_sharding": op2_sharding, "op3_quality_classifier": op3_quality_classifier, "op4_warc": op4_warc, "op5_decontaminate": op5_decontaminate, "op6_secret_scan": op6_secret_scan, "op7_sentencepiece": op7_sentencepiece, "op8_personal_data": op8_personal_data, "op9_token_files": op9_token_files, "op10_near_dedup": op10_near_dedup}
-ORACLE_SQL: dict[str, str] = {"op1_quality_rules": quality_rules.ORACLE_SQL, "op2_sharding": sharding.ORACLE_SQL, "op4_warc": warc.ORACLE_SQL}
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.vector_codes(table(spark, sf_dir, "embeddings")).drop("label")
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.alignment_scores(table(spark, sf_dir, "documents"), BYTE_MODEL, PIECE_MODEL)
+
+
+QUERIES = {
+    "op1_quality_rules": op1_quality_rules,
+    "op2_sharding": op2_sharding,
+    "op3_quality_classifier": op3_quality_classifier,
+    "op4_warc": op4_warc,
+    "op5_decontaminate": op5_decontaminate,
+    "op6_secret_scan": op6_secret_scan,
+    "op7_sentencepiece": op7_sentencepiece,
+    "op8_personal_data": op8_personal_data,
+    "op9_token_files": op9_token_files,
+    "op10_near_dedup": op10_near_dedup,
+    "op11_vector_codes": op11_vector_codes,
+    "op13_token_alignment": op13_token_alignment,
+}
+ORACLE_SQL: dict[str, str] = {
+    "op1_quality_rules": quality_rules.ORACLE_SQL,
+    "op2_sharding": sharding.ORACLE_SQL,
+    "op4_warc": warc.ORACLE_SQL,
+    "op11_vector_codes": vector_codes.ORACLE_SQL,
+}
