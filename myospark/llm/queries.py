@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, near_dedup, personal_data, quality_classifier, quality_rules, secret_scan, sentencepieces, sharding, spans, token_alignment, token_files, vector_codes, warc
+from . import decontaminate, near_dedup, ngram_join, personal_data, quality_classifier, quality_rules, secret_scan, sentencepieces, sharding, spans, token_alignment, token_files, vector_codes, warc
 
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
 BYTE_MODEL = public_tokenizers.path("byte_bpe_50k.json")
@@ -65,6 +65,10 @@ def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes.vector_codes(table(spark, sf_dir, "embeddings")).drop("label")
 
 
+def op12_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.similar_components(table(spark, sf_dir, "documents"))
+
+
 def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_alignment.alignment_scores(table(spark, sf_dir, "documents"), BYTE_MODEL, PIECE_MODEL)
 
@@ -81,6 +85,7 @@ QUERIES = {
     "op9_token_files": op9_token_files,
     "op10_near_dedup": op10_near_dedup,
     "op11_vector_codes": op11_vector_codes,
+    "op12_ngram_join": op12_ngram_join,
     "op13_token_alignment": op13_token_alignment,
 }
 ORACLE_SQL: dict[str, str] = {
