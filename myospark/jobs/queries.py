@@ -225,6 +225,18 @@ def link_zdiscs(spark, sf_dir):
     return track.link_zdiscs(views.untracked_movie(spark, sf_dir))
 
 
+@query(
+    """select movie_id, frame, x, y, m.r - 1 as particle
+      from crowded_movie join (
+        select particle, row_number() over (order by frame, x, y) as r
+        from (select * from crowded_movie qualify row_number() over (partition by particle order by frame) = 1)) m using (particle)""",
+    "x y",
+)
+def link_crowded(spark, sf_dir):
+    """One movie of all z-discs, linked part by part."""
+    return track.link_zdiscs(views.crowded_movie(spark, sf_dir).drop("particle"), huge=True)
+
+
 # --- sarcomeres -----------------------------------------------------------------------------------------------------
 
 
@@ -233,6 +245,19 @@ def knn_edges(spark, sf_dir):
     return graph.knn_edges(_centers(spark, sf_dir), MOVIE)
 
 
+@query(
+    """select distinct movie_id, least(n, m) as u, greatest(n, m) as v
+      from (
+        select a.movie_id, a.particle as n, b.particle as m,
+          row_number() over (partition by a.particle order by (a.x - b.x) ** 2 + (a.y - b.y) ** 2, b.particle) as r
+        from clumped_nodes a join clumped_nodes b on a.particle <> b.particle)
+      where r <= 3"""
+)
+def knn_clumped(spark, sf_dir):
+    """The neighbours in one graph of very uneven density."""
+    return graph.knn_edges(views.clumped_nodes(spark, sf_dir), MOVIE)
+
+
 @query("select * from scored", "length score", **MOVIE_GRAPH)
 def score_edges(spark, sf_dir):
     centers = _centers(spark, sf_dir)

@@ -43,6 +43,22 @@ def untracked_movie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tracked_movie(spark, sf_dir).drop("particle")
 
 
+CROWDED = "select cast(0 as bigint) as movie_id, frame, 100 * movie_id + particle as particle, x + 150 * (movie_id % 32) as x, y + 150 * ({row}) as y from {tracked}"
+#: Nodes whose distances grow fourfold from each tenth to the next: any one square is far too wide for some and too narrow for others.
+CLUMPED = "select cast(0 as bigint) as movie_id, vec_id as particle, 100 * {x} * pow(4.0, vec_id % 10) as x, 100 * {y} * pow(4.0, vec_id % 10) as y from {embeddings}"
+
+
+def crowded_movie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All tracked movies side by side as one."""
+    return spark.sql(CROWDED.format(row="movie_id div 32", tracked="{tracked}"), tracked=tracked_movie(spark, sf_dir))
+
+
+def clumped_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One graph whose densities differ by many orders of magnitude."""
+    place = {"x": "cast(embedding[0] as double)", "y": "cast(embedding[1] as double)"}
+    return spark.sql(CLUMPED.format(**place, embeddings="{embeddings}"), embeddings=_table(spark, sf_dir, "embeddings"))
+
+
 def smooth_sarcomeres(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sarcomeres without gaps: one a particle, present in every frame."""
     b = "abs(frame % 20 - 10) / 100D"
@@ -117,6 +133,8 @@ def fibre_movie(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL = {
     "whole_movie": _DUCK,
     "tracked_movie": f"select {', '.join(PLACE)} from whole_movie where {GAPS}",
+    "crowded_movie": CROWDED.format(row="movie_id // 32", tracked="tracked_movie"),
+    "clumped_nodes": CLUMPED.format(x="embedding[1]::double", y="embedding[2]::double", embeddings="embeddings"),
     "broken_movie": f"select movie_id, frame, case when particle % 3 = 0 and frame >= 20 then particle + 1000 else particle end as particle, {', '.join(PLACE[3:])} from tracked_movie",
     "smooth": "select movie_id, frame, particle as sarc_id, x, y, 12 * (1 - b) + e6 as length, 8 + e8 as width, pi() * (e7 + 0.5::double) + 0.001::double * frame as angle from (select *, abs(frame % 20 - 10) / 100.0::double as b from whole_movie)",
     "series": """select user_id % 5 as movie_id, user_id as sarc_id, frame::int as frame, 10 + v / 100 as length from (select distinct user_id from events), unnest(range(60)) r(frame)

@@ -7,7 +7,10 @@ graph of every frame.  Nodes are (key, particle, x, y), edges (key, u, v) with u
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -16,40 +19,83 @@ from ..storage import materialize
 from . import components
 
 
+#: Bits of a coordinate in the order of places; neighbours in that order that bound a node's reach, beside twice k.
+BITS, AROUND = 31, 2
+
+
 def _nearest(pairs: DataFrame, key: list[str], k: int) -> DataFrame:
     order = Window.partitionBy(*key, "n").orderBy("d2", "m")
     return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def with_cell(nodes: DataFrame, key: list[str], k: int) -> DataFrame:
-    """nodes with `cell`, the width of a grid cell in which a graph as even as it is dense has about 2 k nodes."""
-    wide, high = F.max("x") - F.min("x"), F.max("y") - F.min("y")
-    n = 2 * k / F.count(F.lit(1))
-    cells = nodes.groupBy(*key).agg(F.greatest(F.sqrt(wide * high * n), wide * n, high * n, F.lit(1e-9)).alias("cell"))
-    return nodes.join(cells, key)
-
+def _spaced(v: Column) -> Column:
+    """The bits of v with a gap after each."""
+    for shift, mask in ((16, 0x0000FFFF0000FFFF), (8, 0x00FF00FF00FF00FF), (4, 0x0F0F0F0F0F0F0F0F), (2, 0x3333333333333333), (1, 0x5555555555555555)):
+        v = v.bitwiseOR(F.shiftleft(v, shift)).bitwiseAND(F.lit(mask))
+    return v
+
+
+def with_reach(nodes: DataFrame, key: list[str], k: int) -> DataFrame:
+    """(key, particle, x, y, reach) with a distance within which a node has k others; null where it is not known, which is
+    so for graphs of at most k nodes and at most 2 k nodes of any other.
+
+    Nodes are dealt by ranges of a curve that halves the graph's box again and again along x and y in turn, as a k-d tree does, so
+    a task has about as many nodes as any other, however clumped or large a graph is. Nodes next to each other on the curve
+    are mostly near; the k-th distance to those around a node is its reach."""
+    wide = F.greatest(F.max("x") - F.min("x"), F.max("y") - F.min("y"))
+    boxes = nodes.groupBy(*key).agg(F.min("x").alias("_x"), F.min("y").alias("_y"), wide.alias("_wide"))
+    at = lambda c: F.least(F.floor(F.when(F.col("_wide") > 0, (F.col(c) - F.col(f"_{c}")) / F.col("_wide")).otherwise(0.0) * 2.0**BITS), F.lit(2**BITS - 1)).cast("long")
+    curve = F.shiftleft(_spaced(at("x")), 1).bitwiseOR(_spaced(at("y")))
+    placed = nodes.join(boxes, key).select(*key, "particle", "x", "y", curve.alias("_curve"))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in placed.drop("_curve").schema) + ", reach double"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(list(batches))
+        if not len(table):
+            return
+        x, y = (table[c].to_numpy() for c in ("x", "y"))
+        other = np.zeros(len(x), bool)
+        for c in key:
+            v = table[c].to_numpy()
+            other[1:] |= v[1:] != v[:-1]
+        graph = np.cumsum(other)
+        far = np.full((len(x), 2 * (2 * k + AROUND)), np.inf)
+        for step in range(1, min(2 * k + AROUND, len(x) - 1) + 1):
+            d2 = np.where(graph[step:] == graph[:-step], (x[step:] - x[:-step]) ** 2 + (y[step:] - y[:-step]) ** 2, np.inf)
+            far[step:, 2 * step - 2], far[:-step, 2 * step - 1] = d2, d2
+        reach = np.sqrt(np.partition(far, k - 1, axis=1)[:, k - 1])
+        out = table.drop(["_curve"]).append_column("reach", pa.array(reach, mask=~np.isfinite(reach)))
+        yield from out.to_batches()
+
+    ranges = placed.repartitionByRange(*key, "_curve").sortWithinPartitions(*key, "_curve")
+    return ranges.mapInArrow(run, schema)
+
+
+def nearest(nodes: DataFrame, key: list[str], k: int) -> DataFrame:
+    """(key, n, m, d2, rank) of the k nearest others of every node; equal distances go by id.
+
+    Exact: every node meets all nodes within its reach, in squares as wide as the reach rounded up to a power of two, of which
+    there are four to nine, so dense and thin places of a graph have squares of their own; where the reach is not known, the
+    node meets its whole graph."""
+    placed = nodes.select(*key, "particle", "x", "y").where("x is not null and y is not null and not isnan(x) and not isnan(y)")
+    reached = materialize(with_reach(placed, key, k), "reach")
+    level = F.ceil(F.log2(F.greatest(F.col("reach"), F.lit(1e-9)))).cast("int")
+    asks = reached.where("reach is not null").withColumn("level", level).withColumn("width", F.pow(F.lit(2.0), F.col("level")))
+    levels = asks.select(*key, "level", "width").distinct()
+    more = F.col("reach") * (1 + 1e-9) + 1e-12
+    span = lambda c: F.explode(F.sequence(F.floor((F.col(c) - more) / F.col("width")), F.floor((F.col(c) + more) / F.col("width"))))
+    seek = asks.withColumn("cx", span("x")).withColumn("cy", span("y")).withColumnRenamed("particle", "n")
+    there = reached.drop("reach").join(levels, key).select(*key, "level", F.col("particle").alias("m"), F.col("x").alias("mx"), F.col("y").alias("my"), F.floor(F.col("x") / F.col("width")).alias("cx"), F.floor(F.col("y") / F.col("width")).alias("cy"))
+    d2 = (F.col("x") - F.col("mx")) ** 2 + (F.col("y") - F.col("my")) ** 2
+    close = seek.join(there, [*key, "level", "cx", "cy"]).where("n <> m").withColumn("d2", d2).where(F.col("d2") <= more**2).select(*key, "n", "m", "d2")
+    every = reached.select(*key, F.col("particle").alias("m"), F.col("x").alias("mx"), F.col("y").alias("my"))
+    lone = reached.where("reach is null").withColumnRenamed("particle", "n").join(every, key).where("n <> m").withColumn("d2", d2).select(*key, "n", "m", "d2")
+    return _nearest(close.unionByName(lone), key, k)
 
-def knn_edges(nodes: DataFrame, key: list[str], k: int = 3, cell: float | None = None) -> DataFrame:
-    """(key, u, v) of nodes of which one is among the k nearest of the other; equal distances go by id.
 
-    Exact in two steps: nodes meet those of the nine grid cells around them; where fewer than k of these lie within
-    one cell's width, the node meets its whole graph. Without `cell` cells follow each graph's density, so that few nodes
-    do, and the work follows the nodes, not their squares.
-    """
-    sized = nodes.select(*key, "particle", "x", "y")
-    sized = with_cell(sized, key, k) if cell is None else sized.withColumn("cell", F.lit(float(cell)))
-    at = sized.select(*key, F.col("particle").alias("n"), "x", "y", "cell", F.floor(F.col("x") / F.col("cell")).alias("cx"), F.floor(F.col("y") / F.col("cell")).alias("cy"))
-    steps = F.array(*(F.lit(i) for i in (-1, 0, 1)))
-    near = at.withColumn("i", F.explode(steps)).withColumn("j", F.explode(steps)).select(*key, F.col("n").alias("m"), F.col("x").alias("mx"), F.col("y").alias("my"), (F.col("cx") + F.col("i")).alias("cx"), (F.col("cy") + F.col("j")).alias("cy"))
-    d2 = (F.col("x") - F.col("mx")) ** 2 + (F.col("y") - F.col("my")) ** 2
-    close = at.join(near, [*key, "cx", "cy"]).where("n <> m").withColumn("d2", d2).where(F.col("d2") <= F.col("cell") ** 2).select(*key, "n", "m", "d2")
-    found = _nearest(close, key, k)
-    enough = found.groupBy(*key, "n").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= k)
-    lone = at.join(enough, [*key, "n"], "left_anti").select(*key, "n", "x", "y")
-    every = at.select(*key, F.col("n").alias("m"), F.col("x").alias("mx"), F.col("y").alias("my"))
-    rest = _nearest(lone.join(every, key).where("n <> m").withColumn("d2", d2).select(*key, "n", "m", "d2"), key, k)
-    both = found.join(enough, [*key, "n"], "left_semi").select(*key, "n", "m").unionByName(rest.select(*key, "n", "m"))
-    return both.select(*key, F.least("n", "m").alias("u"), F.greatest("n", "m").alias("v")).distinct()
+def knn_edges(nodes: DataFrame, key: list[str], k: int = 3) -> DataFrame:
+    """(key, u, v) of nodes of which one is among the k nearest of the other; equal distances go by id."""
+    return nearest(nodes, key, k).select(*key, F.least("n", "m").alias("u"), F.greatest("n", "m").alias("v")).distinct()
 
 
 def directed(edges: DataFrame, nodes: DataFrame, key: list[str], extra: list[str] | None = None) -> DataFrame:

@@ -12,25 +12,60 @@ from pyspark.sql.window import Window
 
 from ..functions.assignment import cheapest_links
 from ..schemas import require_columns
-from .components import components_by_key
-from .graph import with_cell
+from ..storage import materialize
+from .components import components_by_key, connected_components
+from .graph import nearest
 from .sarcomeres import particle_centers
 
 MEASURES = ["x", "y", "p1_x", "p1_y", "p2_x", "p2_y"]
 
 
-def link_zdiscs(zdiscs: DataFrame, search_range: float = 4.0) -> DataFrame:
+def link_zdiscs(zdiscs: DataFrame, search_range: float = 4.0, huge: bool = False) -> DataFrame:
     """zdiscs with `particle`: frame by frame, tracks take the z-discs within search_range of where they were last seen,
     so that the squared steps, search_range squared for a track that takes none, add up to the least. Tracks never
-    expire. New tracks are numbered in the order of frame, x, y. One movie is one task: each step needs the one before."""
-    require_columns(zdiscs, ["movie_id", "frame", "x", "y"])
-    names = zdiscs.columns
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in zdiscs.drop("particle").schema) + ", particle long"
+    expire. New tracks are numbered in the order of frame, x, y.
 
-    def link(movie: pd.DataFrame) -> pd.DataFrame:
-        movie = movie.sort_values(["frame", "x", "y"], kind="stable")
-        places, frames = movie[["x", "y"]].to_numpy(float), movie["frame"].to_numpy()
-        particle = np.empty(len(movie), np.int64)
+    A movie is one task, as each step needs the one before; with `huge`, movies of any size are cut into the parts of
+    `with_parts`, each of which is one task, and the numbers follow from the tracks' first places. Rows are the same."""
+    require_columns(zdiscs, ["movie_id", "frame", "x", "y"])
+    if not huge:
+        return _linked(zdiscs, ["movie_id"], search_range)
+    parted = with_parts(zdiscs.drop("particle"), search_range)
+    key = ["movie_id", "part_x", "part_y", "particle"]
+    local = materialize(_linked(parted, key[:3], search_range), "linked")
+    first = local.groupBy(*key).agg(F.min(F.struct("frame", "x", "y")).alias("first"))
+    number = F.row_number().over(Window.partitionBy("movie_id").orderBy("first", *key[1:])).cast("long") - 1
+    numbers = first.select(*key, number.alias("number"))
+    columns = [c for c in zdiscs.columns if c != "particle"]
+    return local.join(numbers, key).select(*columns, F.col("number").alias("particle"))
+
+
+def with_parts(zdiscs: DataFrame, search_range: float) -> DataFrame:
+    """zdiscs with part_x and part_y: the part of space they lie in, so that no z-disc of any frame has one of another part
+    within search_range. Parts are components of the squares, as wide as search_range, that hold z-discs of any frame, joined
+    where they touch: a track's last place and what it may take lie in the same or in touching squares."""
+    square = lambda c: F.floor(F.col(c) / F.lit(float(search_range)))
+    placed = zdiscs.withColumn("_cx", square("x")).withColumn("_cy", square("y"))
+    squares = materialize(placed.select("movie_id", "_cx", "_cy").distinct(), "squares")
+    ahead = F.inline(F.array(*(F.struct((F.col("_cx") + i).alias("_nx"), (F.col("_cy") + j).alias("_ny")) for i, j in ((0, 1), (1, -1), (1, 0), (1, 1)))))
+    there = squares.select("movie_id", F.col("_cx").alias("_nx"), F.col("_cy").alias("_ny"))
+    touching = squares.select("movie_id", "_cx", "_cy", ahead).join(there, ["movie_id", "_nx", "_ny"])
+    node = lambda x, y: F.struct("movie_id", F.col(x).alias("x"), F.col(y).alias("y"))
+    roots = connected_components(touching.select(node("_cx", "_cy").alias("a"), node("_nx", "_ny").alias("b")))
+    parts = roots.select("node.movie_id", F.col("node.x").alias("_cx"), F.col("node.y").alias("_cy"), F.col("root.x").alias("part_x"), F.col("root.y").alias("part_y"))
+    own = placed.join(parts, ["movie_id", "_cx", "_cy"], "left")
+    return own.select(*zdiscs.columns, F.coalesce("part_x", "_cx").alias("part_x"), F.coalesce("part_y", "_cy").alias("part_y"))
+
+
+def _linked(zdiscs: DataFrame, key: list[str], search_range: float) -> DataFrame:
+    """zdiscs with `particle`, numbered from 0 in each group of key, which is one task."""
+    names = [c for c in zdiscs.columns if c != "particle"]
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in zdiscs.select(names).schema) + ", particle long"
+
+    def link(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values(["frame", "x", "y"], kind="stable")
+        places, frames = group[["x", "y"]].to_numpy(float), group["frame"].to_numpy()
+        particle = np.empty(len(group), np.int64)
         seen = np.zeros((0, 2))
         for a, b in _blocks(frames):
             track_of = cheapest_links(seen, places[a:b], search_range)
@@ -39,9 +74,9 @@ def link_zdiscs(zdiscs: DataFrame, search_range: float = 4.0) -> DataFrame:
             seen = np.concatenate([seen, np.zeros((len(new), 2))])
             seen[track_of] = places[a:b]
             particle[a:b] = track_of
-        return movie.assign(particle=particle)[[c for c in names if c != "particle"] + ["particle"]]
+        return group.assign(particle=particle)[[*names, "particle"]]
 
-    return zdiscs.groupBy("movie_id").applyInPandas(link, schema)
+    return zdiscs.groupBy(*key).applyInPandas(link, schema)
 
 
 def _blocks(values: np.ndarray) -> Iterator[tuple[int, int]]:
@@ -68,18 +103,8 @@ def merge_radius(tracks: DataFrame) -> DataFrame:
 
 
 def nearest_distance(centers: DataFrame) -> DataFrame:
-    """(movie_id, particle, d) to the nearest other centre, first among the grid cells around, which follow the movie's
-    density, then, for those that have none within a cell's width, among all of the movie."""
-    cell = F.col("cell")
-    a = with_cell(centers, ["movie_id"], 2).select("movie_id", "particle", "x", "y", "cell", F.floor(F.col("x") / cell).alias("cx"), F.floor(F.col("y") / cell).alias("cy"))
-    steps = F.array(*(F.lit(i) for i in (-1, 0, 1)))
-    b = a.withColumn("i", F.explode(steps)).withColumn("j", F.explode(steps)).select("movie_id", F.col("particle").alias("q"), F.col("x").alias("qx"), F.col("y").alias("qy"), (F.col("cx") + F.col("i")).alias("cx"), (F.col("cy") + F.col("j")).alias("cy"))
-    d = F.sqrt((F.col("x") - F.col("qx")) ** 2 + (F.col("y") - F.col("qy")) ** 2)
-    near = a.join(b, ["movie_id", "cx", "cy"]).where("particle <> q").groupBy("movie_id", "particle", "cell").agg(F.min(d).alias("d")).where(F.col("d") <= cell).drop("cell")
-    lone = a.join(near, ["movie_id", "particle"], "left_anti")
-    every = a.select("movie_id", F.col("particle").alias("q"), F.col("x").alias("qx"), F.col("y").alias("qy"))
-    far = lone.join(every, "movie_id").where("particle <> q").groupBy("movie_id", "particle").agg(F.min(d).alias("d"))
-    return near.unionByName(far)
+    """(movie_id, particle, d) to the nearest other centre of the movie."""
+    return nearest(centers, ["movie_id"], 1).select("movie_id", F.col("n").alias("particle"), F.sqrt("d2").alias("d"))
 
 
 def cluster_partial(tracks: DataFrame) -> DataFrame:
@@ -121,9 +146,9 @@ def number_image_zdiscs(zdiscs: DataFrame) -> DataFrame:
     return zdiscs.withColumn("particle", F.row_number().over(order).cast("long") - 1)
 
 
-def track_zdiscs(zdiscs: DataFrame, search_range: float = 4.0, full_track_ratio: float = 0.75, skip_merging: bool = False, image: bool = False) -> DataFrame:
+def track_zdiscs(zdiscs: DataFrame, search_range: float = 4.0, full_track_ratio: float = 0.75, skip_merging: bool = False, image: bool = False, huge: bool = False) -> DataFrame:
     require_columns(zdiscs, ["movie_id", "frame", "x", "y"])
     if image:
         return number_image_zdiscs(zdiscs)
-    tracks = filter_stubs(link_zdiscs(zdiscs, search_range))
+    tracks = filter_stubs(link_zdiscs(zdiscs, search_range, huge))
     return tracks if skip_merging else merge_partial_tracks(tracks, full_track_ratio)

@@ -2,17 +2,13 @@
 
 from __future__ import annotations
 
-import io
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import schemas
+from . import npy
 
 #: The stage to run for each table.
 STAGES = {
@@ -23,22 +19,9 @@ STAGES = {
 
 def read_frames_npy(spark: SparkSession, path: str) -> DataFrame:
     """frames of the stored stacks under path, (frames, height, width[, channels]) each; movies are numbered by a hash of
-    their path. Stacks that need unpickling are refused. A stack is read by one task and sent on frame by frame."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for movie, content in zip(batch["movie_id"], batch["content"], strict=True):
-                stack = np.load(io.BytesIO(content), allow_pickle=False)
-                if stack.ndim == 3:
-                    stack = stack[..., None]
-                if stack.ndim != 4:
-                    raise ValueError(f"a stack has 3 or 4 dimensions, not {stack.ndim}")
-                _, h, w, c = stack.shape
-                for k, frame in enumerate(stack):
-                    yield pd.DataFrame({"movie_id": [movie], "frame": [k], "height": [h], "width": [w], "channels": [c], "pixels": [frame.astype(float).ravel()]})
-
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.npy").load(path)
-    return files.select(F.xxhash64("path").alias("movie_id"), "content").mapInPandas(run, schemas.FRAMES)
+    their path. Stacks that need unpickling are refused. A stack is read by as many tasks as it has parts of 64 MB, and
+    frames that a comparison of `frame` leaves out are not read."""
+    return npy.scan_npy(spark, path).select(F.xxhash64("path").alias("movie_id"), "frame", "height", "width", "channels", "pixels")
 
 
 def _read_table(spark: SparkSession, path: str, schema: T.StructType, movie_id: int | None) -> DataFrame:

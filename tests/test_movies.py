@@ -12,7 +12,7 @@ from myospark import schemas
 from myospark.functions import assignment, images, signals
 from myospark.jobs import movies, views
 from myospark.operators import analysis, compare, components, graph, sarcomeres, segment, series, track
-from myospark.sources import tables
+from myospark.sources import npy, tables
 
 SEGMENTED = [(0, 0.0, 0.0), (0, 40.0, 40.0), (1, 0.2, 0.0), (1, 1.1, 1.0), (1, 39.0, 38.0), (2, 1.2, 1.2), (2, 37.0, 35.0)]
 
@@ -129,12 +129,47 @@ def test_knn_of_a_square_is_complete(spark):
     assert len(pairs(graph.knn_edges(nodes(spark, [(0, 0), (500, 0)]), ["movie_id"]))) == 1
 
 
-@pytest.mark.parametrize("cell", [0.3, 2.0, 50.0])
-def test_knn_does_not_depend_on_the_grid(spark, cell):
-    places = np.random.default_rng(2).uniform(-5, 5, (40, 2))
-    d = ((places[:, None] - places[None]) ** 2).sum(2) + np.eye(40) * 1e9
-    wanted = sorted({(min(i, j), max(i, j)) for i in range(40) for j in np.argsort(d[i])[:3].tolist()})
-    assert pairs(graph.knn_edges(nodes(spark, places), ["movie_id"], cell=cell)) == wanted
+def nearest_by_brute_force(places, k=3):
+    d = ((places[:, None] - places[None]) ** 2).sum(2) + np.where(np.eye(len(places)), np.inf, 0)
+    return sorted({(min(i, j), max(i, j)) for i in range(len(places)) for j in np.argsort(d[i], kind="stable")[: min(k, len(places) - 1)].tolist()})
+
+
+CLUMPS = {
+    "even": lambda r: r.uniform(-5, 5, (40, 2)),
+    "one far": lambda r: np.vstack([r.uniform(0, 1, (80, 2)), [[1e6, -1e6]]]),
+    "two clumps": lambda r: np.vstack([r.uniform(0, 1, (50, 2)), r.uniform(0, 1, (3, 2)) + 1e4]),
+    "a line": lambda r: np.column_stack([r.permutation(60) * 1.0, np.zeros(60)]),
+    "in one place": lambda r: np.zeros((9, 2)),
+    "lattice": lambda r: np.stack(np.meshgrid(np.arange(9.0), np.arange(9.0)), -1).reshape(-1, 2),
+    "scales": lambda r: r.normal(0, 1, (90, 2)) * 8.0 ** (np.arange(90) % 9)[:, None],
+    "few": lambda r: r.random((3, 2)),
+}
+
+
+@pytest.mark.parametrize("clump", sorted(CLUMPS))
+def test_neighbours_of_clumped_graphs(spark, clump):
+    places = CLUMPS[clump](np.random.default_rng(2))
+    assert pairs(graph.knn_edges(nodes(spark, places), ["movie_id"])) == nearest_by_brute_force(places)
+
+
+def test_neighbours_of_several_graphs_at_once(spark):
+    rnd = np.random.default_rng(3)
+    own = {m: CLUMPS[c](rnd) for m, c in enumerate(sorted(CLUMPS))}
+    rows = [(m, k, float(x), float(y)) for m, places in own.items() for k, (x, y) in enumerate(places)] + [(0, 999, None, 1.0)]
+    found = graph.knn_edges(spark.createDataFrame(rows, "movie_id long, particle long, x double, y double"), ["movie_id"]).collect()
+    for m, places in own.items():
+        assert sorted((r.u, r.v) for r in found if r.movie_id == m) == nearest_by_brute_force(places)
+
+
+def test_work_of_a_clumped_graph_follows_its_nodes(spark):
+    """Candidates of a graph with one far point are at most half more than those of the even graph."""
+    even = np.random.default_rng(4).random((4000, 2))
+    reach = {}
+    for name, places in (("even", even), ("far", np.vstack([even, [[1e5, 1e5]]]))):
+        reached = graph.with_reach(nodes(spark, places), ["movie_id"], 3).toPandas()
+        assert reached.reach.notna().all()
+        reach[name] = (reached.reach**2).to_numpy()
+    assert np.sort(reach["far"])[:-1].sum() <= 1.5 * reach["even"].sum() and reach["even"].sum() * 4000 * np.pi < 30 * 4000
 
 
 def test_scores_and_pruning_of_a_line(spark):
@@ -385,3 +420,102 @@ def test_bootstrap_queries_draw_the_default_runs(name, spark, monkeypatch):
         monkeypatch.setattr(compare, kind, lambda *a, real=real, **k: seen.append(k.get("runs", compare.RUNS)) or real(*a, **k))
     queries.QUERIES[name](spark, "/root/testdata/sf0.001")
     assert seen and set(seen) == {compare.RUNS}
+
+
+# --- one large movie ---
+
+
+def test_parts_of_a_movie_link_as_the_whole(spark):
+    rnd = np.random.default_rng(12)
+    rows = []
+    for movie in range(2):
+        places = rnd.uniform(0, 120, (150, 2))
+        for frame in range(12):
+            places = places + rnd.normal(0, 1.2, places.shape)
+            rows += [(movie, frame, float(x), float(y)) for x, y in places[rnd.random(150) > 0.15]]
+    movie = spark.createDataFrame(rows, "movie_id long, frame int, x double, y double")
+    key = lambda df: sorted(map(tuple, df.select("movie_id", "frame", "x", "y", "particle").collect()))
+    whole, parts = track.link_zdiscs(movie), track.link_zdiscs(movie, huge=True)
+    assert parts.columns == whole.columns and key(parts) == key(whole)
+    assert track.with_parts(movie, 4.0).select("movie_id", "part_x", "part_y").distinct().count() > 10
+
+
+def test_parts_lie_further_apart_than_the_search_range(spark):
+    places = np.random.default_rng(13).uniform(-60, 60, (300, 2))
+    movie = spark.createDataFrame([(0, 0, float(x), float(y)) for x, y in places], "movie_id long, frame int, x double, y double")
+    parted = track.with_parts(movie, 4.0).toPandas()
+    d = np.hypot(parted.x.to_numpy()[:, None] - parted.x.to_numpy(), parted.y.to_numpy()[:, None] - parted.y.to_numpy())
+    part = parted.groupby(["part_x", "part_y"]).ngroup().to_numpy()
+    assert d[part[:, None] != part].min() > 4.0
+
+
+def test_parts_of_no_movie(spark):
+    assert track.link_zdiscs(spark.createDataFrame([], "movie_id long, frame int, x double, y double"), huge=True).count() == 0
+
+
+# --- stacks by byte ranges ---
+
+
+def test_stacks_are_read_by_ranges(spark, tmp_path):
+    stack = np.arange(40 * 6 * 5, dtype=np.int16).reshape(40, 6, 5)
+    np.save(tmp_path / "a.npy", stack)
+    (tmp_path / "deep").mkdir()
+    np.save(tmp_path / "deep" / "b.npy", stack[:7, :, :, None].astype(">f4"))
+    (tmp_path / "c.txt").write_text("no stack")
+    found = npy.scan_npy(spark, str(tmp_path), part_bytes=10 * 60)
+    assert found.rdd.getNumPartitions() == 4 + 2  # frames of 60 bytes, ten a part, and of 120 bytes, five a part
+    rows = found.where("frame >= 3 and frame < 6").collect()
+    assert sorted((r.path[-5:], r.frame) for r in rows) == [("a.npy", k) for k in (3, 4, 5)] + [("b.npy", k) for k in (3, 4, 5)]
+    assert all(r.pixels == stack[r.frame].ravel().tolist() and (r.height, r.width, r.channels) == (6, 5, 1) for r in rows)
+    assert npy.scan_npy(spark, str(tmp_path / "a.npy"), 600).where("frame in (1, 2, 30, 99)").rdd.getNumPartitions() == 2
+    assert npy.scan_npy(spark, str(tmp_path)).where("frame > 100").count() == 0
+
+
+def test_bytes_of_other_frames_are_not_read(tmp_path, monkeypatch):
+    np.save(tmp_path / "a.npy", np.zeros((100, 20, 30)))
+    got = []
+
+    class Counted:
+        def __init__(self, f):
+            self.f = f
+
+        def __enter__(self):
+            return self
+
+        def __exit__(self, *_):
+            self.f.close()
+
+        def seek(self, at):
+            self.f.seek(at)
+
+        def read(self, n):
+            data = self.f.read(n)
+            got.append(len(data))
+            return data
+
+    real = npy.store
+
+    class Where:
+        def __init__(self, where):
+            self.where = where
+
+        def open_input_file(self, path):
+            return Counted(self.where.open_input_file(path))
+
+        def get_file_info(self, what):
+            return self.where.get_file_info(what)
+
+    monkeypatch.setattr(npy, "store", lambda uri: (Where(real(uri)[0]), real(uri)[1]))
+    reader = npy.NpyReader(f"file:{tmp_path}", 10 * 4800)
+    assert list(reader.pushFilters([npy.D.GreaterThanOrEqual(("frame",), 40), npy.D.LessThan(("frame",), 60), npy.D.IsNotNull(("frame",))])) == [npy.D.IsNotNull(("frame",))]
+    parts = reader.partitions()
+    assert len(parts) == 2 and sum(got) < 200
+    assert [b.column("frame")[0].as_py() for p in parts for b in reader.read(p)] == list(range(40, 60))
+    assert sum(got) < 200 + 20 * 4800
+
+
+@pytest.mark.parametrize("stack, told", [(np.zeros(5), "dimensions"), (np.asfortranarray(np.ones((3, 4, 5))), "column by column"), (np.array([[[None]]]), "plain numbers")])
+def test_stacks_that_are_refused(tmp_path, stack, told):
+    np.save(tmp_path / "a.npy", stack)
+    with pytest.raises(ValueError, match=told):
+        npy.NpyReader(f"file:{tmp_path}", 100).partitions()
