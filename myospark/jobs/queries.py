@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from ..operators import analysis, compare, graph, sarcomeres, segment, series, track
+from ..operators import analysis, compare, graph, linkage, sarcomeres, segment, series, track
 from ..sources import tables
-from ..storage import shared_path
+from ..storage import materialize, shared_path
 from . import movies, views
 from .views import with_views
 
@@ -394,14 +394,83 @@ def dtw_pairs(spark, sf_dir):
     return series.pair_distances(_smooth(spark, sf_dir), "dtw")
 
 
-@query()
+#: Ward's tree in SQL: the state of a step holds the distances of all clusters that are left; the nearest two of each movie merge.
+WARD = {
+    **NORM,
+    "ward_leaves": """select movie_id, sarc_id, row_number() over (partition by movie_id order by sarc_id) - 1 as leaf,
+      count(*) over (partition by movie_id) as leaves
+      from (select distinct movie_id, sarc_id from norm)""",
+    "ward_states": """select a.movie_id as movie_id, 0::bigint as step, x.leaf as u, y.leaf as v, 1::bigint as nu, 1::bigint as nv,
+        sum((a.length_norm - b.length_norm) ** 2) as d, x.leaves as leaves
+      from norm a join norm b on a.movie_id = b.movie_id and a.frame = b.frame and a.sarc_id < b.sarc_id
+        join ward_leaves x on x.movie_id = a.movie_id and x.sarc_id = a.sarc_id
+        join ward_leaves y on y.movie_id = b.movie_id and y.sarc_id = b.sarc_id
+      group by all
+      union all
+      select movie_id, step + 1, p as u, q as v,
+        max(case when touched then nk else nu end) as nu, max(case when touched then mn else nv end) as nv,
+        case when touched then (sum((ns + nk) * d) - max(nk) * max(md)) / (max(mn) + max(nk)) else max(d) end as d, leaves
+      from (
+        select movie_id, step, nu, nv, d, leaves, m.d as md, m.nu + m.nv as mn,
+          case when u in (m.u, m.v) then v when v in (m.u, m.v) then u else u end as p,
+          case when u in (m.u, m.v) or v in (m.u, m.v) then leaves + step else v end as q,
+          u in (m.u, m.v) or v in (m.u, m.v) as touched,
+          case when u in (m.u, m.v) then nu else nv end as ns, case when u in (m.u, m.v) then nv else nu end as nk
+        from ward_states join (
+          select movie_id, arg_min({'u': u, 'v': v, 'nu': nu, 'nv': nv, 'd': d}, d) as m from ward_states group by movie_id) using (movie_id)
+        where not (u = m.u and v = m.v))
+      group by movie_id, step, p, q, touched, leaves""",
+    "ward_merges": """select movie_id, step, leaves, m.u as a, m.v as b, sqrt(m.d) as height, m.nu as na, m.nu + m.nv as size
+      from (select movie_id, step, leaves, arg_min({'u': u, 'v': v, 'nu': nu, 'nv': nv, 'd': d}, d) as m from ward_states group by all)""",
+    "ward_starts": """select movie_id, step, 0::bigint as start from ward_merges where size = leaves
+      union all
+      select c.movie_id, c.step, s.start + case when p.b = p.leaves + c.step then p.na else 0 end
+      from ward_starts s join ward_merges p on p.movie_id = s.movie_id and p.step = s.step
+        join ward_merges c on c.movie_id = p.movie_id and (p.a = c.leaves + c.step or p.b = c.leaves + c.step)""",
+    "ward_places": """select movie_id, leaf, pos from (
+        select movie_id, leaves, unnest([{'leaf': a, 'pos': start}, {'leaf': b, 'pos': start + size - 1}], recursive := true)
+        from ward_merges join ward_starts using (movie_id, step))
+      where leaf < leaves""",
+}
+LEAF_ORDER = "select movie_id, sarc_id, pos::int as pos from ward_places join ward_leaves using (movie_id, leaf)"
+
+
+def _distances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return series.pair_distances(_smooth(spark, sf_dir), "euclidean")
+
+
+@query(
+    """select movie_id, step::int as step, a::int as a, b::int as b, height, size::int as size, string_agg(sarc_id, ',' order by pos) as leaves
+      from ward_merges join ward_starts using (movie_id, step) join ward_places using (movie_id) join ward_leaves using (movie_id, leaf)
+      where pos >= start and pos < start + size
+      group by all""",
+    "height",
+    **WARD,
+)
 def ward_linkage(spark, sf_dir):
-    return series.ward_linkage(series.pair_distances(_smooth(spark, sf_dir), "euclidean"))
+    return series.ward_linkage(_distances(spark, sf_dir)).withColumn("leaves", F.array_join("leaves", ","))
 
 
-@query()
+@query(LEAF_ORDER, **WARD)
 def leaf_order(spark, sf_dir):
-    return series.leaf_order(series.ward_linkage(series.pair_distances(_smooth(spark, sf_dir), "euclidean")))
+    return series.leaf_order(series.ward_linkage(_distances(spark, sf_dir)))
+
+
+@query(
+    """select movie_id, step::int as step, a::int as a, b::int as b, height, size::int as size, start::int as start
+      from ward_merges join ward_starts using (movie_id, step)""",
+    "height",
+    **WARD,
+)
+def ward_tree(spark, sf_dir):
+    """Ward's linkage by rounds of joins, for movies of any number of series."""
+    return linkage.ward_tree(materialize(_distances(spark, sf_dir), "distances"))
+
+
+@query(LEAF_ORDER, **WARD)
+def leaf_positions(spark, sf_dir):
+    distances = materialize(_distances(spark, sf_dir), "distances")
+    return linkage.leaf_positions(linkage.ward_tree(distances), linkage.leaf_numbers(distances))
 
 
 @query()

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -44,7 +46,9 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = shared_path(spark, name)
     df.write.parquet(path)
     _written.setdefault(spark.sparkContext.applicationId, []).append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    found.stored_at = path
+    return found
 
 
 #: Tables that each application has written and not yet released.
@@ -55,11 +59,43 @@ def release(spark: SparkSession) -> int:
     """Delete the tables that this application has written; frames that still read them are of no use then."""
     paths = _written.pop(spark.sparkContext.applicationId, [])
     for p in paths:
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p)
-        path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+        delete(spark, p)
     return len(paths)
 
 
+def delete(spark: SparkSession, uri: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(uri)
+    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete tables that materialize() has written and that nothing reads any more."""
+    for frame in frames:
+        known = _written.get(frame.sparkSession.sparkContext.applicationId, [])
+        if frame.stored_at in known:
+            known.remove(frame.stored_at)
+            delete(frame.sparkSession, frame.stored_at)
+
+
+@contextmanager
+def workspace(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """What is written inside goes at the end, all but the frames given to keep: `with workspace(spark) as keep: ... out =
+    keep(materialize(...))`. Frames that are not written must not leave it."""
+    known = _written.setdefault(spark.sparkContext.applicationId, [])
+    before, kept = set(known), set()
+
+    def keep(frame: DataFrame) -> DataFrame:
+        kept.add(frame.stored_at)
+        return frame
+
+    try:
+        yield keep
+    finally:
+        for path in [p for p in known if p not in before | kept]:
+            known.remove(path)
+            delete(spark, path)
+
+
 def spread(df: DataFrame, *columns: str) -> DataFrame:
     """df dealt by the columns into as many tasks as a shuffle has, small tables too: for work that weighs far more than its
     rows do, which adaptive execution would gather in one task."""

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from myospark import schemas
 from myospark.functions import assignment, images, signals
 from myospark.jobs import movies, views
-from myospark.operators import analysis, compare, components, graph, sarcomeres, segment, series, track
+from myospark.operators import analysis, compare, components, graph, linkage, sarcomeres, segment, series, track
 from myospark.sources import npy, tables
 
 SEGMENTED = [(0, 0.0, 0.0), (0, 40.0, 40.0), (1, 0.2, 0.0), (1, 1.1, 1.0), (1, 39.0, 38.0), (2, 1.2, 1.2), (2, 37.0, 35.0)]
@@ -519,3 +519,49 @@ def test_stacks_that_are_refused(tmp_path, stack, told):
     np.save(tmp_path / "a.npy", stack)
     with pytest.raises(ValueError, match=told):
         npy.NpyReader(f"file:{tmp_path}", 100).partitions()
+
+
+# --- linkage by rounds ---
+
+
+def test_tree_by_rounds_is_that_of_the_chain(spark):
+    rnd = np.random.default_rng(14)
+    rows, own = [], {}
+    for movie, n in ((3, 40), (4, 2), (5, 23)):
+        ids = np.sort(rnd.choice(1000, n, replace=False))
+        points = rnd.normal(0, 1, (n, 3)) + 6 * rnd.integers(0, 3, (n, 1))
+        d = np.sqrt(((points[:, None] - points[None]) ** 2).sum(2))
+        own[movie] = (ids, signals.ward(d))
+        rows += [(movie, int(ids[i]), int(ids[j]), float(d[i, j])) for i in range(n) for j in range(i + 1, n)]
+    distances = spark.createDataFrame(rows, "movie_id long, sarc_a long, sarc_b long, dist double")
+    tree = linkage.ward_tree(distances)
+    found, places = tree.orderBy("movie_id", "step").collect(), linkage.leaf_positions(tree, linkage.leaf_numbers(distances)).collect()
+    for movie, (ids, merges) in own.items():
+        mine = [r for r in found if r.movie_id == movie]
+        assert [(r.step, r.a, r.b, r["size"]) for r in mine] == [(k, a, b, n) for k, (a, b, _, n, _) in enumerate(merges)]
+        assert np.allclose([r.height for r in mine], [m[2] for m in merges], rtol=1e-9)
+        order = [r.sarc_id for r in sorted((r for r in places if r.movie_id == movie), key=lambda r: r.pos)]
+        assert order == [int(ids[k]) for k in merges[-1][4]]
+        for r, (*_, leaves) in zip(mine, merges, strict=True):
+            assert order[r.start : r.start + r["size"]] == [int(ids[k]) for k in leaves]
+
+
+def test_tree_of_equal_distances_and_of_nothing(spark):
+    rows = [(0, a, b, 1.0) for a in range(6) for b in range(a)]
+    kind = "movie_id long, sarc_a long, sarc_b long, dist double"
+    tree = linkage.ward_tree(spark.createDataFrame(rows, kind)).collect()
+    assert sorted(r["size"] for r in tree)[-1] == 6 and len(tree) == 5
+    assert linkage.ward_tree(spark.createDataFrame([], kind)).count() == 0
+
+
+def test_workspace_and_discard(spark):
+    from myospark import storage
+
+    frame = spark.range(5).toDF("n")
+    with storage.workspace(spark) as keep:
+        gone = storage.materialize(frame, "gone")
+        kept = keep(storage.materialize(frame, "kept"))
+    assert kept.count() == 5 and gone.stored_at not in storage._written[spark.sparkContext.applicationId]
+    storage.discard(kept)
+    with pytest.raises(Exception):
+        kept.count()
