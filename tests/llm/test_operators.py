@@ -214,11 +214,12 @@ def test_warc_of_nothing(spark):
 
 ITEM = "We know that Alice bought 12 apples and then sold 7 kg of pears to Bob for 30 dollars in the market today."
 OTHER = "We know that Carol bought 15 apples and then sold 9 kg of pears to Dave for 45 dollars in the market today."
+UNLIKE = "Then Carol gave her 8 coins and soon after that we saw Erin lose her 8 coins again in the market."
 TWICE = "Then Alice gave her 5 coins and soon after that we saw Alice lose her 5 coins again in the market."
 
 
 def test_reparameterised_items(spark):
-    docs = [(1, ITEM), (2, OTHER), (3, "so " * 30 + ITEM.upper()), (4, None), (5, ""), (6, "nothing of this kind 12 apples"), (7, TWICE.replace("Alice", "Carol").replace("5", "8")), (8, TWICE.replace("Alice lose", "Erin lose")), (8, TWICE.replace("Alice lose", "Erin lose"))]
+    docs = [(1, ITEM), (2, OTHER), (3, "so " * 30 + ITEM.upper()), (4, None), (5, ""), (6, "nothing of this kind 12 apples"), (7, TWICE.replace("Alice", "Carol").replace("5", "8")), (8, UNLIKE), (8, UNLIKE)]
     bench = [(9, ITEM), (8, None), (7, "one two three four five"), (6, "tiny one"), (5, TWICE), (5, TWICE)]
     found = decontaminate.contaminated_pairs(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string")).collect()
     kinds = {(r.doc_id, r.item_id): r.kind for r in found}
