@@ -170,13 +170,34 @@ def ward(distances: np.ndarray) -> list[tuple[int, int, float, int, list[int]]]:
     return out
 
 
+#: Draws of a bootstrap at once.
+DRAWS = 1 << 18
+
+
+def bootstrap_sums(columns: np.ndarray, share: np.ndarray, runs: np.ndarray, rnd: np.random.Generator) -> np.ndarray:
+    """(run, column): the sums of runs[r] draws with replacement from the rows of columns, by how often each row is drawn.
+
+    The counts of a run are multinomial, of which the counts of parts of the rows are a part: first how many draws fall to
+    each part, then how they fall inside it. `share` is the chance of a row. Memory holds the counts of DRAWS rows and runs."""
+    out = np.zeros((len(runs), columns.shape[1]))
+    rest, left = runs.astype(np.int64).copy(), float(share.sum())
+    step = max(1, DRAWS // max(1, len(runs)))
+    for k in range(0, len(columns), step):
+        own = share[k : k + step]
+        here = rest if k + step >= len(columns) else rnd.binomial(rest, min(1.0, float(own.sum()) / left))
+        out += rnd.multinomial(here, own / own.sum()) @ columns[k : k + step]
+        rest, left = rest - here, left - float(own.sum())
+    return out
+
+
 def bootstrap_means(values: np.ndarray, mu: float, size: int, runs: int, rnd: np.random.Generator) -> np.ndarray:
     """mu minus the mean of `size` draws with replacement, `runs` times."""
-    return mu - rnd.choice(values, (runs, size)).mean(1)
+    columns, share = np.asarray(values, float)[:, None], np.full(len(values), 1 / len(values))
+    return mu - bootstrap_sums(columns, share, np.full(runs, size), rnd)[:, 0] / size
 
 
 def bootstrap_angles(values: np.ndarray, mu: float, radius: float, size: int, runs: int, rnd: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
     """mu and radius minus the circular mean and the resultant length of the draws."""
-    drawn = rnd.choice(values, (runs, size))
-    s, c = np.sin(drawn).mean(1), np.cos(drawn).mean(1)
+    columns, share = np.column_stack([np.sin(values), np.cos(values)]), np.full(len(values), 1 / len(values))
+    s, c = bootstrap_sums(columns, share, np.full(runs, size), rnd).T / size
     return mu - np.arctan2(s, c), radius - np.hypot(s, c)

@@ -46,7 +46,12 @@ CENTERS = "select movie_id, particle, avg(x) as x, avg(y) as y from tracked_movi
 COS = "greatest(-1.0::double, least(1.0::double, ({ax} * {bx} + {ay} * {by}) / (sqrt({ax} * {ax} + {ay} * {ay}) * sqrt({bx} * {bx} + {by} * {by}))))"
 
 
-def graph_sql(nodes: str, key: str) -> dict[str, str]:
+#: The terms of a score in SQL, of the lengths {l1} and {l2} and the angle {theta}.
+SCORE = ("1 / (1 + abs({l2} - {l1}) / {l1}) + case when {theta} >= 1 then (1 - {theta}) ** 2 else 0 end", "exp(-pi() * (1 - {l1} / 12) ** 2)")
+OWN_SCORE = ("3 * exp(-abs({l2} - {l1})) + 0.5::double * {theta}", "2 / (1 + ({l1} - 12) ** 2)")
+
+
+def graph_sql(nodes: str, key: str, score: tuple[str, str] = SCORE) -> dict[str, str]:
     """knn, scored and pruned edges of the nodes in the expression `nodes`."""
     on = lambda a, b: " and ".join(f"{a}.{k} = {b}.{k}" for k in key.split(", "))
     keys = lambda a: ", ".join(f"{a}.{k} as {k}" for k in key.split(", "))
@@ -56,8 +61,8 @@ def graph_sql(nodes: str, key: str) -> dict[str, str]:
     return {
         "knn": f"select distinct {key}, least(n, m) as u, greatest(n, m) as v from (select {keys('a')}, a.particle as n, b.particle as m, row_number() over (partition by {', '.join('a.' + k for k in key.split(', '))}, a.particle order by (a.x - b.x) ** 2 + (a.y - b.y) ** 2, b.particle) as r from {nodes} a join {nodes} b on {on('a', 'b')} and a.particle <> b.particle) where r <= 3",
         "dir": f"select {keys('e')}, e.u as n, e.v as m, b.x - a.x as vx, b.y - a.y as vy from knn e join {nodes} a on {on('e', 'a')} and a.particle = e.u join {nodes} b on {on('e', 'b')} and b.particle = e.v union all select {keys('e')}, e.v, e.u, a.x - b.x, a.y - b.y from knn e join {nodes} a on {on('e', 'a')} and a.particle = e.u join {nodes} b on {on('e', 'b')} and b.particle = e.v",
-        "best": f"select {keys('e')}, e.n as n, e.m as m, max(1 / (1 + abs({l2} - {l1}) / {l1}) + case when {theta} >= 1 then (1 - {theta}) ** 2 else 0 end) as best from dir e join dir f on {on('e', 'f')} and f.n = e.m and f.m <> e.n group by all",
-        "half": f"select {keys('e')}, e.n as n, e.m as m, {l1} as length, case when {l1} <= 30 then coalesce(b.best, 0) + exp(-pi() * (1 - {l1} / 12) ** 2) else 0 end as score from dir e left join best b on {on('e', 'b')} and b.n = e.n and b.m = e.m",
+        "best": f"select {keys('e')}, e.n as n, e.m as m, max({score[0].format(l1=l1, l2=l2, theta=theta)}) as best from dir e join dir f on {on('e', 'f')} and f.n = e.m and f.m <> e.n group by all",
+        "half": f"select {keys('e')}, e.n as n, e.m as m, {l1} as length, case when {l1} <= 30 then coalesce(b.best, 0) + {score[1].format(l1=l1)} else 0 end as score from dir e left join best b on {on('e', 'b')} and b.n = e.n and b.m = e.m",
         "scored": f"select {key}, least(n, m) as u, greatest(n, m) as v, max(length) as length, max(score) as score from half group by all",
         "ranked": f"select *, first(vx) over w as bx, first(vy) over w as by_, row_number() over w as r from (select d.*, s.score from dir d join scored s on {on('d', 's')} and s.u = least(d.n, d.m) and s.v = greatest(d.n, d.m)) window w as (partition by {key}, n order by score desc, m)",
         "voted": f"select *, min(case when r > 1 and {bend} > 1.2 then r end) over (partition by {key}, n) as second from ranked where score > 0.01",
@@ -258,6 +263,16 @@ def knn_clumped(spark, sf_dir):
     return graph.knn_edges(views.clumped_nodes(spark, sf_dir), MOVIE)
 
 
+@query("select * from scored", "length score", centers=CENTERS, **graph_sql("centers", "movie_id", OWN_SCORE))
+def score_edges_own(spark, sf_dir):
+    """Scores by functions of the caller's own."""
+    centers = _centers(spark, sf_dir)
+    return graph.score_edges(
+        graph.knn_edges(centers, MOVIE), centers, MOVIE, c_avg_length=2.0, c_angle=0.5, c_length_diff=3.0,
+        f_angle=lambda theta: theta, f_length_diff=lambda l1, l2: F.exp(-F.abs(l2 - l1)), f_avg_length=lambda l1, l_avg: 1 / (1 + (l1 - l_avg) ** 2),
+    )
+
+
 @query("select * from scored", "length score", **MOVIE_GRAPH)
 def score_edges(spark, sf_dir):
     centers = _centers(spark, sf_dir)

@@ -7,7 +7,7 @@ graph of every frame.  Nodes are (key, particle, x, y), edges (key, u, v) with u
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -115,11 +115,31 @@ def right_angles(ax: Column, ay: Column, bx: Column, by: Column) -> Column:
     return F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cos))) / (math.pi / 2)
 
 
-def score_edges(edges: DataFrame, nodes: DataFrame, key: list[str], c_avg_length: float = 1.0, c_angle: float = 1.0, c_length_diff: float = 1.0, l_avg: float = 12.0, l_max: float = 30.0) -> DataFrame:
+def straightness(theta: Column) -> Column:
+    """How well two edges lie in line, from the angle between them in right angles, 2 if one goes straight on."""
+    return F.when(theta >= 1, (1 - theta) ** 2).otherwise(0.0)
+
+
+def evenness(l1: Column, l2: Column) -> Column:
+    """How alike an edge and the next one are in length."""
+    return 1 / (1 + F.abs(l2 - l1) / l1)
+
+
+def closeness(l1: Column, l_avg: Column) -> Column:
+    """How near an edge's length is to the usual one."""
+    return F.exp(-math.pi * (1 - l1 / l_avg) ** 2)
+
+
+def score_edges(
+    edges: DataFrame, nodes: DataFrame, key: list[str], c_avg_length: float = 1.0, c_angle: float = 1.0, c_length_diff: float = 1.0, l_avg: float = 12.0, l_max: float = 30.0,
+    f_angle: Callable[[Column], Column] = straightness, f_length_diff: Callable[[Column, Column], Column] = evenness, f_avg_length: Callable[[Column, Column], Column] = closeness,
+) -> DataFrame:
     """(key, u, v, length, score): how likely two z-discs end a sarcomere.
 
     From each end, an edge no longer than l_max gets the best agreement, in length and in line, with an edge that goes
     on from its other end, and a term for its own length; the better end counts. Longer edges score 0 but still go on.
+    The three terms, c times f each, are functions of columns: f_angle of the angle, f_length_diff of the lengths of the edge and
+    the next, f_avg_length of the length and l_avg. An agreement below 0 or null counts as 0; a null term of the own length too.
     """
     d = directed(edges, nodes, key)
     far = d.select(*key, F.col("n").alias("m"), F.col("m").alias("f"), F.col("vx").alias("wx"), F.col("vy").alias("wy"))
@@ -127,9 +147,9 @@ def score_edges(edges: DataFrame, nodes: DataFrame, key: list[str], c_avg_length
     l2 = F.sqrt(F.col("wx") ** 2 + F.col("wy") ** 2)
     # going on in line means that the vectors to the middle node from both sides are opposite
     theta = right_angles(F.col("vx"), F.col("vy"), -F.col("wx"), -F.col("wy"))
-    agree = c_length_diff / (1 + F.abs(l2 - l1) / l1) + c_angle * F.when(theta >= 1, (1 - theta) ** 2).otherwise(0.0)
+    agree = c_length_diff * f_length_diff(l1, l2) + c_angle * f_angle(theta)
     met = d.join(far, [*key, "m"]).where("f <> n").groupBy(*key, "n", "m").agg(F.max(agree).alias("best"))
-    own = c_avg_length * F.exp(-math.pi * (1 - l1 / l_avg) ** 2)
+    own = c_avg_length * F.coalesce(f_avg_length(l1, F.lit(float(l_avg))), F.lit(0.0))
     scored = d.join(met, [*key, "n", "m"], "left").withColumn("length", l1)
     score = F.when(l1 <= l_max, F.greatest(F.lit(0.0), F.coalesce("best", F.lit(0.0))) + own).otherwise(0.0)
     return scored.groupBy(*key, F.least("n", "m").alias("u"), F.greatest("n", "m").alias("v")).agg(F.max("length").alias("length"), F.max(score).alias("score"))
@@ -149,7 +169,7 @@ def prune_edges(scored: DataFrame, nodes: DataFrame, key: list[str], score_thres
     return kept.where("votes = 2").drop("votes")
 
 
-def detect_edges(nodes: DataFrame, key: list[str], k: int = 3, score_threshold: float = 0.01, angle_threshold: float = 1.2, **weights: float) -> DataFrame:
+def detect_edges(nodes: DataFrame, key: list[str], k: int = 3, score_threshold: float = 0.01, angle_threshold: float = 1.2, **weights: float | Callable) -> DataFrame:
     """The pruned edges of nodes. The neighbours, which the scores read from both ends, are written once."""
     near = materialize(knn_edges(nodes, key, k), "neighbours")
     return prune_edges(score_edges(near, nodes, key, **weights), nodes, key, score_threshold, angle_threshold)

@@ -47,9 +47,10 @@ def read_sarcomeres(spark: SparkSession, path: str, smooth: bool = False, movie_
 
 
 def write_stage(df: DataFrame, path: str, stage: str, csv: bool = False) -> None:
-    """df under path/stage, a folder for each movie."""
+    """df under path/stage, a folder for each movie. The folders of movies that df has none of stay as they are, so movies can be
+    added to results one by one; those of its own movies are replaced. A table without movies replaces the whole stage."""
     out = df.write.mode("overwrite")
-    out = out.partitionBy("movie_id") if "movie_id" in df.columns else out
+    out = out.partitionBy("movie_id").option("partitionOverwriteMode", "dynamic") if "movie_id" in df.columns else out
     out.option("header", True).csv(f"{path}/{stage}") if csv else out.parquet(f"{path}/{stage}")
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -77,6 +78,12 @@ def discard(*frames: DataFrame) -> None:
             delete(frame.sparkSession, frame.stored_at)
 
 
+def sweep(spark: SparkSession) -> None:
+    """Let the driver collect its garbage, upon which Spark deletes the shuffle files of finished steps that nothing reads any more."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 @contextmanager
 def workspace(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
     """What is written inside goes at the end, all but the frames given to keep: `with workspace(spark) as keep: ... out =

@@ -422,6 +422,51 @@ def test_bootstrap_queries_draw_the_default_runs(name, spark, monkeypatch):
     assert seen and set(seen) == {compare.RUNS}
 
 
+# --- bootstraps by counts ---
+
+
+def test_bootstrap_counts_are_multinomial():
+    """Means and variances of the draws against their exact values, however the rows are cut into parts."""
+    rnd = np.random.default_rng(15)
+    values, size, runs = rnd.gamma(2.0, 3.0, 700), 90, 20_000
+    for at_once in (1 << 30, 20_000 * 64):
+        signals.DRAWS, kept = at_once, signals.DRAWS
+        try:
+            found = -signals.bootstrap_means(values, 0.0, size, runs, np.random.default_rng(1))
+        finally:
+            signals.DRAWS = kept
+        error = values.std() / np.sqrt(size)
+        assert abs(found.mean() - values.mean()) < 5 * error / np.sqrt(runs)
+        assert abs(found.std() / error - 1) < 0.03
+        drawn = np.random.default_rng(2).choice(values, (runs, size)).mean(1)  # the draws themselves
+        assert np.allclose(np.quantile(found, [0.05, 0.25, 0.5, 0.75, 0.95]), np.quantile(drawn, [0.05, 0.25, 0.5, 0.75, 0.95]), atol=6 * error / np.sqrt(runs) * 2)
+
+
+def test_bootstrap_of_angles_by_counts():
+    values = np.random.default_rng(16).normal(0.4, 0.2, 300)
+    angle, radius = signals.bootstrap_angles(values, 0.0, 0.0, 100, 5000, np.random.default_rng(3))
+    s, c = np.sin(values).mean(), np.cos(values).mean()
+    assert abs(-angle.mean() - np.arctan2(s, c)) < 0.002 and abs(-radius.mean() - np.hypot(s, c)) < 0.002
+
+
+def test_bootstrap_sums_are_whole():
+    rows = np.column_stack([np.ones(50), np.arange(50.0)])
+    sums = signals.bootstrap_sums(rows, np.full(50, 0.02), np.array([0, 7, 1000]), np.random.default_rng(4))
+    assert sums[:, 0].tolist() == [0, 7, 1000]
+
+
+# --- movies added to results ---
+
+
+def test_movies_are_added_one_by_one(spark, tmp_path):
+    first = spark.createDataFrame([(1, 0, 1.0), (1, 1, 2.0)], "movie_id long, frame int, x double")
+    tables.write_stage(first, str(tmp_path), "zdiscs")
+    tables.write_stage(first.selectExpr("movie_id + 1 as movie_id", "frame", "x"), str(tmp_path), "zdiscs")
+    tables.write_stage(first.where("frame = 0"), str(tmp_path), "zdiscs")
+    found = sorted((r.movie_id, r.frame, r.x) for r in tables.read_stage(spark, str(tmp_path), "zdiscs").collect())
+    assert found == [(1, 0, 1.0), (2, 0, 1.0), (2, 1, 2.0)]
+
+
 # --- one large movie ---
 
 
