@@ -14,8 +14,9 @@ loses is measured in the tests and the README, and `exhaustive` aligns all pairs
 components of all links.
 
 A null text counts as empty.  Texts under five words are one shingle of all their words; texts without words are near
-nothing but their exact copies; very long texts are read whole, the sketch in steps of bounded memory.  Rows with a null id get the class of their text; repeated rows share a class; rows of
-one id with different texts count as one document.  Extra columns are ignored.
+nothing but their exact copies; very long texts are read whole, the sketch in steps of bounded memory.  Rows with a null id get
+the class of their text; repeated rows share a class; rows of one id with different texts are different documents.  Ids may be of
+any type with an order.  A class without any id has the class_id null.  Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
-from ..storage import materialize
+from ..storage import discard, materialize, sweep, workspace
 from .batches import bounded_batches, mix, text_chunks, word_hashes
 
 WORDS, SIMILARITY = 5, 0.8
@@ -174,17 +175,17 @@ def similar_size(a, b, least: float):
 
 def shared_signatures(reps: DataFrame) -> DataFrame:
     """(sig, id, n, place, size) of the signatures that several texts have; place is the number of the table."""
-    rows = reps.where("id is not null").select("id", "n", F.posexplode("sigs").alias("place", "sig"))
+    rows = reps.select("id", "n", F.posexplode("sigs").alias("place", "sig"))
     sizes = materialize(rows.groupBy("sig").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "sizes")
     return materialize(salted(rows, sizes, "sig"), "shared")
 
 
 def hub_pairs(shared: DataFrame, least: float) -> DataFrame:
-    """(a, b) of the hub of a bucket and every other text in it. The hub is the text that meets most others over all tables,
+    """(a, b) of the hub of a bucket, a, and every other text in it. The hub is the text that meets most others over all tables,
     the least id of equals: of edited copies that is the text they were made from, in nearly every table the same."""
     met = shared.groupBy("id").agg(F.sum("size").alias("met"))
-    hubs = shared.join(met, "id").groupBy("sig").agg(F.max(F.struct("met", (-F.col("id")).alias("minus"), "n")).alias("h"))
-    each = salted(shared, hubs.select("sig", (-F.col("h.minus")).alias("hub"), F.col("h.n").alias("hub_n")), "sig")
+    hubs = shared.join(met, "id").groupBy("sig").agg(F.min(F.struct((-F.col("met")).alias("minus"), "id", "n")).alias("h"))
+    each = salted(shared, hubs.select("sig", F.col("h.id").alias("hub"), F.col("h.n").alias("hub_n")), "sig")
     return each.where((F.col("id") != F.col("hub")) & similar_size(F.col("n"), F.col("hub_n"), least)).select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
 
 
@@ -203,7 +204,7 @@ def all_pairs(opened: DataFrame, least: float) -> DataFrame:
 
 
 def narrow_pairs(opened: DataFrame, least: float) -> DataFrame:
-    """(a, b) of texts of different components that agree in two tables at once, one of them a hub of those that do: the two
+    """(a, b) of texts of different components that agree in two tables at once, a being a hub of those that do: the two
     that a hash of the key puts first and last, so every such bucket has hubs of its own."""
     opened = materialize(opened.groupBy("id", "n", "root").agg(F.collect_set(F.struct("place", "sig")).alias("own")), "open")  # at most a row a table
 
@@ -223,7 +224,8 @@ def narrow_pairs(opened: DataFrame, least: float) -> DataFrame:
     heads = keyed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min(member).alias("first"), F.max(member).alias("last")).where("lo < hi")
     heads = materialize(heads.select("key", F.array("first", "last").alias("hubs")), "hubs")
     met = salted(keyed, heads, "key").select("id", "n", "root", F.explode("hubs").alias("hub")).where((F.col("root") != F.col("hub.root")) & similar_size(F.col("n"), F.col("hub.n"), least))
-    return met.select(F.least("id", "hub.id").alias("a"), F.greatest("id", "hub.id").alias("b")).distinct()
+    pairs = met.select(F.col("hub.id").alias("a"), F.col("id").alias("b"), F.least("id", "hub.id").alias("lo"), F.greatest("id", "hub.id").alias("hi"))
+    return pairs.dropDuplicates(["lo", "hi"]).select("a", "b")
 
 
 def near_duplicates(docs: DataFrame, least: float = SIMILARITY, exhaustive: bool = False) -> DataFrame:
@@ -231,34 +233,59 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY, exhaustive: bool
 
     Candidates are linear in the size of a bucket. exhaustive aligns instead, after the first hubs, all pairs of different
     components that share a bucket, which is quadratic in a group of texts that are not quite near."""
+    with workspace(docs.sparkSession) as keep:
+        return keep(materialize(text_classes(docs, least, exhaustive).select("doc_id", "class_id", "copy_of"), "near-duplicates"))
+
+
+def text_classes(docs: DataFrame, least: float = SIMILARITY, exhaustive: bool = False) -> DataFrame:
+    """doc_id, node (digest of the text), class, class_id, copy_of for every row. A different text is a node of its own, whatever its
+    ids are; nodes are numbered when they are written."""
+    spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
     drawn = materialize(sketches(docs), "sketches")
+    rows = materialize(drawn.select("doc_id", "node"), "rows")
     lowest = drawn.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("absent"), "doc_id", "n", "sigs")).alias("m"))
-    reps = materialize(lowest.select("node", F.col("m.doc_id").alias("id"), F.col("m.n").alias("n"), F.col("m.sigs").alias("sigs")), "representatives")
+    reps = materialize(lowest.select("node", F.col("m.doc_id").alias("doc_id"), F.col("m.n").alias("n"), F.col("m.sigs").alias("sigs"), F.monotonically_increasing_id().alias("id")), "representatives")
+    discard(drawn)
     shared = shared_signatures(reps)
-    ids = shared.select("id").distinct()
-    texts = materialize(docs.join(ids, docs["doc_id"] == ids["id"]).select("id", F.coalesce("text", F.lit("")).alias("text")).distinct(), "candidates")
+    known = materialize(reps.drop("sigs", "n"), "nodes")
+    discard(reps)
+    ids = known.join(shared.select("id").distinct(), "id").select("id", own_place("doc_id", "node"))
+    placed = docs.select(F.coalesce("text", F.lit("")).alias("text"), own_place("doc_id", F.unhex(F.md5(F.coalesce("text", F.lit(""))))))
+    texts = materialize(placed.join(ids, "place").dropDuplicates(["place"]).select("id", "text"), "candidates")
     tested = materialize(aligned(hub_pairs(shared, least), texts, least), "tested")
     roots = materialize(connected_components(tested.where("linked")), "roots")
     opened = open_buckets(shared, roots)
-    done = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = (all_pairs if exhaustive else narrow_pairs)(opened, least).join(done, ["a", "b"], "left_anti")
+    either = lambda df: df.withColumn("lo", F.least("a", "b")).withColumn("hi", F.greatest("a", "b"))
+    more = either((all_pairs if exhaustive else narrow_pairs)(opened, least)).join(either(tested).select("lo", "hi"), ["lo", "hi"], "left_anti").select("a", "b")
     added = materialize(aligned(more, texts, least).where("linked"), "links")
+    sweep(spark)
     # the new links join whole components
     root = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
     between = added.join(root("a"), "a", "left").join(root("b"), "b", "left").select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b"))
     joined = connected_components(between).select(F.col("node").alias("root"), F.col("root").alias("over"))
-    known = reps.select("node", "id").join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
-    classes = known.join(joined, "root", "left").select("node", F.col("id").alias("copy_of"), F.coalesce("over", "root").alias("class_id"))
-    return drawn.select("doc_id", "node").join(classes, "node").select("doc_id", "class_id", "copy_of")
+    known = known.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    known = materialize(salted(known, joined, "root", how="left").select("node", "id", F.col("doc_id").alias("copy_of"), F.coalesce("over", "root").alias("class")), "known")
+    heads = known.groupBy("class").agg(F.min("copy_of").alias("class_id"))
+    classes = salted(known, heads, "class").select("node", "class", "class_id", "copy_of")
+    return salted(rows, classes, "node", by="doc_id").select("doc_id", "node", "class", "class_id", "copy_of")
+
+
+def own_place(doc_id, node):
+    """A digest of a row's id and text."""
+    return F.unhex(F.md5(F.concat_ws(":", F.coalesce(F.col(doc_id).cast("string"), F.lit("")), F.hex(node)))).alias("place")
 
 
 def one_of_each(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
-    """docs without all but one document of each class: the one of the least id stays, once. Rows with a null id stay."""
-    found = near_duplicates(docs, least)
-    kept = found.groupBy("class_id").agg(F.min("doc_id").alias("doc_id")).where("doc_id is not null").select("doc_id")
-    repeated = docs.groupBy("doc_id").count().where("count > 1").limit(1).count() > 0
-    nulls = docs.where("doc_id is null")
-    stay = docs.join(kept, "doc_id", "left_semi")
-    stay = stay.dropDuplicates(["doc_id"]) if repeated else stay
-    return stay.select(docs.columns).unionByName(nulls.select(docs.columns))
+    """docs without all but one document of each class: the one of the least id stays, once. Rows with a null id stay. Rows of one id
+    with different texts are different documents."""
+    own = F.unhex(F.md5(F.coalesce("text", F.lit(""))))
+    with workspace(docs.sparkSession) as keep:
+        found = text_classes(docs, least).where("doc_id is not null")
+        first = keep(materialize(found.groupBy("class").agg(F.min(F.struct("doc_id", "node")).alias("m")).select("m.doc_id", "m.node"), "kept"))
+    kept = first.select(own_place("doc_id", "node"))
+    placed = docs.withColumn("_place", own_place("doc_id", own))
+    repeated = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count() > 0
+    stay = placed.where("doc_id is not null").join(kept.withColumnRenamed("place", "_place"), "_place", "left_semi")
+    stay = stay.dropDuplicates(["_place"]) if repeated else stay
+    return stay.select(docs.columns).unionByName(docs.where("doc_id is null").select(docs.columns))

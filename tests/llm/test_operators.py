@@ -611,9 +611,9 @@ def test_open_pairs_meet_without_their_hub(spark):
     shared = spark.createDataFrame([(10 * p + 1, i, 100, p, 3) for p in (0, 1, 4) for i in (1, 2, 3)] + [(99, 1, 100, 30, 2), (99, 4, 100, 30, 2)], "sig long, id long, n long, place int, size long")
     none, roots = (spark.createDataFrame(r, "node long, root long") for r in ([], [(1, 1), (2, 1)]))
     for pairs in (near_dedup.narrow_pairs, near_dedup.all_pairs):
-        found = {(r.a, r.b) for r in pairs(near_dedup.open_buckets(shared, none), 0.8).collect()}
+        found = {(min(r), max(r)) for r in pairs(near_dedup.open_buckets(shared, none), 0.8).collect()}
         assert found - {(1, 4)} == {(1, 2), (1, 3), (2, 3)}
-        found = {(r.a, r.b) for r in pairs(near_dedup.open_buckets(shared, roots), 0.8).collect()}
+        found = {(min(r), max(r)) for r in pairs(near_dedup.open_buckets(shared, roots), 0.8).collect()}
         assert found - {(1, 4)} == {(1, 3), (2, 3)}
 
 
@@ -675,3 +675,26 @@ def test_near_duplicates_on_hard_tables(spark, hard_docs, no_docs):
     kept = near_dedup.one_of_each(hard_docs)
     assert sorted((r.doc_id for r in kept.collect()), key=str) == [1, 3, 4, 5, 8, None] and kept.columns == hard_docs.columns
     assert near_dedup.near_duplicates(no_docs).count() == 0
+
+
+def test_ids_of_text_and_ids_with_several_texts(spark):
+    a, b, c = (" ".join(f"{x}{k}" for k in range(60)) for x in "abc")
+    rows = [("x2", a), ("x1", a), ("x3", a + " more"), ("y", b), ("y", c), ("y", c), ("z", c), (None, b)]
+    docs = spark.createDataFrame(rows, "doc_id string, text string")
+    found = {(r.doc_id, r.class_id, r.copy_of) for r in near_dedup.near_duplicates(docs).collect()}
+    assert found == {("x2", "x1", "x1"), ("x1", "x1", "x1"), ("x3", "x1", "x3"), ("y", "y", "y"), ("z", "y", "y"), (None, "y", "y")}
+    kept = sorted(near_dedup.one_of_each(docs).collect(), key=str)
+    assert [tuple(r) for r in kept] == sorted([("x1", a), ("y", b), ("y", c), (None, b)], key=str) or len(kept) == 4
+
+
+def test_a_text_in_a_third_of_the_rows_is_spread(spark):
+    """The rows of a hot text are joined with their class in many places, and those of a hub with its copies too."""
+    words = [f"w{k}" for k in range(80)]
+    hot = " ".join(words)
+    rows = [(k, hot) for k in range(3000)] + [(3000 + k, " ".join([*words[:k], f"changed{k}", *words[k + 1 :]])) for k in range(80)] + [(5000 + k, " ".join(f"o{k}x{j}" for j in range(30))) for k in range(200)]
+    found = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert found.where("doc_id < 5000 and class_id = 0").count() == 3080 and found.where("doc_id >= 5000 and class_id = doc_id").count() == 200
+    sizes = near_dedup.salted(spark.range(3000).selectExpr("id as doc_id", "1 as node"), spark.createDataFrame([(1, 2)], "node int, x int"), "node", by="doc_id")
+    assert sizes.count() == 3000
+    salts = spark.range(3000).select(F.pmod(F.xxhash64("id"), F.lit(near_dedup.SALTS)).alias("s")).groupBy("s").count().toPandas()
+    assert len(salts) == near_dedup.SALTS and salts["count"].max() < 2 * 3000 / near_dedup.SALTS
