@@ -157,6 +157,14 @@ def filter_frames(spark, sf_dir):
     return segment.filter_frames(views.embedding_frames(spark, sf_dir, 8, 8, 1)).selectExpr("movie_id", "frame", "posexplode(pixels) as (i, value)").withColumn("i", F.col("i").cast("long"))
 
 
+@query("select movie_id, frame, x, y from fibre_zdiscs", "x y")
+def zdisc_centers(spark, sf_dir):
+    """The z-discs found in frames of bars that lie apart: as many as drawn, in the middle of each, to half a pixel (a closed contour has its
+    first point twice, which shifts the mean of its points)."""
+    found = segment.segment_zdiscs(views.fibre_movie(spark, sf_dir))
+    return found.select("movie_id", "frame", (F.round(2 * F.col("x")) / 2).alias("x"), (F.round(2 * F.col("y")) / 2).alias("y"))
+
+
 @query()
 def segment_zdiscs(spark, sf_dir):
     return segment.segment_zdiscs(views.drawn_movie(spark, sf_dir))

@@ -142,6 +142,10 @@ SQL = {
     "pixels": "select 0::bigint as movie_id, vec_id as frame, i // 8 as row, i % 8 as col, embedding[i + 1]::double as value from embeddings, unnest(range(64)) r(i)",
     "contour_points": "select 0::bigint as movie_id, 0 as frame, vec_id as contour_id, k as seq, embedding[2 * k + 1]::double as x, embedding[2 * k + 2]::double as y from embeddings, unnest(range(32)) r(k)",
     "fibre_lengths": f"select vec_id // 5 as movie_id, vec_id, k, f.frame::int as frame, ({list(GAPS_AT_REST)}[(coalesce(label, 0) + k) % 3 + 1] - {BEAT})::double as length from embeddings, unnest(range(3)) g(k), unnest(range(12)) f(frame)",
+    "fibre_zdiscs": f"""select movie_id, frame, rest + 0.5::double - (k - 1) * {BEAT} as x, y
+      from (select vec_id // 5 as movie_id, f.frame::int as frame, 12 + 36 * (vec_id % 5)::double as y, k,
+          10 + coalesce(list_sum([{list(GAPS_AT_REST)}[(coalesce(label, 0) + i) % 3 + 1] for i in range(k)]), 0) as rest
+        from embeddings, unnest(range(4)) g(k), unnest(range(12)) f(frame))""",
     "grey_values": "select 0::bigint as movie_id, l_linenumber::int as frame, l_extendedprice::double as value from lineitem",
 }
 
