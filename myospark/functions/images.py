@@ -94,10 +94,61 @@ def contours(frame: np.ndarray, level: float) -> list[np.ndarray]:
     return out
 
 
+#: Up to so many points all distances are formed at once.
+ALL_PAIRS = 128
+
+
+def hull(points: np.ndarray) -> np.ndarray:
+    """Numbers of the corners of the convex hull, anticlockwise; of equal points the first."""
+    order = np.lexsort((np.arange(len(points)), points[:, 1], points[:, 0]))
+    x, y = points[order, 0], points[order, 1]
+    fresh = np.ones(len(order), bool)
+    fresh[1:] = (x[1:] != x[:-1]) | (y[1:] != y[:-1])
+    corners = list(zip(x[fresh].tolist(), y[fresh].tolist(), order[fresh].tolist(), strict=True))
+    if len(corners) < 3:
+        return np.array([k for *_, k in corners])
+    found: list[int] = []
+    for way in (corners, corners[::-1]):
+        half: list[tuple[float, float, int]] = []
+        for c in way:
+            while len(half) > 1 and (half[-1][0] - half[-2][0]) * (c[1] - half[-2][1]) <= (half[-1][1] - half[-2][1]) * (c[0] - half[-2][0]):
+                half.pop()
+            half.append(c)
+        found += [k for *_, k in half[:-1]]
+    return np.array(found)
+
+
+def furthest(points: np.ndarray) -> tuple[int, int]:
+    """The two points furthest apart, the first such pair in order. Of many points these are opposite corners of the convex hull,
+    which a pair of parallel lines turning around it meets, so time follows the points and memory holds no pairs."""
+    if len(points) <= ALL_PAIRS:
+        d = ((points[:, None, :] - points[None, :, :]) ** 2).sum(2)
+        i, j = np.unravel_index(int(np.argmax(d)), d.shape)
+        return int(i), int(j)
+    corners = hull(points)
+    n = len(corners)
+    if n < 3:
+        return int(corners.min()), int(corners.max())
+    own = points[corners].tolist()
+    far, j = [], 1
+    for i in range(n):
+        (ax, ay), (bx, by) = own[i], own[(i + 1) % n]
+        height = lambda k, ax=ax, ay=ay, bx=bx, by=by: (bx - ax) * (own[k % n][1] - ay) - (by - ay) * (own[k % n][0] - ax)
+        j = max(j, i + 1)
+        while height(j + 1) > height(j):
+            j += 1
+        # the next corner is opposite too where the edges are parallel, or nearly so
+        far += [(k, m % n) for k in (i, (i + 1) % n) for m in (j - 1, j, j + 1)]
+    at = np.array(far)
+    d = ((points[corners[at[:, 0]]] - points[corners[at[:, 1]]]) ** 2).sum(1)
+    best = np.sort(corners[at[d == d.max()]], axis=1)
+    i, j = best[np.lexsort((best[:, 1], best[:, 0]))[0]]
+    return int(i), int(j)
+
+
 def summary(points: np.ndarray) -> tuple[float, ...] | None:
     """Centre, and the two points furthest apart, the first such pair in order; None under three points."""
     if len(points) < 3:
         return None
-    d = ((points[:, None, :] - points[None, :, :]) ** 2).sum(2)
-    i, j = np.unravel_index(int(np.argmax(d)), d.shape)
+    i, j = furthest(points)
     return (*points.mean(0), *points[i], *points[j])

@@ -422,6 +422,30 @@ def test_bootstrap_queries_draw_the_default_runs(name, spark, monkeypatch):
     assert seen and set(seen) == {compare.RUNS}
 
 
+# --- points furthest apart ---
+
+
+def test_furthest_points_by_brute_force(monkeypatch):
+    monkeypatch.setattr(images, "ALL_PAIRS", 0)
+    rnd = np.random.default_rng(17)
+    t = np.linspace(0, 2 * np.pi, 64, endpoint=False)
+    shapes = [rnd.normal(0, 1, (n, 2)) for n in (3, 4, 9, 60)] + [rnd.integers(0, m, (n, 2)).astype(float) for m in (1, 2, 4, 9) for n in (3, 8, 50) for _ in range(6)]
+    shapes += [np.column_stack([np.cos(t), np.sin(t)]), np.column_stack([np.arange(9.0), 2 * np.arange(9.0)]), np.zeros((5, 2)), np.array([[0, 0], [1, 0], [1, 1], [0, 1.0]])]
+    shapes += [np.round(4 * np.column_stack([np.cos(t), np.sin(t)])), np.column_stack([rnd.random(200), rnd.random(200) * 1e-9])]
+    for points in shapes:
+        points = points[rnd.permutation(len(points))]
+        d = ((points[:, None] - points[None]) ** 2).sum(2)
+        i, j = images.furthest(points)
+        assert d[i, j] == d.max() and (i, j) == tuple(np.unravel_index(int(np.argmax(d)), d.shape)), points
+
+
+def test_furthest_of_fifty_thousand_points():
+    t = np.linspace(0, 2 * np.pi, 50_000, endpoint=False)
+    line = np.column_stack([3 * np.cos(t), np.sin(t)])
+    i, j = images.furthest(line)
+    assert {i, j} == {0, 25_000}
+
+
 # --- bootstraps by counts ---
 
 
