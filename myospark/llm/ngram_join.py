@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
-from ..storage import materialize
+from ..storage import discard, materialize, sweep, workspace
 from .batches import bounded_batches, mix, text_chunks, word_hashes
 from .near_dedup import PRIME, salted
 
@@ -41,7 +41,9 @@ WORDS, PERCENT = 4, 85
 #: Size classes: each upper bound is so many times the one before.
 GROWTH = 1.25
 #: Sets of a block, shingles of a block, cells of a probe's table at once.
-BLOCK, BLOCK_SHINGLES, CELLS = 256, 1 << 21, 1 << 22
+BLOCK, BLOCK_SHINGLES, CELLS = 1024, 1 << 21, 1 << 22
+#: What a set does in a unit.
+TARGET, PROBE, BOTH = 0, 1, 2
 
 
 def class_bounds(growth: float = GROWTH) -> np.ndarray:
@@ -89,10 +91,15 @@ def text_sets(column: pa.Array) -> Iterator[np.ndarray]:
 
 def part_keys(x: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     """The keys of the parts that a set shows."""
+    return shown_parts(x, percent)[0]
+
+
+def shown_parts(x: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, list[int]]:
+    """(keys, firm): the keys of the parts that a set shows, and for its class and the next how many of all parts are not poor."""
     if not len(x):
-        return np.zeros(0, np.int64)
+        return np.zeros(0, np.int64), []
     first, last = np.searchsorted(BOUNDS, [len(x), len(x) * 100 // percent])
-    out = []
+    out, firm = [], []
     with np.errstate(over="ignore"):
         total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(x), dtype=np.uint64)))
         for which in range(first, last + 1):
@@ -103,26 +110,30 @@ def part_keys(x: np.ndarray, percent: int = PERCENT) -> np.ndarray:
             key = mix(total[edge[1:]] - total[edge[:-1]] + mix(np.arange(parts, dtype=np.uint64) + np.uint64(which) * PRIME))
             poor = size < 2
             out.append(key if poor.sum() > spare else key[~poor])
-    return np.concatenate(out).view(np.int64)
+            firm.append(int(parts - poor.sum()))
+    return np.concatenate(out).view(np.int64), firm
 
 
 def sketches(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """doc_id, place (digest of id and text), node (digest of the set, null if empty), n, keys."""
+    """doc_id, place (digest of id and text), node (digest of the set, null if empty), n, keys, class of the size, firm."""
     bounded_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, nodes, keys = [], [], []
+            n, nodes, keys, firm = [], [], [], []
             for x in text_sets(batch.column(2)):
                 n.append(len(x))
                 nodes.append(hashlib.md5(x.tobytes()).digest() if len(x) else None)
-                keys.append(part_keys(x, percent))
+                shown = shown_parts(x, percent)
+                keys.append(shown[0])
+                firm.append(shown[1])
             offsets = pa.array(np.cumsum([0, *map(len, keys)]), pa.int32())
             columns = [batch.column(0), batch.column(1), pa.array(nodes, pa.binary()), pa.array(n, pa.int64()), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(keys) if keys else [], pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "place", "node", "n", "keys"])
+            columns += [pa.array(np.searchsorted(BOUNDS, n), pa.int32()), pa.array(firm, pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "place", "node", "n", "keys", "class", "firm"])
 
-    return docs.select("doc_id", place(), "text").mapInArrow(run, f"doc_id {kind}, place binary, node binary, n long, keys array<long>")
+    return docs.select("doc_id", place(), "text").mapInArrow(run, f"doc_id {kind}, place binary, node binary, n long, keys array<long>, class int, firm array<int>")
 
 
 def place():
@@ -230,9 +241,9 @@ class PrefixTree:
         return links[:, 0], links[:, 1]
 
 
-def block_links(sets: list[np.ndarray], ids: np.ndarray, roots: np.ndarray, probing: np.ndarray, percent: int = PERCENT) -> tuple[list[int], list[int]]:
-    """(a, b) of ids: links of the probing sets with the others that together join all that such links join."""
-    targets, probes = np.flatnonzero(~probing), np.flatnonzero(probing)
+def block_links(sets: list[np.ndarray], ids: np.ndarray, roots: np.ndarray, role: np.ndarray, percent: int = PERCENT) -> tuple[list[int], list[int]]:
+    """(a, b) of ids: links of the probes with the targets that together join all that such links join."""
+    targets, probes = np.flatnonzero(role != PROBE), np.flatnonzero(role != TARGET)
     if not len(targets) or not len(probes):
         return [], []
     tree = PrefixTree([sets[k] for k in targets])
@@ -252,7 +263,7 @@ def block_links(sets: list[np.ndarray], ids: np.ndarray, roots: np.ndarray, prob
 
 
 def joined_blocks(units: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(a, b) of links found in units, rows (unit, probing, id, root); a set may be in a unit on both sides. A unit is one task's."""
+    """(a, b) of links found in units, rows (unit, role, id, root); a set may be in a unit twice, as target and as probe. A unit is one task's."""
     bounded_batches(units.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -260,12 +271,12 @@ def joined_blocks(units: DataFrame, sets: DataFrame, percent: int = PERCENT) ->
         unit = None
 
         def solve() -> pa.RecordBatch:
-            probing, ids, roots = (np.concatenate([h[k] for h in held]) for k in range(3))
-            a, b = block_links([x for h in held for x in h[3]], ids, roots, probing, percent)
+            role, ids, roots = (np.concatenate([h[k] for h in held]) for k in range(3))
+            a, b = block_links([x for h in held for x in h[3]], ids, roots, role, percent)
             return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
         for batch in batches:
-            units, probing, ids, roots = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(4))
+            units, role, ids, roots = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(4))
             offsets, values = batch.column(4).offsets.to_numpy(), batch.column(4).values.to_numpy().view(np.uint64)
             edges = [0, *(np.flatnonzero(units[1:] != units[:-1]) + 1).tolist(), len(units)]
             for s, e in zip(edges[:-1], edges[1:], strict=True):
@@ -274,11 +285,11 @@ def joined_blocks(units: DataFrame, sets: DataFrame, percent: int = PERCENT) ->
                         yield solve()
                         held = []
                     unit = units[s]
-                    held.append((probing[s:e], ids[s:e], roots[s:e], [values[offsets[k] : offsets[k + 1]].copy() for k in range(s, e)]))
+                    held.append((role[s:e], ids[s:e], roots[s:e], [values[offsets[k] : offsets[k + 1]].copy() for k in range(s, e)]))
         if held:
             yield solve()
 
-    rows = units.join(sets, "id").select("unit", "probing", "id", F.coalesce("root", F.lit(-1)).cast("long").alias("root"), "x")
+    rows = units.join(sets, "id").select("unit", "role", "id", F.coalesce("root", F.lit(-1)).cast("long").alias("root"), "x")
     return rows.repartition("unit").sortWithinPartitions("unit").mapInArrow(run, "a long, b long")
 
 
@@ -299,34 +310,66 @@ def similar_size(a, b, percent: int):
     return F.least(a, b) * 100 >= F.greatest(a, b) * percent
 
 
-def hub_units(members: DataFrame, percent: int) -> DataFrame:
-    """Units in which the hub of a part probes the part's other sets of like size: the set that meets most others over all its
-    parts, the least of equals, so the copies of one text have nearly everywhere the same hub."""
-    hubs = members.groupBy("key").agg(F.max(F.struct("met", (-F.col("id")).alias("minus"), "n")).alias("h")).select("key", (-F.col("h.minus")).alias("hub"), F.col("h.n").alias("hub_n"))
-    pairs = materialize(members.join(hubs, "key").where((F.col("id") != F.col("hub")) & similar_size(F.col("n"), F.col("hub_n"), percent)).select("hub", "id", "n").distinct(), "hub-pairs")
+def hubs_of(members: DataFrame) -> DataFrame:
+    """(key, hub, hub_n): the set of a part that meets most others over all its parts, the least of equals, so the copies of one
+    text have nearly everywhere the same hub."""
+    return members.groupBy("key").agg(F.max(F.struct("met", (-F.col("id")).alias("minus"), "n")).alias("h")).select("key", (-F.col("h.minus")).alias("hub"), F.col("h.n").alias("hub_n"))
+
+
+def likely_pairs(members: DataFrame, hubs: DataFrame, owned: DataFrame, percent: int) -> DataFrame:
+    """(hub, id, n) of sets of like size that share enough parts to link: of all parts for the class of the larger no more
+    differ than shingles may, and the sets show all that agree but those that are poor in both."""
+    near = members.join(hubs, "key").where((F.col("id") != F.col("hub")) & similar_size(F.col("n"), F.col("hub_n"), percent)).select("hub", "id").distinct()
+    side = lambda c, x: owned.select(F.col("id").alias(c), F.struct("n", "class", "firm", "keys").alias(x))
+    both = near.join(side("hub", "a"), "hub").join(side("id", "b"), "id")
+    larger = F.greatest("a.class", "b.class")
+    firm = F.greatest(*(F.get(f"{x}.firm", larger - F.col(f"{x}.class")) for x in "ab"))
+    apart = F.floor((F.col("a.n") + F.col("b.n")) * (100 - percent) / (100 + percent))
+    return both.where(F.size(F.array_intersect("a.keys", "b.keys")) >= firm - apart).select("hub", "id", F.col("b.n").alias("n"))
+
+
+def hub_units(pairs: DataFrame) -> DataFrame:
+    """Units in which a hub probes the sets that it is paired with."""
     counts = pairs.groupBy("hub").agg(blocks(F.count(F.lit(1)), F.sum("n")).alias("blocks"))
     none = F.lit(None).cast("long").alias("root")
-    targets = pairs.join(counts, "hub").select(F.xxhash64("hub", block_of("id", F.col("blocks"))).alias("unit"), F.lit(False).alias("probing"), "id", none)
-    probes = counts.select("hub", numbered(F.col("blocks")).alias("block")).select(F.xxhash64("hub", "block").alias("unit"), F.lit(True).alias("probing"), F.col("hub").alias("id"), none)
+    targets = pairs.join(counts, "hub").select(F.xxhash64("hub", block_of("id", F.col("blocks"))).alias("unit"), F.lit(TARGET).alias("role"), "id", none)
+    probes = counts.select("hub", numbered(F.col("blocks")).alias("block")).select(F.xxhash64("hub", "block").alias("unit"), F.lit(PROBE).alias("role"), F.col("hub").alias("id"), none)
     return targets.unionByName(probes)
 
 
+def plans(rows: DataFrame) -> DataFrame:
+    """(group, main, all_blocks, own_blocks, cost) of rows (group, id, n, root): the largest component, the blocks of all sets and
+    of the strays, which are outside it, and how many sets travel."""
+    sizes = rows.groupBy("group", "root").agg(F.count(F.lit(1)).alias("sets"), F.sum("n").alias("shingles"))
+    largest = sizes.groupBy("group").agg(F.max(F.struct("sets", "root", "shingles")).alias("m"), F.sum("sets").alias("sets"), F.sum("shingles").alias("shingles"))
+    strays, every, own = F.col("sets") - F.col("m.sets"), F.col("all_blocks"), F.col("own_blocks")
+    largest = largest.withColumn("all_blocks", blocks(F.col("sets"), F.col("shingles"))).withColumn("own_blocks", blocks(strays, F.col("shingles") - F.col("m.shingles")))
+    cost = F.col("sets") * own + F.when(every * own > 1, strays * every).otherwise(0)
+    return largest.select("group", F.col("m.root").alias("main"), "all_blocks", "own_blocks", cost.alias("cost"))
+
+
 def open_units(members: DataFrame) -> DataFrame:
-    """Units of the parts that still hold several components, one of those with the same sets: all that are outside the largest
-    component probe all."""
-    kept = members.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("size"), F.bit_xor(F.xxhash64("id")).alias("x"), F.sum(F.xxhash64("id", F.lit(1)).cast("decimal(38,0)")).alias("y"))
-    several = materialize(kept.where("lo < hi").groupBy("size", "x", "y").agg(F.min("key").alias("key")).select("key"), "open")
-    rows = materialize(members.join(several, "key").select("key", "id", "n", "root"), "open-members")
-    sizes = rows.groupBy("key", "root").agg(F.count(F.lit(1)).alias("sets"), F.sum("n").alias("shingles"))
-    largest = sizes.groupBy("key").agg(F.max(F.struct("sets", "root", "shingles")).alias("m"), F.sum("sets").alias("sets"), F.sum("shingles").alias("shingles"))
-    plan = largest.select(
-        "key", F.col("m.root").alias("main"), blocks(F.col("sets"), F.col("shingles")).alias("all_blocks"), blocks(F.col("sets") - F.col("m.sets"), F.col("shingles") - F.col("m.shingles")).alias("own_blocks"),
-    )
-    rows = rows.join(plan, "key")
-    unit = lambda own, every: F.xxhash64("key", own, every).alias("unit")
-    targets = rows.withColumn("own", numbered(F.col("own_blocks"))).select(unit(F.col("own"), block_of("id", F.col("all_blocks"))), F.lit(False).alias("probing"), "id", "root")
-    probes = rows.where("root <> main").withColumn("every", numbered(F.col("all_blocks"))).select(unit(block_of("id", F.col("own_blocks")), F.col("every")), F.lit(True).alias("probing"), "id", "root")
-    return targets.unionByName(probes)
+    """Units of the parts whose sets beside the hub, which has met them all, still are of several components, one of those with
+    the same sets. What such parts hold together is a family, which meets as one where fewer sets travel so than part by part.
+    In either, all that are outside the largest component probe all."""
+    kept = members.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("size"), F.min("id").alias("least"), F.bit_xor(F.xxhash64("id")).alias("x"), F.sum(F.xxhash64("id", F.lit(1)).cast("decimal(38,0)")).alias("y"))
+    several = materialize(kept.where("lo < hi").groupBy("size", "x", "y").agg(F.min(F.struct("key", "least")).alias("k")).select("k.key", "k.least"), "open")
+    rows = materialize(members.join(several, "key").select(F.col("key").alias("group"), "id", "n", "root", "least"), "open-members")
+    families = connected_components(rows.select(F.col("id").alias("a"), F.col("least").alias("b")).distinct()).withColumnsRenamed({"node": "id", "root": "family"})
+    rows = materialize(rows.drop("least").join(families, "id").select("group", "id", "n", "root", "family"), "open-families")
+    whole = rows.select(F.col("family").alias("group"), "id", "n", "root").distinct()
+    by_part, by_family = plans(rows), plans(whole)
+    cost = by_part.join(rows.select("group", "family").distinct(), "group").groupBy("family").agg(F.sum("cost").alias("cost_by_part"))
+    better = by_family.join(cost.withColumnRenamed("family", "group"), "group").where("cost <= cost_by_part").drop("cost_by_part")
+    rest = rows.join(better.select(F.col("group").alias("family")), "family", "left_anti")
+    together = whole.join(better.drop("cost"), "group").withColumn("whole", F.lit(True)).unionByName(rest.drop("family").join(by_part.drop("cost"), "group").withColumn("whole", F.lit(False)))
+    planned = together.withColumn("stray", F.col("root") != F.col("main"))
+    small = F.col("all_blocks") * F.col("own_blocks") == 1  # all in one unit, each set once
+    unit = lambda own, every: F.xxhash64("group", "whole", own, every).alias("unit")
+    targets = planned.withColumn("own", numbered(F.col("own_blocks")))
+    targets = targets.select(unit(F.col("own"), block_of("id", F.col("all_blocks"))), F.when(small & F.col("stray"), BOTH).otherwise(TARGET).alias("role"), "id", "root")
+    probes = planned.where(F.col("stray") & ~small).withColumn("every", numbered(F.col("all_blocks"))).select(unit(block_of("id", F.col("own_blocks")), F.col("every")), F.lit(PROBE).alias("role"), "id", "root")
+    return materialize(targets.unionByName(probes), "units")
 
 
 def candidate_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -344,19 +387,38 @@ def candidate_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 def similar_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id of every row."""
-    docs = docs.select("doc_id", "text")
+    spark = docs.sparkSession
+    with workspace(spark) as keep:
+        return keep(materialize(_components(docs.select("doc_id", "text"), percent), "components"))
+
+
+def _components(docs: DataFrame, percent: int) -> DataFrame:
+    spark = docs.sparkSession
     drawn = materialize(sketches(docs, percent).withColumn("row", F.monotonically_increasing_id()), "sets")  # numbered once, when written
-    firsts = drawn.where("node is not null").groupBy("node").agg(F.min("row").alias("row"), F.min("doc_id").alias("lowest")).drop("node")
-    reps = materialize(drawn.drop("doc_id").join(firsts, "row").withColumnRenamed("row", "id"), "representatives")
-    keyed = reps.select("id", "n", F.explode("keys").alias("key"))
-    sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    owned = materialize(keyed.join(sizes, "key").groupBy("id", "n").agg(F.sum("size").alias("met"), F.collect_list("key").alias("keys")), "candidates")
+    rows = materialize(drawn.select("doc_id", "node", "n", "row"), "rows")
+    firsts = rows.where("node is not null").groupBy("node").agg(F.min("row").alias("row"), F.min("doc_id").alias("lowest")).drop("node")
+    full = materialize(drawn.drop("doc_id").join(firsts, "row").withColumnRenamed("row", "id"), "full")
+    discard(drawn)
+    sweep(spark)
+    keyed = full.select("id", "n", "class", "firm", F.explode("keys").alias("key"))
+    sizes = keyed.select("key").groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    shared = keyed.select("id", "key").join(sizes, "key").groupBy("id").agg(F.sum("size").alias("met"), F.collect_list("key").alias("keys"))
+    reps = materialize(full.drop("keys"), "representatives")
+    owned = materialize(shared.join(reps.select("id", "n", "class", "firm"), "id"), "candidates")
+    discard(full)
+    sweep(spark)
     sets = materialize(candidate_sets(docs, reps.join(owned.select("id"), "id").select("id", "place")), "candidate-sets")
+    sweep(spark)
     members = owned.select("id", "n", "met", F.explode("keys").alias("key"))
-    first = materialize(joined_blocks(hub_units(members, percent), sets, percent), "hub-links")
+    hubs = materialize(hubs_of(members), "hubs")
+    pairs = materialize(likely_pairs(members, hubs, owned, percent), "hub-pairs")
+    first = materialize(joined_blocks(hub_units(pairs), sets, percent), "hub-links")
+    sweep(spark)
     roots = materialize(connected_components(first), "roots")
     rooted = owned.join(roots.withColumnRenamed("node", "id"), "id", "left").select("id", "n", F.coalesce("root", "id").alias("root"), F.explode("keys").alias("key"))
-    more = materialize(joined_blocks(open_units(rooted), sets, percent), "links")
+    beside = rooted.join(hubs.select("key", "hub"), "key").where("id <> hub").drop("hub")
+    more = materialize(joined_blocks(open_units(beside), sets, percent), "links")
+    sweep(spark)
     root = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
     between = more.join(root("a"), "a", "left").join(root("b"), "b", "left").select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b"))
     over = connected_components(between).select(F.col("node").alias("root"), F.col("root").alias("over"))
@@ -365,6 +427,6 @@ def similar_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     least = known.groupBy("root").agg(F.min("lowest").alias("component_id"))
     classes = salted(known, least, "root").select("id", "component_id")
     nodes = reps.select("node", "id").join(classes, "id").select("node", "component_id")
-    rows = salted(drawn.select("doc_id", "node", "n", "row"), nodes, "node", by="row", how="left")
+    out = salted(rows, nodes, "node", by="row", how="left")
     own = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return rows.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
