@@ -17,7 +17,6 @@ from ..functions import images
 from ..schemas import require_columns
 
 FRAME = ["movie_id", "frame"]
-BATCH_FRAMES = 32
 _POINTS = pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())]))
 _ZDISC = ["x", "y", "p1_x", "p1_y", "p2_x", "p2_y"]
 
@@ -30,9 +29,8 @@ def _frames(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray]]:
 
 
 def _checked(frames: DataFrame) -> DataFrame:
-    """Frames of the right number of pixels; about a megabyte each, so few to a batch."""
+    """Frames of the right number of pixels. Spark sends at most spark.sql.execution.arrow.maxBytesPerBatch of them at once."""
     require_columns(frames, [*FRAME, "height", "width", "channels", "pixels"])
-    frames.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_FRAMES))
     return frames.where("size(pixels) = height * width * channels").select("movie_id", "frame", "height", "width", "channels", F.col("pixels").cast("array<double>").alias("pixels"))
 
 
