@@ -77,3 +77,12 @@ def test_pipeline_of_planted_documents(spark, tmp_path):
 
 def test_pipeline_of_nothing(spark, tmp_path):
     assert corpus_pipeline.run(spark, small_sf(spark, tmp_path, spark.createDataFrame([], DOCS))).count() == 0
+
+
+def test_pipeline_leaves_one_table(spark, tmp_path):
+    from myospark import storage
+
+    own = storage._written.setdefault(spark.sparkContext.applicationId, [])
+    before = len(own)
+    assert corpus_pipeline.run(spark, "/root/testdata/sf0.001").count() > 0
+    assert len(own) == before + 1 and "pipeline-secret_scan" in own[-1]
