@@ -41,7 +41,7 @@ WORDS, PERCENT = 4, 85
 #: Size classes: each upper bound is so many times the one before.
 GROWTH = 1.25
 #: Sets of a block, shingles of a block, cells of a probe's table at once.
-BLOCK, BLOCK_SHINGLES, CELLS = 1024, 1 << 21, 1 << 22
+BLOCK, BLOCK_SHINGLES, CELLS = 4096, 1 << 21, 1 << 22
 #: What a set does in a unit.
 TARGET, PROBE, BOTH = 0, 1, 2
 
