@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from myospark import schemas
 from myospark.functions import assignment, images, signals
-from myospark.jobs import movies, views
+from myospark.jobs import movies, queries, views
 from myospark.operators import analysis, compare, components, graph, linkage, sarcomeres, segment, series, track
 from myospark.sources import npy, tables
 
@@ -634,3 +634,11 @@ def test_workspace_and_discard(spark):
     storage.discard(kept)
     with pytest.raises(Exception):
         kept.count()
+
+
+def test_doubles_round_as_duckdb_does(spark):
+    import duckdb
+
+    values = [10.433887499999999, 10.324137499999999, -10.433887499999999, 2.5e-7, 4.5e-6, 1e300, 0.0, *(k / 1e7 + 10 for k in range(5, 2000, 10))]
+    found = [r[0] for r in queries.rounded(spark.createDataFrame([(v,) for v in values], "v double")).collect()]
+    assert found == [duckdb.execute("select round(?::double, 6)", [v]).fetchone()[0] for v in values]
