@@ -7,11 +7,10 @@ table are candidates.  A candidate pair is verified by banded alignment: the lon
 labelled sequences, m, within a band as wide as the threshold allows gives m / (n1 + n2 - m), and 0.8 or more links.
 
 Exact copies meet first, so only one of them is sketched further.  In each bucket all texts are aligned with its hub, the
-text that meets most others; the links make components, and only buckets that still hold several components go on: their
-texts are dealt anew by the signatures of two tables together, and those of a narrow bucket are aligned with its own two
-hubs if they are of another component.  So candidates grow with the size of a bucket, not with its square; what that
-loses is measured in the tests and the README, and `exhaustive` aligns all pairs instead.  Classes are the connected
-components of all links.
+text that meets most others; the links make components, and only buckets that still hold several components go on: there
+every text outside the largest component meets all others, in blocks of texts, so no pair of a bucket is left out unless it
+lies in one component already.  Blocks count the common shingles of a text with all others at once and align only pairs that
+have enough of them.  Classes are the connected components of all links.
 
 A null text counts as empty.  Texts under five words are one shingle of all their words; texts without words are near
 nothing but their exact copies; very long texts are read whole, the sketch in steps of bounded memory.  Rows with a null id get
@@ -30,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
-from ..storage import discard, materialize, sweep, workspace
+from ..storage import discard, materialize, spread, sweep, workspace
 from .batches import bounded_batches, mix, text_chunks, word_hashes
 
 WORDS, SIMILARITY = 5, 0.8
@@ -39,8 +38,8 @@ WORDS, SIMILARITY = 5, 0.8
 #: half alike agree in a table with a chance of (1/3)^8 = 2e-4.
 SKETCHES = ((64, 8, None), (20, 3, 60))
 CELLS = 1 << 21
-#: Places over which the rows of a hot key are dealt; distances of two tables whose signatures make a narrow bucket.
-SALTS, STEPS = 16, (1, 4, 11)
+#: Places over which the rows of a hot key are dealt; distances of two tables whose signatures make a narrow bucket; texts of a block.
+SALTS, STEPS, BLOCK = 16, (1, 4, 11), 512
 PRIME = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -197,7 +196,7 @@ def open_buckets(shared: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def all_pairs(opened: DataFrame, least: float) -> DataFrame:
-    """(a, b) of all texts of different components that share a bucket: the square of a group that no hub holds together."""
+    """(a, b) of all texts of different components that share a bucket, as a join: what links_of_open_buckets must not lose."""
     side = lambda x: opened.select("sig", *(F.col(c).alias(f"{c}_{x}") for c in ("root", "id", "n")))
     both = side("a").join(side("b"), "sig").where((F.col("root_a") < F.col("root_b")) & similar_size(F.col("n_a"), F.col("n_b"), least))
     return both.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")).distinct()
@@ -205,7 +204,7 @@ def all_pairs(opened: DataFrame, least: float) -> DataFrame:
 
 def narrow_pairs(opened: DataFrame, least: float) -> DataFrame:
     """(a, b) of texts of different components that agree in two tables at once, a being a hub of those that do: the two
-    that a hash of the key puts first and last, so every such bucket has hubs of its own."""
+    that a hash of the key puts first and last, so every such bucket has hubs of its own. Some of all pairs, for a quick look."""
     opened = materialize(opened.groupBy("id", "n", "root").agg(F.collect_set(F.struct("place", "sig")).alias("own")), "open")  # at most a row a table
 
     def at(place, step: int):
@@ -228,16 +227,94 @@ def narrow_pairs(opened: DataFrame, least: float) -> DataFrame:
     return pairs.dropDuplicates(["lo", "hi"]).select("a", "b")
 
 
-def near_duplicates(docs: DataFrame, least: float = SIMILARITY, exhaustive: bool = False) -> DataFrame:
-    """doc_id, class_id, copy_of for every row: the least id of its class, and of its exact copies.
-
-    Candidates are linear in the size of a bucket. exhaustive aligns instead, after the first hubs, all pairs of different
-    components that share a bucket, which is quadratic in a group of texts that are not quite near."""
+def families(opened: DataFrame) -> DataFrame:
+    """(root, family) of the components that open buckets hold together."""
+    low = opened.groupBy("sig").agg(F.min("root").alias("a"))
+    joined = connected_components(salted(opened, low, "sig").select("a", F.col("root").alias("b")))
+    return joined.select(F.col("node").alias("root"), F.col("root").alias("family"))
+
+
+def sent(size, rest):
+    """How often a text is sent for a group of `size` texts of which `rest` lie outside its largest component."""
+    return size * F.ceil(rest / BLOCK) + rest * F.ceil(size / BLOCK)
+
+
+def groups_to_test(opened: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(members, groups) such that every two texts of different components that share a bucket are members of one group: the
+    texts of a family together or those of each of its buckets, whichever sends fewer texts. Members are (grp, id, root),
+    groups (grp, size, big, rest), big being the largest component and rest the number of texts outside it."""
+    placed = materialize(salted(opened, families(opened), "root").select("sig", "id", "root", "family"), "families")
+    both = placed.select("family", F.struct(F.lit(False).alias("of_bucket"), F.col("family").alias("key")).alias("grp"), "id", "root").distinct()
+    both = materialize(both.unionByName(placed.select("family", F.struct(F.lit(True).alias("of_bucket"), F.col("sig").alias("key")).alias("grp"), "id", "root")), "members")
+    each = both.groupBy("family", "grp", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("family", "grp").agg(F.sum("n").alias("size"), F.max_by("root", F.struct("n", "root")).alias("big"), (F.sum("n") - F.max("n")).alias("rest"))
+    cost = lambda of_bucket: F.sum(F.when(F.col("grp.of_bucket") == of_bucket, sent(F.col("size"), F.col("rest"))))
+    apart = each.groupBy("family").agg((cost(True) < cost(False)).alias("apart"))
+    groups = materialize(each.join(apart, "family").where(F.col("grp.of_bucket") == F.col("apart")).select("grp", "size", "big", "rest"), "groups")
+    return both.drop("family"), groups
+
+
+def dealt(members: DataFrame, groups: DataFrame) -> DataFrame:
+    """(grp, p, d, id, root, probe, data): the members of each group in blocks, so that every text outside the largest
+    component, as a probe, meets every other, as data, in one place (grp, p, d)."""
+    blocks = lambda c: F.ceil(F.col(c) / BLOCK).cast("int")
+    every = lambda n: F.sequence(F.lit(0), n - 1)
+    own = salted(members, groups, "grp").withColumn("_p", F.when(F.col("root") != F.col("big"), F.pmod(F.xxhash64("id"), blocks("rest")).cast("int"))).withColumn("_d", F.pmod(F.xxhash64("id"), blocks("size")).cast("int"))
+    place = lambda p, d: F.struct(p.alias("p"), d.alias("d"))
+    as_data = F.transform(every(blocks("rest")), lambda p: place(p, F.col("_d")))
+    as_probe = F.transform(every(blocks("size")), lambda d: place(F.col("_p"), d))
+    places = F.when(F.col("_p").isNull(), as_data).otherwise(F.array_distinct(F.concat(as_data, as_probe)))
+    at = own.withColumn("at", F.explode(places))
+    return at.select("grp", "at.p", "at.d", "id", "root", F.coalesce(F.col("at.p") == F.col("_p"), F.lit(False)).alias("probe"), (F.col("at.d") == F.col("_d")).alias("data"))
+
+
+def links_between(ids: list[int], roots: list[int], texts: list[np.ndarray], probe: np.ndarray, data: np.ndarray, least: float) -> list[tuple[int, int]]:
+    """Links of probes with data of other components, as many as join all components that any link joins. Pairs with too few
+    common shingles are told apart by a count for all data at once; the rest are aligned."""
+    top = {r: r for r in roots}
+
+    def find(r: int) -> int:
+        while top[r] != r:
+            top[r] = r = top[top[r]]
+        return r
+
+    at = np.flatnonzero(data)
+    n = np.array([len(texts[k]) for k in at])
+    items, owner = np.concatenate([texts[k] for k in at]), np.repeat(np.arange(len(at)), n)
+    order = np.argsort(items)
+    items, owner = items[order], owner[order]
+    out = []
+    for k in np.flatnonzero(probe).tolist():
+        first, last = np.searchsorted(items, texts[k], "left"), np.searchsorted(items, texts[k], "right")
+        many = last - first
+        common = np.bincount(owner[np.repeat(first - (np.cumsum(many) - many), many) + np.arange(many.sum())], minlength=len(at))
+        for j in at[common >= least / (1 + least) * (len(texts[k]) + n) - 1e-9].tolist():
+            a, b = find(roots[k]), find(roots[j])
+            if a != b and not (j < k and probe[j] and data[k]) and alignment(texts[k], texts[j], least) > 0:
+                top[max(a, b)] = min(a, b)
+                out.append((ids[k], ids[j]))
+    return out
+
+
+def links_of_open_buckets(opened: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+    """(a, b): links between texts of different components that share a bucket, none of which is left out unless others
+    already join its components. A task holds the texts of two blocks."""
+
+    def run(table: pa.Table) -> pa.Table:
+        own = list(text_shingles(table.column("text").combine_chunks()))
+        found = links_between(table.column("id").to_pylist(), table.column("root").to_pylist(), own, table.column("probe").to_numpy(), table.column("data").to_numpy(), least)
+        return pa.table([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    rows = dealt(*groups_to_test(opened)).join(texts, "id")
+    return spread(rows, "grp", "p", "d").groupBy("grp", "p", "d").applyInArrow(run, "a long, b long")
+
+
+def near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
+    """doc_id, class_id, copy_of for every row: the least id of its class, and of its exact copies."""
     with workspace(docs.sparkSession) as keep:
-        return keep(materialize(text_classes(docs, least, exhaustive).select("doc_id", "class_id", "copy_of"), "near-duplicates"))
+        return keep(materialize(text_classes(docs, least).select("doc_id", "class_id", "copy_of"), "near-duplicates"))
 
 
-def text_classes(docs: DataFrame, least: float = SIMILARITY, exhaustive: bool = False) -> DataFrame:
+def text_classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """doc_id, node (digest of the text), class, class_id, copy_of for every row. A different text is a node of its own, whatever its
     ids are; nodes are numbered when they are written."""
     spark = docs.sparkSession
@@ -255,10 +332,8 @@ def text_classes(docs: DataFrame, least: float = SIMILARITY, exhaustive: bool =
     texts = materialize(placed.join(ids, "place").dropDuplicates(["place"]).select("id", "text"), "candidates")
     tested = materialize(aligned(hub_pairs(shared, least), texts, least), "tested")
     roots = materialize(connected_components(tested.where("linked")), "roots")
-    opened = open_buckets(shared, roots)
-    either = lambda df: df.withColumn("lo", F.least("a", "b")).withColumn("hi", F.greatest("a", "b"))
-    more = either((all_pairs if exhaustive else narrow_pairs)(opened, least)).join(either(tested).select("lo", "hi"), ["lo", "hi"], "left_anti").select("a", "b")
-    added = materialize(aligned(more, texts, least).where("linked"), "links")
+    opened = materialize(open_buckets(shared, roots), "open")
+    added = materialize(links_of_open_buckets(opened, texts, least), "links")
     sweep(spark)
     # the new links join whole components
     root = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))

@@ -669,6 +669,38 @@ def test_edits_of_a_hub_find_each_other(spark):
     assert classes[2] == classes[3] == 2 and classes[4] == 4 and all(classes[d] == 1 for d in (1, *range(10, 40)))
 
 
+@pytest.mark.parametrize("block", [512, 40])
+def test_no_link_is_lost_around_a_common_passage(spark, monkeypatch, block):
+    """All texts are 0.78 alike, which crowds their buckets; pairs of them are 0.81 alike. No text is near its buckets' hubs."""
+    monkeypatch.setattr(near_dedup, "BLOCK", block)
+    passage, texts = [f"w{k}" for k in range(350)], {}
+    for d in range(300):
+        texts[d] = " ".join([*passage, *(f"o{d // 2}x{j}" for j in range(7)), *(f"p{d}x{j}" for j in range(41))])
+    x = {d: next(near_dedup.text_shingles(pa.array([t]))) for d, t in texts.items()}
+    assert all((near_dedup.alignment(x[a], x[b]) > 0) == (a // 2 == b // 2) for a in range(0, 300, 10) for b in x)
+    found = near_dedup.near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()
+    assert {r.doc_id: r.class_id for r in found} == {d: d // 2 * 2 for d in texts}
+
+
+def test_blocks_link_what_all_pairs_link():
+    """Probes and data of one place against brute force, with components that are joined already."""
+    texts = edited_copies(random.Random(3), 60, least=0.05, most=0.2)
+    x = list(near_dedup.text_shingles(pa.array(texts)))
+    ids, roots = list(range(len(x))), [k if k % 4 else 0 for k in range(len(x))]
+    probe, data = np.array([r != 0 for r in roots]), np.ones(len(x), bool)
+    links = [(a, b) for a in ids for b in range(a) if near_dedup.alignment(x[a], x[b]) > 0]
+
+    def classes(links):
+        root = dict(enumerate(roots))
+        for a, b in links:
+            a, b = root[a], root[b]
+            root = {d: min(a, b) if r in (a, b) else r for d, r in root.items()}
+        return root
+
+    found = near_dedup.links_between(ids, roots, x, probe, data, 0.8)
+    assert {tuple(sorted(f, reverse=True)) for f in found} <= set(links) and classes(found) == classes(links)
+
+
 def test_near_duplicates_on_hard_tables(spark, hard_docs, no_docs):
     found = {r.doc_id: r.class_id for r in near_dedup.near_duplicates(hard_docs).collect()}
     assert found == {1: 1, 2: 1, 3: 3, 4: 4, 5: 5, 6: 5, None: None, 8: 8}
