@@ -642,3 +642,9 @@ def test_doubles_round_as_duckdb_does(spark):
     values = [10.433887499999999, 10.324137499999999, -10.433887499999999, 2.5e-7, 4.5e-6, 1e300, 0.0, *(k / 1e7 + 10 for k in range(5, 2000, 10))]
     found = [r[0] for r in queries.rounded(spark.createDataFrame([(v,) for v in values], "v double")).collect()]
     assert found == [duckdb.execute("select round(?::double, 6)", [v]).fetchone()[0] for v in values]
+
+
+@pytest.mark.parametrize("name", ["drawn_movie", "fibre_movie"])
+def test_bars_travel_and_not_their_pixels(name, spark, sf_dir):
+    plan = getattr(views, name)(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "collect_set" not in plan
