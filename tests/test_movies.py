@@ -648,3 +648,15 @@ def test_doubles_round_as_duckdb_does(spark):
 def test_bars_travel_and_not_their_pixels(name, spark, sf_dir):
     plan = getattr(views, name)(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1 and "collect_set" not in plan
+
+
+def test_draws_of_a_comparison_stay_in_their_task(spark):
+    rows = [(0, f, k, 10.0 + k / 7, 8.0 - k / 9, 0.1 * k) for f in range(3) for k in range(6)] + [(0, 3, 0, 9.0, None, 0.2)]
+    tracked = spark.createDataFrame(rows, "movie_id long, frame int, sarc_id int, length double, width double, angle double")
+    found = compare.tracked_vs_untracked(tracked, tracked.drop("sarc_id"), runs=40)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FlatMapGroups") == 3 and "percentile" not in plan
+    known = {r.frame: r for r in found.collect()}  # a frame without any width is not compared
+    assert set(known) == {0, 1, 2} and all(r.untracked == r.tracked == 6 for r in known.values())
+    drawn = signals.bootstrap_means(np.sort([10.0 + k / 7 for k in range(6)]), 10.0 + 15 / 42, 6, 40, np.random.default_rng([5, 0, 1]))
+    assert np.allclose(known[1].length_diff, np.quantile(drawn, compare.SHARES), atol=1e-12)
