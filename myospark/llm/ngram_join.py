@@ -166,15 +166,11 @@ class PrefixTree:
             common.append(int(differ.argmax()) if differ.any() else n)
         self.grow(common, lengths.tolist())
         both = np.column_stack((self.left, self.right + 1)).ravel()
-        self.ranges = both
         self.least, self.most = (f.reduceat(np.append(lengths, lengths[-1]), both)[::2] for f in (np.minimum, np.maximum))
         up = self.parent.copy()
         up[0] = 0
         self.begin = self.starts[self.left] + self.depth[up]
         self.end = self.starts[self.left] + self.depth
-        by_parent = np.argsort(self.parent[1:], kind="stable") + 1
-        self.children = by_parent
-        self.child_from = np.searchsorted(self.parent[by_parent], np.arange(len(self.parent) + 1))
 
     def grow(self, common: list[int], lengths: list[int]) -> None:
         """Nodes from the lengths of the common beginnings of neighbouring paths; node 0 is the root."""
@@ -204,34 +200,75 @@ class PrefixTree:
         right[0] = len(lengths) - 1
         self.depth, self.left, self.right, self.parent, self.leaf = map(np.array, (depth, left, right, parent, leaf))
 
+    def index(self, percent: int) -> None:
+        """Which sets have a shingle among their rarest, one more than a set may lack of any that it links with."""
+        lengths = self.sizes[self.order]
+        many = rarest(lengths, percent)
+        at = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(self.starts + lengths - many, many)
+        by_rank = np.argsort(self.paths[at], kind="stable")
+        self.holders = np.repeat(np.arange(len(many)), many)[by_rank]
+        self.holders_from = np.searchsorted(self.paths[at][by_rank], np.arange(len(self.tokens) + 1))
+        leaves = np.flatnonzero(self.leaf)
+        self.leaf_of = np.empty(len(lengths), np.int64)
+        self.leaf_of[self.left[leaves]] = leaves
+
+    def ways(self, key: np.ndarray, first: np.ndarray, sizes: np.ndarray, roots: np.ndarray, here: np.ndarray, percent: int) -> np.ndarray:
+        """Numbers (probe, node) of the nodes, but the root, that lead to sets of other components which share one of a probe's rarest
+        shingles: in an order that both have, two that link share the first of their common ones, and few come before it.
+        key holds a probe's number and ranks in rising order, those of probe k from first[k]; shingles that no set has are the rarest."""
+        tokens, nodes = len(self.tokens), len(self.parent)
+        known = np.diff(first)
+        many = np.clip(rarest(sizes, percent) - (sizes - known), 0, known)
+        at = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(first[1:] - many, many)
+        who, rank = np.divmod(key[at], tokens)
+        many = self.holders_from[rank + 1] - self.holders_from[rank]
+        at = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(self.holders_from[rank], many)
+        who, holder = np.repeat(who, many), self.holders[at]
+        other = here[holder] != roots[who]
+        now = np.unique(who[other] * nodes + self.leaf_of[holder[other]])
+        found = [now]
+        while len(now):
+            who, node = np.divmod(now, nodes)
+            up = self.parent[node]
+            now = np.unique((who * nodes + up)[up > 0])
+            found.append(now)
+        return np.unique(np.concatenate(found))
+
     def probe(self, probes: list[np.ndarray], roots: np.ndarray, components: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
         """(probe, set) of all links but those inside one component: roots are the probes' components, components the sets'."""
+        if not hasattr(self, "holders"):
+            self.index(percent)
         here = components[self.order]
-        low, high = (f.reduceat(np.append(here, here[-1]), self.ranges)[::2] for f in (np.minimum, np.maximum))
-        has = np.zeros((len(probes), len(self.tokens)), bool)
-        for k, x in enumerate(probes):
-            at = np.searchsorted(self.tokens, x)
-            at[at == len(self.tokens)] = 0
-            has[k, self.rank[at[self.tokens[at] == x]]] = True
-        upto = np.zeros((len(probes), len(self.tokens) + 1), np.int32)
-        np.cumsum(has, axis=1, out=upto[:, 1:])
+        tokens, nodes = len(self.tokens), len(self.parent)
         n = np.array([*map(len, probes)])
+        every, owner = np.concatenate(probes), np.repeat(np.arange(len(probes)), n)
+        at = np.searchsorted(self.tokens, every)
+        at[at == tokens] = 0
+        known = self.tokens[at] == every
+        key = np.sort(owner[known] * tokens + self.rank[at[known]])
+        first = np.searchsorted(key, np.arange(len(probes) + 1) * tokens)
+        ways = self.ways(key, first, n, roots, here, percent)
+        has = np.zeros(len(probes) * tokens, bool)
+        has[key] = True
+        who, child = np.divmod(ways, nodes)
+        above = who * nodes + self.parent[child]
+        by_parent = np.argsort(above, kind="stable")
+        child, above = child[by_parent], above[by_parent]
         who, node, overlap = np.arange(len(probes)), np.zeros(len(probes), np.int64), np.zeros(len(probes), np.int64)
         found = [np.zeros((0, 2), np.int64)]
         while len(who):
-            many = self.child_from[node + 1] - self.child_from[node]
-            at = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-            child = self.children[np.repeat(self.child_from[node], many) + at]
-            who, overlap = np.repeat(who, many), np.repeat(overlap, many)
-            open_ = ~((low[child] == high[child]) & (low[child] == roots[who]))
-            who, overlap, node = who[open_], overlap[open_], child[open_]
+            start, end = (np.searchsorted(above, who * nodes + node, side) for side in ("left", "right"))
+            many = end - start
+            at = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(start, many)
+            who, overlap, node = np.repeat(who, many), np.repeat(overlap, many), child[at]
             # shingles of the stretch that the probe has
             length = self.end[node] - self.begin[node]
             spot = np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length) + np.repeat(self.begin[node], length)
-            shared = np.concatenate(([0], np.cumsum(has[np.repeat(who, length), self.paths[spot]])))
+            shared = np.concatenate(([0], np.cumsum(has[np.repeat(who * tokens, length) + self.paths[spot]])))
             overlap = overlap + np.diff(shared[np.concatenate(([0], np.cumsum(length)))])
             last = np.where(self.depth[node] > 0, self.paths[self.end[node] - 1], -1)
-            rest = np.minimum(upto[who, -1] - upto[who, last + 1], self.most[node] - self.depth[node])
+            beyond = first[who + 1] - np.searchsorted(key, who * tokens + last + 1)
+            rest = np.minimum(beyond, self.most[node] - self.depth[node])
             keep = (100 + percent) * (overlap + rest) >= percent * (n[who] + self.least[node])
             who, overlap, node = who[keep], overlap[keep], node[keep]
             leaf = self.leaf[node]
@@ -241,6 +278,11 @@ class PrefixTree:
         return links[:, 0], links[:, 1]
 
 
+def rarest(n: np.ndarray, percent: int) -> np.ndarray:
+    """How many of a set's n shingles must hold one that it shares with any set that it links with."""
+    return n - -(-percent * n // 100) + 1
+
+
 def block_links(sets: list[np.ndarray], ids: np.ndarray, roots: np.ndarray, role: np.ndarray, percent: int = PERCENT) -> tuple[list[int], list[int]]:
     """(a, b) of ids: links of the probes with the targets that together join all that such links join."""
     targets, probes = np.flatnonzero(role != PROBE), np.flatnonzero(role != TARGET)

