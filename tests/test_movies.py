@@ -172,6 +172,30 @@ def test_work_of_a_clumped_graph_follows_its_nodes(spark):
     assert np.sort(reach["far"])[:-1].sum() <= 1.5 * reach["even"].sum() and reach["even"].sum() * 4000 * np.pi < 30 * 4000
 
 
+def test_graphs_in_tasks_and_by_joins_are_the_same(spark, monkeypatch):
+    """Frames of 0 to 60 nodes, on a grid with many equal distances: whole in tasks, in parts that end between batches, or by joins."""
+    rnd = np.random.default_rng(21)
+    rows = [(k % 3, k, p, float(x), float(y)) for k in range(40) for p, (x, y) in enumerate(rnd.integers(0, 12, (int(rnd.integers(0, 61)), 2)).tolist())]
+    frames = spark.createDataFrame(rows, "movie_id long, frame int, particle long, x double, y double")
+    key = ["movie_id", "frame"]
+    each = lambda: (sorted(graph.nearest(frames, key, 3).collect()), sorted(graph.knn_edges(frames, key).collect()), sorted(tuple(r)[:-1] + (round(r.score, 9),) for r in graph.detect_edges(frames, key, l_avg=1.0).collect()))
+    own = each()
+    assert len(own[0]) > 2000 and len(own[2]) > 50
+    monkeypatch.setattr(graph, "ROWS", 50)
+    monkeypatch.setattr(graph, "CELLS", 100)
+    assert each() == own
+    monkeypatch.setattr(graph, "LOCAL", 20)
+    assert each() == own
+    monkeypatch.setattr(graph, "LOCAL", 0)
+    assert each() == own
+
+
+def test_edges_of_small_graphs_are_dealt_twice(spark, sf_dir):
+    """Once for the neighbours and once for the scores and votes, where each join and each grouping had a shuffle of its own."""
+    edges = graph.detect_edges(views.tracked_movie(spark, sf_dir), ["movie_id", "frame"])
+    assert edges._jdf.queryExecution().executedPlan().toString().count("Exchange ") == 2
+
+
 def test_scores_and_pruning_of_a_line(spark):
     line = nodes(spark, [(0, 0), (1, 0), (2, 0), (3, 0)])
     edges = spark.createDataFrame([(0, 0, 1), (0, 1, 2), (0, 2, 3)], "movie_id long, u long, v long")
