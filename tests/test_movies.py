@@ -172,6 +172,29 @@ def test_work_of_a_clumped_graph_follows_its_nodes(spark):
     assert np.sort(reach["far"])[:-1].sum() <= 1.5 * reach["even"].sum() and reach["even"].sum() * 4000 * np.pi < 30 * 4000
 
 
+def test_series_with_the_same_frames_share_kernels(monkeypatch):
+    rnd, calls, eigh = np.random.default_rng(22), [], np.linalg.eigh
+    monkeypatch.setattr(np.linalg, "eigh", lambda m: calls.append(len(m)) or eigh(m))
+    monkeypatch.setattr(signals, "_kernels", signals._Kernels(1 << 20))
+    x = np.arange(50.0)
+    alone = signals._Kernels(0)
+    for k in range(40):
+        y = np.sin(x / 4 + k) + rnd.normal(0, 0.2, 50)
+        y[::7] = np.nan
+        found = signals.gp_smooth(x, [y])
+        shared = signals._kernels
+        monkeypatch.setattr(signals, "_kernels", alone)
+        before = len(calls)
+        assert (signals.gp_smooth(x + 1000 * (k + 1), [y])[0] == found[0]).all()  # frames of its own
+        assert len(calls) - before > 15
+        del calls[before:]
+        monkeypatch.setattr(signals, "_kernels", shared)
+    assert len(calls) < 10 * 40 and signals._kernels.size == sum(n.size() for n, _ in signals._kernels.held.values())
+    for k in range(30):
+        signals.gp_smooth(np.arange(30.0) * (k + 1), [rnd.normal(0, 1, 30)])
+    assert signals._kernels.size <= 1 << 20
+
+
 def test_graphs_in_tasks_and_by_joins_are_the_same(spark, monkeypatch):
     """Frames of 0 to 60 nodes, on a grid with many equal distances: whole in tasks, in parts that end between batches, or by joins."""
     rnd = np.random.default_rng(21)
