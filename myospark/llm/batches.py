@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import gc
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +25,25 @@ def bounded_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
         spark.conf.set(key, str(rows))
 
 
+#: What lets go of what this Python worker keeps from task to task, by the work that it is kept for.
+_kept: dict[str, Callable[[], None]] = {}
+
+
+def turn_to(work: str, let_go: Callable[[], None] | None = None) -> None:
+    """To be called by a task when it begins. A Python worker outlives its tasks and may be given others' next: what it keeps
+    for other work goes then, back to the system, and what it keeps for this work goes with let_go."""
+    others = [k for k in _kept if k != work]
+    for k in others:
+        _kept.pop(k)()
+    if others:
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+            trim(0)
+    if let_go is not None:
+        _kept[work] = let_go
+
+
 def text_chunks(column: pa.Array, most: int = CHUNK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, last row, bytes, offsets) for runs of rows of about `most` bytes; a longer text comes alone. Null is empty."""
     column = column.cast(pa.large_string()).fill_null("")

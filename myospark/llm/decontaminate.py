@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..storage import materialize
-from .batches import bounded_batches, mix, prefix_hash, runs, slice_hash, text_chunks
+from .batches import bounded_batches, mix, prefix_hash, runs, slice_hash, text_chunks, turn_to
 from .near_dedup import salted
 
 WINDOW, LEAST_TOKENS, COVERAGE = 8, 4, 0.5
@@ -191,6 +191,7 @@ def template_windows(texts: DataFrame, id_col: str, sizes: list[int], wanted: np
     broadcast = texts.sparkSession.sparkContext.broadcast(wanted) if wanted is not None else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn_to("decontaminate")
         bits = None if broadcast is None else broadcast.value
         for batch in batches:
             ids = batch.column(0).to_pylist()

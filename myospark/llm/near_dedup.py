@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
 from ..storage import discard, materialize, spread, sweep, workspace
-from .batches import bounded_batches, mix, text_chunks, word_hashes
+from .batches import bounded_batches, mix, text_chunks, turn_to, word_hashes
 
 WORDS, SIMILARITY = 5, 0.8
 #: (tables, shingles of a table, texts of at most so many shingles). At a similarity of 0.8 a pair misses all tables
@@ -100,6 +100,7 @@ def sketches(docs: DataFrame) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn_to("near_dedup")
         for batch in batches:
             n, sigs = [], []
             for x in text_shingles(batch.column(2)):
@@ -155,6 +156,7 @@ def aligned(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     """(a, b, linked): whether the texts of a pair align."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn_to("near_dedup")
         last, own = None, None
         for batch in batches:
             linked = []
@@ -300,6 +302,7 @@ def links_of_open_buckets(opened: DataFrame, texts: DataFrame, least: float) ->
     already join its components. A task holds the texts of two blocks."""
 
     def run(table: pa.Table) -> pa.Table:
+        turn_to("near_dedup")
         own = list(text_shingles(table.column("text").combine_chunks()))
         found = links_between(table.column("id").to_pylist(), table.column("root").to_pylist(), own, table.column("probe").to_numpy(), table.column("data").to_numpy(), least)
         return pa.table([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], names=["a", "b"])

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import spans as sp
-from .batches import bounded_batches
+from .batches import bounded_batches, turn_to
 
 KINDS = ["assign", "access", "hex"]
 RANDOM = "markov"
@@ -70,6 +70,7 @@ def labelled_sample(docs: DataFrame, most: int = SAMPLE_DOCS, seed: int = 17) ->
     texts = docs.select("doc_id", "text").join(ids, "doc_id", "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn_to("secret_scan")
         def sent() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(values, pa.string()), pa.array(secret, pa.int32())], names=["value", "secret"])
 
@@ -166,6 +167,7 @@ def find_secrets(docs: DataFrame, model: MarkovModel | None, text_col: str = "te
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn_to("secret_scan")
         for batch in batches:
             at = batch.schema.get_field_index(text_col)
             texts = batch.column(at).to_pylist()

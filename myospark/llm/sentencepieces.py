@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .batches import bounded_batches
+from .batches import bounded_batches, turn_to
 
 MARK = "▁"
 MEMO_ENTRIES = 300_000
@@ -205,6 +205,11 @@ def encoder(model: str) -> Encoder:
     return Encoder(vocabulary(model))
 
 
+def forget() -> None:
+    encoder.cache_clear()
+    vocabulary.cache_clear()
+
+
 def encode_ids(vocab: MergeVocabulary, text: str) -> list[int]:
     """Ids of one text, without memo."""
     return [i for u in units(text) for p in vocab.cut(MARK + u) for i in vocab.part_ids(p)] if text else []
@@ -222,6 +227,7 @@ def encode_text(docs: DataFrame, model: str, text_col: str = "text", ids_col: st
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(rest).schema] + [f"`{n}` {t}" for n, t in made])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn_to("sentencepieces", forget)
         encode, decode = encoder(model), vocabulary(model).library.decode
         for batch in batches:
             ids, n, sums, decoded = [], [], [], []

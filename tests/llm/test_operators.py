@@ -14,7 +14,7 @@ from oracle import same
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from myospark.llm import decontaminate, near_dedup, personal_data, quality_classifier, quality_rules, queries, secret_scan, sentencepieces, sharding, spans, token_files, warc
+from myospark.llm import batches, decontaminate, near_dedup, personal_data, quality_classifier, quality_rules, queries, secret_scan, sentencepieces, sharding, spans, token_files, warc
 
 
 def sha(s):
@@ -730,3 +730,17 @@ def test_a_text_in_a_third_of_the_rows_is_spread(spark):
     assert sizes.count() == 3000
     salts = spark.range(3000).select(F.pmod(F.xxhash64("id"), F.lit(near_dedup.SALTS)).alias("s")).groupBy("s").count().toPandas()
     assert len(salts) == near_dedup.SALTS and salts["count"].max() < 2 * 3000 / near_dedup.SALTS
+
+
+def test_workers_let_go_of_what_other_work_has_kept(models):
+    before = dict(batches._kept)
+    batches._kept.clear()
+    try:
+        batches.turn_to("sentencepieces", sentencepieces.forget)
+        sentencepieces.encoder(models[0]).encode("some words")
+        batches.turn_to("sentencepieces", sentencepieces.forget)
+        assert sentencepieces.encoder.cache_info().currsize == 1  # kept from task to task
+        batches.turn_to("near_dedup")
+        assert sentencepieces.encoder.cache_info().currsize == sentencepieces.vocabulary.cache_info().currsize == 0 and not batches._kept
+    finally:
+        batches._kept.update(before)
