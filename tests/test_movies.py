@@ -556,6 +556,26 @@ def test_parts_of_a_movie_link_as_the_whole(spark):
     assert track.with_parts(movie, 4.0).select("movie_id", "part_x", "part_y").distinct().count() > 10
 
 
+def test_parts_are_linked_many_at_once(spark, monkeypatch):
+    """Hundreds of parts are a few groups, each part whole in one, in more than one task; two tracks that begin at one place differ in number."""
+    monkeypatch.setattr(track, "TOGETHER", 300)
+    rnd = np.random.default_rng(14)
+    rows = [(m, f, 10.0 * (k % 20) + float(rnd.normal(0, 0.2)), 10.0 * (k // 20) + float(rnd.normal(0, 0.2))) for m in range(2) for k in range(200) for f in range(5 + m)]
+    rows += [(2, f, 1.0, 1.0) for f in range(3)] * 2 + [(3, 0, None, 1.0), (3, 1, 2.0, None), (3, 1, 2.0, 2.0)]
+    movie = spark.createDataFrame(rows, "movie_id long, frame int, x double, y double")
+    parted = track._with_parts(movie, 4.0)
+    own = parted.where("movie_id < 2").groupBy("movie_id", "part_x", "part_y").agg(F.countDistinct("_group").alias("groups")).collect()
+    assert len(own) == 400 and {r.groups for r in own} == {1}
+    assert [r.n for r in parted.where("movie_id < 2").groupBy("movie_id").agg(F.countDistinct("_group").alias("n")).orderBy("movie_id").collect()] == [4, 4]
+    key = lambda df: sorted(map(str, df.select("movie_id", "frame", "x", "y", "particle").collect()))
+    whole, parts = (track.link_zdiscs(movie.where("movie_id < 3"), huge=h) for h in (False, True))
+    assert key(parts) == key(whole)
+    assert track.link_zdiscs(movie, huge=True).count() == len(rows)
+    with_number = track._numbered(movie.where("movie_id < 2"), ["frame", "x", "y"])
+    order = [(r.movie_id, r.number) for r in with_number.orderBy("movie_id", "frame", "x", "y").collect()]
+    assert order == [(m, k) for m in range(2) for k in range(200 * (5 + m))]
+
+
 def test_parts_lie_further_apart_than_the_search_range(spark):
     places = np.random.default_rng(13).uniform(-60, 60, (300, 2))
     movie = spark.createDataFrame([(0, 0, float(x), float(y)) for x, y in places], "movie_id long, frame int, x double, y double")
