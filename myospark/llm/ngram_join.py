@@ -8,6 +8,10 @@ disjoint parts of all shingles, cut by hash, the two agree in at least one: sets
 parts more than d make sure that some shared part has two shingles or more; only a set with more than E poorer parts
 shows these as well.  Sizes fall into classes; a set shows its parts for its own class and for the next if it may link up.
 
+Which parts count.  A pair that may link shares not one part but a number that follows from the sizes, so a set that shares fewer
+with all others together has no link, and a set is sought only by its rarest parts: as many as leave fewer than that number.
+Common passages, which make parts that many unlike sets share, so hold few sets together.
+
 How it is joined.  The candidates of a part are put into a prefix tree, most common shingles first, an order that all of them
 share.  A probe goes down the tree and counts the overlap with a stretch that many sets share once; it turns back where
 the overlap so far and the lesser of what remains on either side cannot reach what the smallest set below needs, and where
@@ -94,12 +98,15 @@ def part_keys(x: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     return shown_parts(x, percent)[0]
 
 
-def shown_parts(x: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, list[int]]:
-    """(keys, firm): the keys of the parts that a set shows, and for its class and the next how many of all parts are not poor."""
+def shown_parts(x: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, list[int], list[int]]:
+    """(keys, firm, need): the keys of the parts that a set shows, whose last three bits are those of the class; for its class
+    and the next how many parts are not poor, and how many it shares at least, of those that both show, with any set that it links
+    with. Parts that agree are poor in both or in none, so a pair shares all but `spare` of them, though it may show none of these."""
     if not len(x):
-        return np.zeros(0, np.int64), []
-    first, last = np.searchsorted(BOUNDS, [len(x), len(x) * 100 // percent])
-    out, firm = [], []
+        return np.zeros(0, np.int64), [], []
+    larger = len(x) * 100 // percent
+    first, last = np.searchsorted(BOUNDS, [len(x), larger])
+    out, firm, need = [], [], []
     with np.errstate(over="ignore"):
         total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(x), dtype=np.uint64)))
         for which in range(first, last + 1):
@@ -108,32 +115,35 @@ def shown_parts(x: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, list
             edge = np.searchsorted(part, np.arange(parts + 1, dtype=np.uint64))
             size = np.diff(edge)
             key = mix(total[edge[1:]] - total[edge[:-1]] + mix(np.arange(parts, dtype=np.uint64) + np.uint64(which) * PRIME))
+            key = key & ~np.uint64(7) | np.uint64(which & 7)
             poor = size < 2
             out.append(key if poor.sum() > spare else key[~poor])
-            firm.append(int(parts - poor.sum()))
-    return np.concatenate(out).view(np.int64), firm
+            firm.append(max(int(parts - poor.sum()), parts - spare))
+            need.append(firm[-1] - (len(x) + min(int(BOUNDS[which]), larger)) * (100 - percent) // (100 + percent))
+    return np.concatenate(out).view(np.int64), firm, need
 
 
 def sketches(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """doc_id, place (digest of id and text), node (digest of the set, null if empty), n, keys, class of the size, firm."""
+    """doc_id, place (digest of id and text), node (digest of the set, null if empty), n, keys, class of the size, firm, need."""
     bounded_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, nodes, keys, firm = [], [], [], []
+            n, nodes, keys, firm, need = [], [], [], [], []
             for x in text_sets(batch.column(2)):
                 n.append(len(x))
                 nodes.append(hashlib.md5(x.tobytes()).digest() if len(x) else None)
                 shown = shown_parts(x, percent)
                 keys.append(shown[0])
                 firm.append(shown[1])
+                need.append(shown[2])
             offsets = pa.array(np.cumsum([0, *map(len, keys)]), pa.int32())
             columns = [batch.column(0), batch.column(1), pa.array(nodes, pa.binary()), pa.array(n, pa.int64()), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(keys) if keys else [], pa.int64()))]
-            columns += [pa.array(np.searchsorted(BOUNDS, n), pa.int32()), pa.array(firm, pa.list_(pa.int32()))]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "place", "node", "n", "keys", "class", "firm"])
+            columns += [pa.array(np.searchsorted(BOUNDS, n), pa.int32()), pa.array(firm, pa.list_(pa.int32())), pa.array(need, pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "place", "node", "n", "keys", "class", "firm", "need"])
 
-    return docs.select("doc_id", place(), "text").mapInArrow(run, f"doc_id {kind}, place binary, node binary, n long, keys array<long>, class int, firm array<int>")
+    return docs.select("doc_id", place(), "text").mapInArrow(run, f"doc_id {kind}, place binary, node binary, n long, keys array<long>, class int, firm array<int>, need array<int>")
 
 
 def place():
@@ -352,6 +362,28 @@ def similar_size(a, b, percent: int):
     return F.least(a, b) * 100 >= F.greatest(a, b) * percent
 
 
+def shared_keys(keyed: DataFrame, least: int = 2) -> DataFrame:
+    """(id, shared) of keyed (id, key): for each set the keys that `least` sets or more show, as (size, key) with the number of sets.
+    Rows are dealt by key once, for the count and for the join: the filter that a later join would add to one of them is in both."""
+    dealt = keyed.select("id", "key").where("id is not null and key is not null").repartition("key")
+    sizes = dealt.groupBy("key").agg(F.count("id").cast("int").alias("size")).where(F.col("size") >= least)
+    return dealt.join(sizes, "key").groupBy("id").agg(F.collect_list(F.struct("size", "key")).alias("shared"))
+
+
+def pruned(shared: DataFrame, sets: DataFrame) -> DataFrame:
+    """(id, n, class, firm, need, met, keys, rare) of sets that share as many parts of a class as they need for a link: keys are the
+    shared ones of such classes, rare those by which they are sought. Keys have one order, by how many sets show them; two sets that
+    need k common ones or more have the first of these before the last k - 1 of either, so these are left out of rare."""
+    per = lambda f: F.flatten(F.transform("need", lambda k, i: f(F.filter("shared", lambda s: F.pmod(s["key"].bitwiseAND(F.lit(7)) - F.col("class") - i, F.lit(8)) == 0), k)))
+    enough = lambda own, k: F.when(F.size(own) >= k, own).otherwise(F.slice(own, 1, 0))
+    rows = shared.join(sets.select("id", "n", "class", "firm", "need"), "id").withColumn("shared", F.array_sort("shared"))
+    rows = rows.withColumn("kept", per(enough)).where(F.size("kept") > 0)
+    first = lambda own, k: F.slice(own, 1, F.greatest(F.size(own) - k + 1, F.lit(0)))
+    rows = rows.withColumn("rare", per(first))
+    met = F.aggregate("kept", F.lit(0).cast("long"), lambda a, s: a + s["size"])
+    return rows.select("id", "n", "class", "firm", "need", met.alias("met"), F.col("kept.key").alias("keys"), F.col("rare.key").alias("rare"))
+
+
 def hubs_of(members: DataFrame) -> DataFrame:
     """(key, hub, hub_n): the set of a part that meets most others over all its parts, the least of equals, so the copies of one
     text have nearly everywhere the same hub."""
@@ -442,22 +474,22 @@ def _components(docs: DataFrame, percent: int) -> DataFrame:
     full = materialize(drawn.drop("doc_id").join(firsts, "row").withColumnRenamed("row", "id"), "full")
     discard(drawn)
     sweep(spark)
-    keyed = full.select("id", "n", "class", "firm", F.explode("keys").alias("key"))
-    sizes = keyed.select("key").groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    shared = keyed.select("id", "key").join(sizes, "key").groupBy("id").agg(F.sum("size").alias("met"), F.collect_list("key").alias("keys"))
     reps = materialize(full.drop("keys"), "representatives")
-    owned = materialize(shared.join(reps.select("id", "n", "class", "firm"), "id"), "candidates")
+    once = materialize(pruned(shared_keys(full.select("id", F.explode("keys").alias("key"))), reps), "shared")
     discard(full)
     sweep(spark)
+    owned = materialize(pruned(shared_keys(once.select("id", F.explode("keys").alias("key"))), reps), "candidates")  # others are gone, so fewer share
+    discard(once)
+    sweep(spark)
     sets = materialize(candidate_sets(docs, reps.join(owned.select("id"), "id").select("id", "place")), "candidate-sets")
     sweep(spark)
-    members = owned.select("id", "n", "met", F.explode("keys").alias("key"))
+    members = owned.select("id", "n", "met", F.explode("rare").alias("key"))
     hubs = materialize(hubs_of(members), "hubs")
     pairs = materialize(likely_pairs(members, hubs, owned, percent), "hub-pairs")
     first = materialize(joined_blocks(hub_units(pairs), sets, percent), "hub-links")
     sweep(spark)
     roots = materialize(connected_components(first), "roots")
-    rooted = owned.join(roots.withColumnRenamed("node", "id"), "id", "left").select("id", "n", F.coalesce("root", "id").alias("root"), F.explode("keys").alias("key"))
+    rooted = owned.join(roots.withColumnRenamed("node", "id"), "id", "left").select("id", "n", F.coalesce("root", "id").alias("root"), F.explode("rare").alias("key"))
     beside = rooted.join(hubs.select("key", "hub"), "key").where("id <> hub").drop("hub")
     more = materialize(joined_blocks(open_units(beside), sets, percent), "links")
     sweep(spark)

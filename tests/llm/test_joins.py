@@ -128,6 +128,35 @@ def check_components(spark, rows, tasks=3):
     assert sorted((tuple(r) for r in found), key=str) == plain_components(rows)
 
 
+def test_sets_that_share_too_few_parts_do_not_meet(spark, monkeypatch):
+    """Documents of which half is one passage share sixteen parts each, but fewer than a link takes: none of them travels."""
+    rnd = random.Random(41)
+    passage = [f"p{k}" for k in range(200)]
+    texts = [" ".join(passage + [f"w{rnd.randrange(10**9)}" for _ in range(200)]) for _ in range(80)]
+    frame = lambda t: spark.createDataFrame([*enumerate(t)], "doc_id long, text string")
+    met, joined = [], ngram_join.joined_blocks
+    monkeypatch.setattr(ngram_join, "joined_blocks", lambda units, *more: met.append(units.count()) or joined(units, *more))
+    found = ngram_join.similar_components(frame(texts)).collect()
+    assert sorted(map(tuple, found), key=str) == plain_components([*enumerate(texts)]) and sum(met) == 0
+    texts += [t.rsplit(" ", 2)[0] for t in texts[::4]]
+    assert sorted(map(tuple, ngram_join.similar_components(frame(texts)).collect()), key=str) == plain_components([*enumerate(texts)])
+    assert sum(met) > 0
+
+
+def test_linked_sets_share_what_they_need():
+    rnd = np.random.default_rng(42)
+    for n in (1, 2, 3, 5, 8, 13, 20, 40, 90, 200, 700):
+        for _ in range(30):
+            x = np.unique(rnd.integers(0, 1 << 63, n).astype(np.uint64))
+            y = np.unique(np.concatenate((x[rnd.random(len(x)) > 0.08], rnd.integers(0, 1 << 63, rnd.integers(0, 1 + n // 12)).astype(np.uint64))))
+            if len(np.intersect1d(x, y)) * 100 >= 85 * len(np.union1d(x, y)):
+                (kx, _, nx), (ky, _, ny) = ngram_join.shown_parts(x), ngram_join.shown_parts(y)
+                cx, cy = (int(np.searchsorted(ngram_join.BOUNDS, len(s))) for s in (x, y))
+                larger = max(cx, cy)
+                common = np.intersect1d(kx, ky)
+                assert (common & 7 == larger & 7).sum() >= max(nx[larger - cx], ny[larger - cy]) >= 1
+
+
 def test_linked_sets_share_a_part():
     rnd = np.random.default_rng(7)
     for _ in range(3000):
