@@ -10,7 +10,7 @@ Exact copies meet first, so only one of them is sketched further.  In each bucke
 text that meets most others; the links make components, and only buckets that still hold several components go on: there
 every text outside the largest component meets all others, in blocks of texts, so no pair of a bucket is left out unless it
 lies in one component already.  Blocks count the common shingles of a text with all others at once and align only pairs that
-have enough of them.  Classes are the connected components of all links.
+have enough of them.  Classes are the connected components of all links.  No side of a join goes through the driver.
 
 A null text counts as empty.  Texts under five words are one shingle of all their words; texts without words are near
 nothing but their exact copies; very long texts are read whole, the sketch in steps of bounded memory.  Rows with a null id get
@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
-from ..storage import discard, materialize, spread, sweep, workspace
+from ..storage import discard, materialize, spread, sweep, unsent, workspace
 from .batches import bounded_batches, mix, text_chunks, turn_to, word_hashes
 
 WORDS, SIMILARITY = 5, 0.8
@@ -141,15 +141,15 @@ def alignment(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> float:
 def salted(rows: DataFrame, narrow: DataFrame, key: str, by: str = "id", how: str = "inner") -> DataFrame:
     """rows joined with narrow, which has one row a key: the rows of a hot key lie in SALTS places, each with its copy of the one."""
     copies = narrow.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return rows.withColumn("salt", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int")).join(copies, [key, "salt"], how).drop("salt")
+    return rows.withColumn("salt", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int")).join(unsent(copies), [key, "salt"], how).drop("salt")
 
 
 def with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """(a, b, text_a, text_b). The pairs of an `a` lie in up to SALTS places, to each of which its text goes once."""
     pairs = pairs.select("a", "b", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int").alias("salt"))
-    left = pairs.select("a", "salt").distinct().join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
-    right = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
-    return right.join(left, ["a", "salt"]).select("a", "b", "text_a", "text_b")
+    left = pairs.select("a", "salt").distinct().join(unsent(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a"))), "a")
+    right = pairs.join(unsent(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b"))), "b")
+    return right.join(unsent(left), ["a", "salt"]).select("a", "b", "text_a", "text_b")
 
 
 def aligned(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
@@ -185,14 +185,14 @@ def hub_pairs(shared: DataFrame, least: float) -> DataFrame:
     """(a, b) of the hub of a bucket, a, and every other text in it. The hub is the text that meets most others over all tables,
     the least id of equals: of edited copies that is the text they were made from, in nearly every table the same."""
     met = shared.groupBy("id").agg(F.sum("size").alias("met"))
-    hubs = shared.join(met, "id").groupBy("sig").agg(F.min(F.struct((-F.col("met")).alias("minus"), "id", "n")).alias("h"))
+    hubs = shared.join(unsent(met), "id").groupBy("sig").agg(F.min(F.struct((-F.col("met")).alias("minus"), "id", "n")).alias("h"))
     each = salted(shared, hubs.select("sig", F.col("h.id").alias("hub"), F.col("h.n").alias("hub_n")), "sig")
     return each.where((F.col("id") != F.col("hub")) & similar_size(F.col("n"), F.col("hub_n"), least)).select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
 
 
 def open_buckets(shared: DataFrame, roots: DataFrame) -> DataFrame:
     """The rows of buckets that still hold several components, with the root of each text's."""
-    rows = shared.drop("size").join(roots.select(F.col("node").alias("id"), "root"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    rows = shared.drop("size").join(unsent(roots.select(F.col("node").alias("id"), "root")), "id", "left").withColumn("root", F.coalesce("root", "id"))
     several = rows.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("sig")
     return salted(rows, several, "sig", how="left_semi")
 
@@ -251,7 +251,7 @@ def groups_to_test(opened: DataFrame) -> tuple[DataFrame, DataFrame]:
     each = both.groupBy("family", "grp", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("family", "grp").agg(F.sum("n").alias("size"), F.max_by("root", F.struct("n", "root")).alias("big"), (F.sum("n") - F.max("n")).alias("rest"))
     cost = lambda of_bucket: F.sum(F.when(F.col("grp.of_bucket") == of_bucket, sent(F.col("size"), F.col("rest"))))
     apart = each.groupBy("family").agg((cost(True) < cost(False)).alias("apart"))
-    groups = materialize(each.join(apart, "family").where(F.col("grp.of_bucket") == F.col("apart")).select("grp", "size", "big", "rest"), "groups")
+    groups = materialize(each.join(unsent(apart), "family").where(F.col("grp.of_bucket") == F.col("apart")).select("grp", "size", "big", "rest"), "groups")
     return both.drop("family"), groups
 
 
@@ -307,7 +307,7 @@ def links_of_open_buckets(opened: DataFrame, texts: DataFrame, least: float) ->
         found = links_between(table.column("id").to_pylist(), table.column("root").to_pylist(), own, table.column("probe").to_numpy(), table.column("data").to_numpy(), least)
         return pa.table([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
-    rows = dealt(*groups_to_test(opened)).join(texts, "id")
+    rows = dealt(*groups_to_test(opened)).join(unsent(texts), "id")
     return spread(rows, "grp", "p", "d").groupBy("grp", "p", "d").applyInArrow(run, "a long, b long")
 
 
@@ -330,19 +330,19 @@ def text_classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     shared = shared_signatures(reps)
     known = materialize(reps.drop("sigs", "n"), "nodes")
     discard(reps)
-    ids = known.join(shared.select("id").distinct(), "id").select("id", own_place("doc_id", "node"))
+    ids = known.join(unsent(shared.select("id").distinct()), "id").select("id", own_place("doc_id", "node"))
     placed = docs.select(F.coalesce("text", F.lit("")).alias("text"), own_place("doc_id", F.unhex(F.md5(F.coalesce("text", F.lit(""))))))
-    texts = materialize(placed.join(ids, "place").dropDuplicates(["place"]).select("id", "text"), "candidates")
+    texts = materialize(placed.join(unsent(ids), "place").dropDuplicates(["place"]).select("id", "text"), "candidates")
     tested = materialize(aligned(hub_pairs(shared, least), texts, least), "tested")
     roots = materialize(connected_components(tested.where("linked")), "roots")
     opened = materialize(open_buckets(shared, roots), "open")
     added = materialize(links_of_open_buckets(opened, texts, least), "links")
     sweep(spark)
     # the new links join whole components
-    root = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
+    root = lambda c: unsent(roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}")))
     between = added.join(root("a"), "a", "left").join(root("b"), "b", "left").select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b"))
     joined = connected_components(between).select(F.col("node").alias("root"), F.col("root").alias("over"))
-    known = known.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    known = known.join(unsent(roots.withColumnRenamed("node", "id")), "id", "left").withColumn("root", F.coalesce("root", "id"))
     known = materialize(salted(known, joined, "root", how="left").select("node", "id", F.col("doc_id").alias("copy_of"), F.coalesce("over", "root").alias("class")), "known")
     heads = known.groupBy("class").agg(F.min("copy_of").alias("class_id"))
     classes = salted(known, heads, "class").select("node", "class", "class_id", "copy_of")
@@ -364,6 +364,6 @@ def one_of_each(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     kept = first.select(own_place("doc_id", "node"))
     placed = docs.withColumn("_place", own_place("doc_id", own))
     repeated = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count() > 0
-    stay = placed.where("doc_id is not null").join(kept.withColumnRenamed("place", "_place"), "_place", "left_semi")
+    stay = placed.where("doc_id is not null").join(unsent(kept.withColumnRenamed("place", "_place")), "_place", "left_semi")
     stay = stay.dropDuplicates(["_place"]) if repeated else stay
     return stay.select(docs.columns).unionByName(docs.where("doc_id is null").select(docs.columns))

@@ -86,3 +86,22 @@ def test_pipeline_leaves_one_table(spark, tmp_path):
     before = len(own)
     assert corpus_pipeline.run(spark, "/root/testdata/sf0.001").count() > 0
     assert len(own) == before + 1 and "pipeline-secret_scan" in own[-1]
+
+
+def test_near_dedup_sends_no_table_through_the_driver(spark, monkeypatch):
+    from myospark.operators import components
+    from myospark.storage import materialize
+
+    plans = []
+
+    def noted(df, name):
+        plans.append((name, df._jdf.queryExecution().executedPlan().toString()))
+        return materialize(df, name)
+
+    for module in (near_dedup, components):
+        monkeypatch.setattr(module, "materialize", noted)
+    docs = [(10 * k + c, " ".join(f"w{k}x{i}" for i in range(60 - c))) for k in range(12) for c in range(5)]
+    kept = near_dedup.one_of_each(spark.createDataFrame(docs, "doc_id long, text string"))
+    plans.append(("kept", kept._jdf.queryExecution().executedPlan().toString()))
+    assert {r.doc_id for r in kept.collect()} == {10 * k for k in range(12)}
+    assert [name for name, plan in plans if "Broadcast" in plan] == []
