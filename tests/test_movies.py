@@ -2,6 +2,7 @@
 
 import itertools
 import math
+import uuid
 
 import numpy as np
 import pandas as pd
@@ -727,3 +728,15 @@ def test_draws_of_a_comparison_stay_in_their_task(spark):
     assert set(known) == {0, 1, 2} and all(r.untracked == r.tracked == 6 for r in known.values())
     drawn = signals.bootstrap_means(np.sort([10.0 + k / 7 for k in range(6)]), 10.0 + 15 / 42, 6, 40, np.random.default_rng([5, 0, 1]))
     assert np.allclose(known[1].length_diff, np.quantile(drawn, compare.SHARES), atol=1e-12)
+
+
+def test_tracking_finds_the_zdiscs_of_a_frame_once(spark, tmp_path):
+    def found(batches):
+        for batch in batches:
+            (tmp_path / uuid.uuid4().hex).touch()
+            yield batch
+
+    rows = zdiscs(spark, SEGMENTED).coalesce(1)
+    tracks = track.track_zdiscs(rows.mapInArrow(found, rows.schema))
+    assert sorted((r.particle, r.frame) for r in tracks.collect()) == [(-1, 0), (-1, 1), (-1, 2), (1, 0), (1, 1), (1, 2)]
+    assert len(list(tmp_path.iterdir())) == 1
