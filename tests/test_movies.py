@@ -740,3 +740,10 @@ def test_tracking_finds_the_zdiscs_of_a_frame_once(spark, tmp_path):
     tracks = track.track_zdiscs(rows.mapInArrow(found, rows.schema))
     assert sorted((r.particle, r.frame) for r in tracks.collect()) == [(-1, 0), (-1, 1), (-1, 2), (1, 0), (1, 1), (1, 2)]
     assert len(list(tmp_path.iterdir())) == 1
+
+
+def test_summaries_are_those_of_each_line():
+    rnd = np.random.default_rng(4)
+    lines = [rnd.integers(0, 6, (n, 2)).astype(float) for n in (1, 2, 3, 3, 9, 130, 9, 130, 128)]
+    assert images.summaries(lines).tolist() == [list(images.summary(c)) for c in lines if len(c) >= 3]
+    assert images.summaries([]).shape == (0, 6)
